@@ -106,7 +106,7 @@ def by_category(claims: DataFrame, ref: DataFrame, category: str) -> DataFrame:
     from claimscope.operators.joins import checked_broadcast
 
     codes = category_codes(ref, category).select("code").distinct()
-    return claims.join(checked_broadcast(codes), "code", "left_semi")
+    return claims.join(checked_broadcast(codes), "code", "left_semi").select(*claims.columns)
 
 
 def claim_filters(claims: DataFrame, filt: ClaimsFilter) -> DataFrame:

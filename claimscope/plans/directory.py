@@ -35,6 +35,16 @@ MEASURE_COLUMNS = (
 
 
 def _registry(registry: DataFrame, key: str, prefix: str = "") -> DataFrame:
+    """Registry renamed for the join on ``key``.
+
+    The aggregated side is already hash-partitioned on the NPI by its
+    aggregation, so a sort-merge join shuffles only the registry; AQE turns
+    it into a broadcast when the registry is small. (A semi-join reduction of
+    the registry by the aggregated NPIs was tried and rejected: AQE writes the
+    registry shuffle before it can switch to a broadcast, and the key branch
+    re-scans the fact.) For a registry of national size, store it bucketed by
+    ``npi`` in the catalog so that join needs no registry shuffle at all.
+    """
     return registry.select(
         F.col("npi").alias(key),
         *[F.col(c).alias(prefix + c) for c in registry.columns if c != "npi"],

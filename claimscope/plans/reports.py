@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from claimscope.functions import measures
 from claimscope.operators import filters as flt
 from claimscope.operators.filters import ClaimsFilter
-from claimscope.operators.joins import with_reference
+from claimscope.operators.joins import checked_broadcast, with_reference
 
 FACT_COLUMNS = (
     "billing_npi",
@@ -33,6 +33,7 @@ FACT_COLUMNS = (
 )
 
 NO_FILTER = ClaimsFilter()
+MEASURES = ("providers", "total_claims", "total_beneficiaries", "total_paid")
 
 
 def _by_claims(df: DataFrame, measure: str, *keys: str) -> DataFrame:
@@ -80,10 +81,15 @@ def category_state(claims: DataFrame, ref: DataFrame, filt: ClaimsFilter = NO_FI
 
 
 def code_detail(claims: DataFrame, ref: DataFrame, filt: ClaimsFilter = NO_FILTER) -> DataFrame:
-    out = (
-        service_base(claims, ref, filt)
-        .groupBy(F.col("code").alias("hcpcs_code"), "category", "description")
-        .agg(*measures.m4())
+    """Per code. Aggregated by code alone and labelled afterwards, so the
+    (long) description strings never go through the shuffle; a code listed
+    under two categories still yields one row per category with full sums."""
+    fact = flt.claim_filters(claims.select(*FACT_COLUMNS), filt)
+    codes = flt.select_codes(ref, filt.category, filt.codes)
+    tracked = fact.join(checked_broadcast(codes.select("code").distinct()), "code", "left_semi")
+    agg = tracked.groupBy("code").agg(*measures.m4())
+    out = with_reference(agg, codes).select(
+        F.col("code").alias("hcpcs_code"), "category", "description", *MEASURES
     )
     return _by_claims(out, "total_claims", "hcpcs_code", "category")
 

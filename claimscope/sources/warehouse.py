@@ -58,8 +58,19 @@ def _code_version() -> str:
     return h.hexdigest()[:12]
 
 
+_fingerprints: dict[tuple[str, str, tuple[str, ...]], str] = {}
+
+
 def source_fingerprint(spark: SparkSession, sf_dir: str, names=SOURCE_TABLES) -> str:
-    """Order-free digest of the source files' path, size and mtime (one small job)."""
+    """Order-free digest of the source files' path, size and mtime (one small
+    job, once per application and folder)."""
+    key = (spark.sparkContext.applicationId, sf_dir, tuple(names))
+    if key not in _fingerprints:
+        _fingerprints[key] = _fingerprint(spark, sf_dir, names)
+    return _fingerprints[key]
+
+
+def _fingerprint(spark: SparkSession, sf_dir: str, names) -> str:
     paths = [f"{sf_dir.rstrip('/')}/{n}.parquet" for n in names]
     row = (
         spark.read.format("binaryFile")
@@ -82,24 +93,26 @@ def _current_build(spark: SparkSession, pointer: str) -> str | None:
     return row[0] if row else None
 
 
-def _build(spark: SparkSession, sf_dir: str, home: str) -> str:
+def build(spark: SparkSession, sf_dir: str, home: str) -> str:
+    """Derive and write the three tables into a new folder under ``home``;
+    point ``home/_current`` at it last. Returns the build folder."""
     from claimscope.plans import prep
 
-    build = f"{home}/build-{uuid.uuid4().hex[:12]}"
+    folder = f"{home}/build-{uuid.uuid4().hex[:12]}"
     registry = testtables.registry(spark, sf_dir)
     schemas.assert_unique(registry, "npi", "provider_registry")
-    registry.write.mode("overwrite").parquet(f"{build}/provider_registry")
+    registry.write.mode("overwrite").parquet(f"{folder}/provider_registry")
 
     reference = testtables.code_reference(spark, sf_dir)
     schemas.assert_unique(reference, "code", "code_reference")
-    reference.orderBy("category", "code").coalesce(1).write.mode("overwrite").parquet(f"{build}/code_reference")
+    reference.orderBy("category", "code").coalesce(1).write.mode("overwrite").parquet(f"{folder}/code_reference")
 
     # Enrich against the registry just written: no second derivation.
-    written = loaders.load_registry(spark, f"{build}/provider_registry", validate=False)
+    written = loaders.load_registry(spark, f"{folder}/provider_registry", validate=False)
     enriched = prep.enrich_claims(testtables.claims_monthly(spark, sf_dir), written)
-    prep.write_claims(schemas.conform(enriched, schemas.CLAIMS, "claims"), f"{build}/claims")
-    spark.createDataFrame([(build,)], "value string").coalesce(1).write.mode("overwrite").text(f"{home}/_current")
-    return build
+    prep.write_claims(schemas.conform(enriched, schemas.CLAIMS, "claims"), f"{folder}/claims")
+    spark.createDataFrame([(folder,)], "value string").coalesce(1).write.mode("overwrite").text(f"{home}/_current")
+    return folder
 
 
 def open_test_tables(spark: SparkSession, sf_dir: str, materialize: bool = True) -> loaders.Tables:
@@ -118,11 +131,11 @@ def open_test_tables(spark: SparkSession, sf_dir: str, materialize: bool = True)
     if key in _opened:
         return _opened[key]
     home = f"{scratch_root(spark)}/claimscope/warehouse/{source_fingerprint(spark, sf_dir)}"
-    build = _current_build(spark, f"{home}/_current") or _build(spark, sf_dir, home)
+    folder = _current_build(spark, f"{home}/_current") or build(spark, sf_dir, home)
     tables = loaders.Tables(
-        loaders.load_claims(spark, f"{build}/claims"),
-        loaders.load_reference(spark, f"{build}/code_reference", validate=False),
-        loaders.load_registry(spark, f"{build}/provider_registry", validate=False),
+        loaders.load_claims(spark, f"{folder}/claims"),
+        loaders.load_reference(spark, f"{folder}/code_reference", validate=False),
+        loaders.load_registry(spark, f"{folder}/provider_registry", validate=False),
     )
     _opened[key] = tables
     return tables
