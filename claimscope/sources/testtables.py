@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from claimscope.plans import prep
 from claimscope.sources import schemas
+from claimscope.sources.loaders import balanced
 
 # Tracked categories of the test mapping, indexed by brand
 # number modulo 7.
@@ -123,9 +124,12 @@ def code_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def claim_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = read(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
-        "l_extendedprice", "l_discount", "l_shipdate",
+    li = balanced(
+        read(spark, sf_dir, "lineitem").select(
+            "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
+            "l_extendedprice", "l_discount", "l_shipdate",
+        ),
+        "l_orderkey",
     )
     orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     part = read(spark, sf_dir, "part").select("p_partkey", "p_brand")
