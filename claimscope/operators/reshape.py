@@ -42,7 +42,8 @@ def pivot_wide(long: DataFrame, index: str = "month", columns: str = "category",
     if values is None:
         values = pivot_values(clean, columns)
     wide = clean.groupBy(index).pivot(columns, list(values)).agg(F.sum(value))
-    return wide.fillna(0, subset=list(values)).orderBy(index)
+    # One row per index value (months): small, ordered in one partition.
+    return wide.fillna(0, subset=list(values)).repartition(1).sortWithinPartitions(index)
 
 
 def series(report: DataFrame, key: str, measure: str) -> DataFrame:

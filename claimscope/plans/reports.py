@@ -36,9 +36,22 @@ NO_FILTER = ClaimsFilter()
 MEASURES = ("providers", "total_claims", "total_beneficiaries", "total_paid")
 
 
+def sorted_small(df: DataFrame, *cols) -> DataFrame:
+    """Order a result whose size is bounded by dimension cardinalities.
+
+    Every summary here has at most (states x categories), (codes) or
+    (months x categories) rows, however large the fact is; after the
+    distributed aggregation such a result is ordered in one partition, which
+    skips the sampling job and extra stage of a range-partitioned global sort.
+    Results that grow with the data (the provider directory, row-level
+    outputs) use ``orderBy`` instead.
+    """
+    return df.repartition(1).sortWithinPartitions(*cols)
+
+
 def _by_claims(df: DataFrame, measure: str, *keys: str) -> DataFrame:
     """Largest first; keys break ties so the order is deterministic."""
-    return df.orderBy(F.col(measure).desc(), *[F.col(k).asc_nulls_last() for k in keys])
+    return sorted_small(df, F.col(measure).desc(), *[F.col(k).asc_nulls_last() for k in keys])
 
 
 # ---------------------------------------------------------------- overview
@@ -106,7 +119,7 @@ def trend_base(claims: DataFrame, ref: DataFrame, filt: ClaimsFilter = NO_FILTER
 def monthly(claims: DataFrame, ref: DataFrame, filt: ClaimsFilter = NO_FILTER) -> DataFrame:
     """Per month; a null month is its own group, sorted last."""
     out = trend_base(claims, ref, filt).groupBy("month").agg(*measures.m4())
-    return out.orderBy(F.col("month").asc_nulls_last())
+    return sorted_small(out, F.col("month").asc_nulls_last())
 
 
 def yearly(claims: DataFrame, ref: DataFrame, filt: ClaimsFilter = NO_FILTER) -> DataFrame:
@@ -115,7 +128,7 @@ def yearly(claims: DataFrame, ref: DataFrame, filt: ClaimsFilter = NO_FILTER) ->
     ``claim_year`` is ``LEFT(month, 4)`` by construction (the partition column).
     """
     out = trend_base(claims, ref, filt).groupBy(F.col("claim_year").alias("year")).agg(*measures.m4())
-    return out.orderBy(F.col("year").asc_nulls_last())
+    return sorted_small(out, F.col("year").asc_nulls_last())
 
 
 def category_trend(claims: DataFrame, ref: DataFrame, filt: ClaimsFilter = NO_FILTER) -> DataFrame:
@@ -124,7 +137,7 @@ def category_trend(claims: DataFrame, ref: DataFrame, filt: ClaimsFilter = NO_FI
         .groupBy("month", "category")
         .agg(measures.total_claims())
     )
-    return out.orderBy(F.col("month").asc_nulls_last(), F.col("category").asc_nulls_last())
+    return sorted_small(out, F.col("month").asc_nulls_last(), F.col("category").asc_nulls_last())
 
 
 # ---------------------------------------------------------------- reference
@@ -132,8 +145,10 @@ def category_trend(claims: DataFrame, ref: DataFrame, filt: ClaimsFilter = NO_FI
 
 def code_reference(ref: DataFrame) -> DataFrame:
     """The tracked codes, by category then code."""
-    return ref.select(F.col("code").alias("hcpcs_code"), "category", "description").orderBy(
-        F.col("category").asc_nulls_last(), F.col("hcpcs_code").asc_nulls_last()
+    return sorted_small(
+        ref.select(F.col("code").alias("hcpcs_code"), "category", "description"),
+        F.col("category").asc_nulls_last(),
+        F.col("hcpcs_code").asc_nulls_last(),
     )
 
 

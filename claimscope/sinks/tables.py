@@ -9,6 +9,7 @@ executor loss) the written table does, since it has no lineage to replay.
 from __future__ import annotations
 
 from collections.abc import Mapping
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame
 
@@ -18,6 +19,14 @@ def materialize(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def materialize_all(reports: Mapping[str, DataFrame], root: str) -> dict[str, DataFrame]:
-    """Write each named report under ``root/<name>``; return the tables read back."""
-    return {name: materialize(df, f"{root.rstrip('/')}/{name}") for name, df in reports.items()}
+def materialize_all(reports: Mapping[str, DataFrame], root: str, parallel: int = 4) -> dict[str, DataFrame]:
+    """Write each named report under ``root/<name>``; return the tables read back.
+
+    The reports are independent jobs, each too small to fill a cluster, so
+    they are submitted from ``parallel`` driver threads and the scheduler runs
+    their stages side by side.
+    """
+    root = root.rstrip("/")
+    with ThreadPoolExecutor(max_workers=max(1, min(parallel, len(reports)))) as pool:
+        futures = {name: pool.submit(materialize, df, f"{root}/{name}") for name, df in reports.items()}
+        return {name: f.result() for name, f in futures.items()}
