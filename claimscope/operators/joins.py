@@ -18,6 +18,11 @@ from claimscope.functions.scalars import year_of
 # decides from statistics.
 BROADCAST_MAX_ROWS = 100_000
 
+# The practice-location map (npi, state) is two short strings per provider:
+# up to this many rows (tens of MB) it is broadcast to the fact; a national
+# registry is larger and is joined by sort-merge with AQE skew splitting.
+LOCATION_BROADCAST_MAX_ROWS = 1_000_000
+
 _checked: dict[tuple[int, int], bool] = {}
 
 REGISTRY_ATTRIBUTES = (
@@ -87,4 +92,5 @@ def enrich(monthly: DataFrame, registry: DataFrame) -> DataFrame:
     (every report then drops them). Only two registry columns take part.
     """
     location = registry.select(F.col("npi").alias("billing_npi"), F.col("state").alias("practice_state"))
+    location = checked_broadcast(location, LOCATION_BROADCAST_MAX_ROWS)
     return monthly.join(location, "billing_npi", "left").withColumn("claim_year", year_of("month"))

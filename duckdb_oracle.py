@@ -228,7 +228,8 @@ PIVOT = (
 )
 
 
-def registry_join(prefix: str, key: str) -> str:
+def registry_join(prefix: str, key: str) -> tuple[str, str]:
+    """Prefixed registry columns and the LEFT JOIN clause on ``j.<key>``."""
     cols = ", ".join(f"{prefix}.{a} AS {prefix}_{a}" for a in REG_ATTRS)
     return cols, f"LEFT JOIN provider_registry {prefix} ON j.{key} = {prefix}.npi"
 
