@@ -73,6 +73,15 @@ def _export_dir(spark: SparkSession, sf: str, name: str) -> str:
     return f"{scratch_root(spark)}/claimscope/exports/{source_fingerprint(spark, sf)}/{name}"
 
 
+# Columns of the provider summary; reports reading only these use it.
+SUMMARY_COLS = ("billing_npi", "code", "practice_state", "claim_year")
+
+
+def _grain(t):
+    """Provider summary if built, else the fact (reports without month/servicing)."""
+    return t.claims_for(*SUMMARY_COLS)
+
+
 def _servicing_dir(spark: SparkSession, sf: str) -> DataFrame:
     t = _tables(spark, sf)
     return dirs.directory(t.claims, t.reference, t.registry, STATE_YEAR, "servicing")
@@ -100,13 +109,13 @@ def _q_export_reference(spark, sf):
 
 def _q_export_state_summary(spark, sf):
     t = _tables(spark, sf)
-    df = reports.state_overview(t.claims, STATE_YEAR)
+    df = reports.state_overview(_grain(t), STATE_YEAR)
     return _out(csv_sink.export(df, _export_dir(spark, sf, "state_summary"), single_file=True))
 
 
 def _q_export_services(spark, sf):
     t = _tables(spark, sf)
-    df = reports.code_detail(t.claims, t.reference, STATE_YEAR)
+    df = reports.code_detail(_grain(t), t.reference, STATE_YEAR)
     return _out(csv_sink.export(df, _export_dir(spark, sf, "services"), single_file=True))
 
 
@@ -126,9 +135,9 @@ def _q_materialize_reports(spark, sf):
     root = f"{scratch_root(spark)}/claimscope/reports/{source_fingerprint(spark, sf)}"
     written = table_sink.materialize_all(
         {
-            "state_overview": reports.state_overview(t.claims),
-            "service_category": reports.category_summary(t.claims, t.reference),
-            "service_code": reports.code_detail(t.claims, t.reference),
+            "state_overview": reports.state_overview(_grain(t)),
+            "service_category": reports.category_summary(_grain(t), t.reference),
+            "service_code": reports.code_detail(_grain(t), t.reference),
             "trend_monthly": reports.monthly(t.claims, t.reference),
         },
         root,
@@ -231,42 +240,44 @@ def _q_enrich_claims(spark, sf):
 
 
 def _q_state_overview(spark, sf):
-    return _out(reports.state_overview(_tables(spark, sf).claims))
+    return _out(reports.state_overview(_grain(_tables(spark, sf))))
 
 
 def _q_state_overview_filtered(spark, sf):
-    return _out(reports.state_overview(_tables(spark, sf).claims, STATE_YEAR))
+    return _out(reports.state_overview(_grain(_tables(spark, sf)), STATE_YEAR))
 
 
 def _q_service_category(spark, sf):
     t = _tables(spark, sf)
-    return _out(reports.category_summary(t.claims, t.reference))
+    return _out(reports.category_summary(_grain(t), t.reference))
 
 
 def _q_service_category_filtered(spark, sf):
     t = _tables(spark, sf)
-    return _out(reports.category_summary(t.claims, t.reference, STATE_YEAR))
+    return _out(reports.category_summary(_grain(t), t.reference, STATE_YEAR))
 
 
 def _q_service_category_state(spark, sf):
     t = _tables(spark, sf)
-    return _out(reports.category_state(t.claims, t.reference))
+    return _out(reports.category_state(_grain(t), t.reference))
 
 
 def _q_service_code(spark, sf):
     t = _tables(spark, sf)
-    return _out(reports.code_detail(t.claims, t.reference))
+    return _out(reports.code_detail(_grain(t), t.reference))
 
 
 def _q_service_code_filtered(spark, sf):
     t = _tables(spark, sf)
-    return _out(reports.code_detail(t.claims, t.reference, STATE_YEAR_CATEGORY))
+    return _out(reports.code_detail(_grain(t), t.reference, STATE_YEAR_CATEGORY))
 
 
 def _directory_query(view):
     def run(spark, sf):
         t = _tables(spark, sf)
-        return _out(dirs.directory(t.claims, t.reference, t.registry, STATE_YEAR, view))
+        # The billing view needs no servicing NPI or month: provider summary.
+        claims = _grain(t) if view == "billing" else t.claims
+        return _out(dirs.directory(claims, t.reference, t.registry, STATE_YEAR, view))
 
     return run
 
@@ -278,7 +289,7 @@ def _q_trend_monthly(spark, sf):
 
 def _q_trend_yearly(spark, sf):
     t = _tables(spark, sf)
-    return _out(reports.yearly(t.claims, t.reference))
+    return _out(reports.yearly(_grain(t), t.reference))
 
 
 def _q_trend_category(spark, sf):
@@ -295,12 +306,12 @@ def _q_kpi_reference(spark, sf):
 
 
 def _q_kpi_overview(spark, sf):
-    return _out(kpis.overview_kpis(reports.state_overview(_tables(spark, sf).claims)))
+    return _out(kpis.overview_kpis(reports.state_overview(_grain(_tables(spark, sf)))))
 
 
 def _q_kpi_services(spark, sf):
     t = _tables(spark, sf)
-    return _out(kpis.services_kpis(reports.category_summary(t.claims, t.reference)))
+    return _out(kpis.services_kpis(reports.category_summary(_grain(t), t.reference)))
 
 
 def _q_kpi_directory(spark, sf):
@@ -312,11 +323,11 @@ def _q_directory_search_count(spark, sf):
 
 
 def _q_facet_states(spark, sf):
-    return facets.states(_tables(spark, sf).claims)
+    return facets.states(_grain(_tables(spark, sf)))
 
 
 def _q_facet_years(spark, sf):
-    return facets.years(_tables(spark, sf).claims)
+    return facets.years(_grain(_tables(spark, sf)))
 
 
 def _q_facet_categories(spark, sf):
@@ -329,7 +340,7 @@ def _q_facet_codes(spark, sf):
 
 def _q_facet_served_categories(spark, sf):
     t = _tables(spark, sf)
-    d = dirs.directory(t.claims, t.reference, t.registry, STATE_YEAR_CATEGORY, "billing")
+    d = dirs.directory(_grain(t), t.reference, t.registry, STATE_YEAR_CATEGORY, "billing")
     return facets.served_categories(d)
 
 

@@ -25,7 +25,7 @@ from claimscope.operators.filters import ClaimsFilter
 from claimscope.operators.joins import checked_broadcast, with_reference
 from claimscope.plans import directory as dirs
 from claimscope.plans import kpis
-from claimscope.plans.reports import FACT_COLUMNS, MEASURES, NO_FILTER, _by_claims, sorted_small, trend_base
+from claimscope.plans.reports import MEASURES, NO_FILTER, _by_claims, _fact_columns, sorted_small, trend_base
 
 
 def _sums() -> list:
@@ -82,7 +82,7 @@ class DirectoryPage(_Page):
 
 def services_page(claims: DataFrame, ref: DataFrame, filt: ClaimsFilter = NO_FILTER,
                   storage: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> ServicesPage:
-    fact = flt.claim_filters(claims.select(*FACT_COLUMNS), filt)
+    fact = flt.claim_filters(_fact_columns(claims), filt)
     codes = flt.select_codes(ref, filt.category, filt.codes)
     tracked = fact.join(checked_broadcast(codes.select("code").distinct()), "code", "left_semi")
     grain = tracked.groupBy("code", "practice_state", "billing_npi").agg(*_sums()).persist(storage)

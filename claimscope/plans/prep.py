@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimscope.operators.joins import enrich
+from claimscope.sources import schemas
 from claimscope.sources.schemas import MONEY
 
 # Rows with fewer total claims than this are withheld by the
@@ -67,6 +68,19 @@ def write_claims(enriched: DataFrame, path: str, mode: str = "overwrite") -> Non
     )
 
 
+def provider_summary(enriched: DataFrame) -> DataFrame:
+    """Fact -> billing provider x code x practice state x year (sums only).
+
+    Partial aggregation runs before the shuffle, so the shuffle carries at
+    most one row per group per task.
+    """
+    return enriched.groupBy("billing_npi", "code", "practice_state", "claim_year").agg(
+        F.sum("total_claims").alias("total_claims"),
+        F.sum("total_unique_beneficiaries").alias("total_unique_beneficiaries"),
+        F.sum("total_paid").cast(schemas.SUMMARY_MONEY).alias("total_paid"),
+    )
+
+
 def keyword_match(text: Column, keywords: Iterable[str]) -> Column:
     """Case-insensitive literal substring match against any keyword."""
     lowered = F.lower(text)

@@ -49,6 +49,12 @@ def sorted_small(df: DataFrame, *cols) -> DataFrame:
     return df.repartition(1).sortWithinPartitions(*cols)
 
 
+def _fact_columns(claims: DataFrame) -> DataFrame:
+    """The model columns present: all of them on the fact, fewer on the
+    provider summary (no month, no servicing NPI)."""
+    return claims.select(*[c for c in FACT_COLUMNS if c in claims.columns])
+
+
 def _by_claims(df: DataFrame, measure: str, *keys: str) -> DataFrame:
     """Largest first; keys break ties so the order is deterministic."""
     return sorted_small(df, F.col(measure).desc(), *[F.col(k).asc_nulls_last() for k in keys])
@@ -74,7 +80,7 @@ def service_base(claims: DataFrame, ref: DataFrame, filt: ClaimsFilter = NO_FILT
     the broadcast join, which carries it to the fact; explicit codes are also
     put on the fact as a literal ``IN`` so they reach the Parquet scan.
     """
-    fact = flt.claim_filters(claims.select(*FACT_COLUMNS), filt)
+    fact = flt.claim_filters(_fact_columns(claims), filt)
     codes = flt.select_codes(ref, filt.category, filt.codes)
     return with_reference(fact, codes)
 
@@ -97,7 +103,7 @@ def code_detail(claims: DataFrame, ref: DataFrame, filt: ClaimsFilter = NO_FILTE
     """Per code. Aggregated by code alone and labelled afterwards, so the
     (long) description strings never go through the shuffle; a code listed
     under two categories still yields one row per category with full sums."""
-    fact = flt.claim_filters(claims.select(*FACT_COLUMNS), filt)
+    fact = flt.claim_filters(_fact_columns(claims), filt)
     codes = flt.select_codes(ref, filt.category, filt.codes)
     tracked = fact.join(checked_broadcast(codes.select("code").distinct()), "code", "left_semi")
     agg = tracked.groupBy("code").agg(*measures.m4())

@@ -50,6 +50,10 @@ def load_claims(spark: SparkSession, location: str) -> DataFrame:
     return schemas.conform(df, schemas.CLAIMS, "claims")
 
 
+def load_summary(spark: SparkSession, location: str) -> DataFrame:
+    return schemas.conform(_read(spark, location, schemas.SUMMARY), schemas.SUMMARY, "provider_summary")
+
+
 def load_reference(spark: SparkSession, location: str, validate: bool = True) -> DataFrame:
     df = schemas.rename_published(_read(spark, location, schemas.CODE_REFERENCE), schemas.PUBLISHED_REFERENCE_COLUMNS)
     df = schemas.conform(df, schemas.CODE_REFERENCE, "code_reference")
@@ -73,6 +77,14 @@ class Tables:
     claims: DataFrame
     reference: DataFrame
     registry: DataFrame
+    summary: DataFrame | None = None
+
+    def claims_for(self, *columns: str) -> DataFrame:
+        """The provider summary when it has every column a report reads, else
+        the fact. Reports that need ``month`` or ``servicing_npi`` get the fact."""
+        if self.summary is not None and all(c in self.summary.columns for c in columns):
+            return self.summary
+        return self.claims
 
     @classmethod
     def load(cls, spark: SparkSession, claims: str, reference: str, registry: str,

@@ -32,6 +32,23 @@ CLAIMS = T.StructType(
     ]
 )
 
+# Provider summary: the fact aggregated over servicing provider and month,
+# one row per billing provider x code x practice state x year. Distinct
+# billing providers stay exact on it (the NPI is in the key); sums are
+# additive. Reports that need neither month nor servicing NPI read it.
+SUMMARY_MONEY = T.DecimalType(28, 2)
+SUMMARY = T.StructType(
+    [
+        T.StructField("billing_npi", T.StringType(), False),
+        T.StructField("code", T.StringType(), False),
+        T.StructField("practice_state", T.StringType(), True),
+        T.StructField("total_claims", T.LongType(), False),
+        T.StructField("total_unique_beneficiaries", T.LongType(), False),
+        T.StructField("total_paid", SUMMARY_MONEY, False),
+        T.StructField("claim_year", T.StringType(), True),
+    ]
+)
+
 # Monthly rollup before enrichment (no location yet).
 CLAIMS_MONTHLY = T.StructType([f for f in CLAIMS.fields if f.name not in ("practice_state", "claim_year")])
 

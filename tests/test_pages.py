@@ -53,3 +53,21 @@ def test_directory_page(t):
         assert _rows(page.kpis) == _rows(kpis.directory_kpis(plain))
         assert _rows(page.served_categories) == _rows(facets.served_categories(plain))
         assert _rows(page.refine("Prevention", "machinery")) == _rows(refine.refine(plain, "Prevention", "machinery"))
+
+
+@pytest.mark.parametrize("filt", FILTERS)
+def test_provider_summary_equals_fact(t, filt):
+    s = t.claims_for("billing_npi", "code", "practice_state", "claim_year")
+    assert s is t.summary and "month" not in s.columns
+    assert t.claims_for("month") is t.claims
+    for report in (reports.category_summary, reports.category_state, reports.code_detail, reports.yearly):
+        assert _rows(report(s, t.reference, filt)) == _rows(report(t.claims, t.reference, filt)), report.__name__
+    assert _rows(reports.state_overview(s, filt)) == _rows(reports.state_overview(t.claims, filt))
+    assert _rows(facets.states(s)) == _rows(facets.states(t.claims))
+    assert _rows(facets.years(s)) == _rows(facets.years(t.claims))
+    if filt.states:
+        a = dirs.directory(s, t.reference, t.registry, filt, "billing")
+        b = dirs.directory(t.claims, t.reference, t.registry, filt, "billing")
+        assert _rows(a) == _rows(b)
+    with pages.services_page(s, t.reference, filt) as p:
+        assert _rows(p.code_detail) == _rows(reports.code_detail(t.claims, t.reference, filt))
