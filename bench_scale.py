@@ -6,7 +6,8 @@ Derives a larger fact from the sf0.1 warehouse by replicating every row
 ``SCALE_REPLICAS`` times with a replica-specific billing and servicing NPI
 (``explode(sequence)``, no join), writes it with the production layout
 (partitioned by year, sorted by state and code) into a fresh folder under
-``spark.checkpoint.dir``, and times the main reports on it. Prints one JSON
+``spark.checkpoint.dir`` together with its provider summary, and times the
+main reports on both. Prints one JSON
 line. Only a measurement: the registered queries never read this data.
 """
 
@@ -28,7 +29,7 @@ from claimscope.operators.filters import ClaimsFilter  # noqa: E402
 from claimscope.plans import directory, pages, prep, reports  # noqa: E402
 from claimscope.session import local_session  # noqa: E402
 from claimscope.sources import schemas, warehouse  # noqa: E402
-from claimscope.sources.loaders import load_claims  # noqa: E402
+from claimscope.sources.loaders import load_claims, load_summary  # noqa: E402
 
 
 def main() -> None:
@@ -52,10 +53,20 @@ def main() -> None:
     write_sec = time.perf_counter() - t
     claims = load_claims(spark, path)
     rows = claims.count()
+    t = time.perf_counter()
+    prep.write_claims(schemas.conform(prep.provider_summary(claims), schemas.SUMMARY, "summary"), path + "_summary")
+    summary_sec = time.perf_counter() - t
+    summary = load_summary(spark, path + "_summary")
+    summary_rows = summary.count()
 
     ref, reg = base.reference, base.registry
     filt = ClaimsFilter(states=["NATION_12", "NATION_15"], years=["1998", "1999"])
     cases = {
+        "summary_state_overview": lambda: reports.state_overview(summary),
+        "summary_service_category": lambda: reports.category_summary(summary, ref),
+        "summary_service_code": lambda: reports.code_detail(summary, ref),
+        "summary_trend_yearly": lambda: reports.yearly(summary, ref),
+        "summary_directory_billing": lambda: directory.directory(summary, ref, reg, filt, "billing"),
         "state_overview": lambda: reports.state_overview(claims),
         "state_overview_filtered": lambda: reports.state_overview(claims, filt),
         "service_category": lambda: reports.category_summary(claims, ref),
@@ -90,7 +101,8 @@ def main() -> None:
                                           + out["service_code"], 3)
     print(json.dumps({"metric": "report median wall time on replicated fact", "unit": "sec",
                       "fact_rows": rows, "replicas": replicas, "cpus": cpus,
-                      "write_sec": round(write_sec, 2), "reports": out}))
+                      "write_sec": round(write_sec, 2), "summary_rows": summary_rows,
+                      "summary_write_sec": round(summary_sec, 2), "reports": out}))
     spark.stop()
 
 
