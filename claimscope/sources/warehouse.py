@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import inspect
+import sys
 import tempfile
 import uuid
 
@@ -53,7 +54,7 @@ def _code_version() -> str:
     from claimscope.plans import prep
 
     h = hashlib.sha1()
-    for mod in (testtables, prep, joins, schemas, loaders):
+    for mod in (testtables, prep, joins, schemas, loaders, sys.modules[__name__]):
         h.update(inspect.getsource(mod).encode())
     return h.hexdigest()[:12]
 
