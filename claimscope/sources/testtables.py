@@ -61,6 +61,10 @@ def _address_fields(key: str, street: str) -> list[F.Column]:
 
 
 def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # The key rules below (and the null-month / null-servicing rules in
+    # claim_lines) are the fixed test mapping: they decide which providers are
+    # *unregistered* so the left joins meet nulls. They do not sample: every
+    # row of every source table is read and every line item becomes a claim.
     nation = read(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     orgs = (
         read(spark, sf_dir, "supplier")
