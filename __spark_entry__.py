@@ -89,6 +89,11 @@ def _grain(t):
     return t.claims_for(*SUMMARY_COLS)
 
 
+def _month_grain(t):
+    """Monthly provider summary if built, else the fact (month, no servicing)."""
+    return t.claims_for(*SUMMARY_COLS, "month")
+
+
 def _servicing_dir(spark: SparkSession, sf: str) -> DataFrame:
     t = _tables(spark, sf)
     return dirs.directory(t.claims, t.reference, t.registry, STATE_YEAR, "servicing")
@@ -133,7 +138,7 @@ def _q_export_directory(spark, sf):
 
 def _q_export_trends(spark, sf):
     t = _tables(spark, sf)
-    df = reports.monthly(t.claims, t.reference, STATE_YEAR)
+    df = reports.monthly(_month_grain(t), t.reference, STATE_YEAR)
     return _out(csv_sink.export(df, _export_dir(spark, sf, "trends"), single_file=True))
 
 
@@ -145,7 +150,7 @@ def _q_materialize_reports(spark, sf):
             "state_overview": reports.state_overview(_grain(t)),
             "service_category": reports.category_summary(_grain(t), t.reference),
             "service_code": reports.code_detail(_grain(t), t.reference),
-            "trend_monthly": reports.monthly(t.claims, t.reference),
+            "trend_monthly": reports.monthly(_month_grain(t), t.reference),
         },
         root,
     )
@@ -180,7 +185,7 @@ def _q_filter_cascade(spark, sf):
 
 def _q_trend_monthly_state(spark, sf):
     t = _tables(spark, sf)
-    return _out(reports.monthly(t.claims, t.reference, STATE_YEAR))
+    return _out(reports.monthly(_month_grain(t), t.reference, STATE_YEAR))
 
 
 def _q_directory_post_category(spark, sf):
@@ -291,7 +296,7 @@ def _directory_query(view):
 
 def _q_trend_monthly(spark, sf):
     t = _tables(spark, sf)
-    return _out(reports.monthly(t.claims, t.reference))
+    return _out(reports.monthly(_month_grain(t), t.reference))
 
 
 def _q_trend_yearly(spark, sf):
@@ -301,7 +306,7 @@ def _q_trend_yearly(spark, sf):
 
 def _q_trend_category(spark, sf):
     t = _tables(spark, sf)
-    return reports.category_trend(t.claims, t.reference)
+    return reports.category_trend(_month_grain(t), t.reference)
 
 
 def _q_reference_category_counts(spark, sf):
@@ -353,13 +358,13 @@ def _q_facet_served_categories(spark, sf):
 
 def _q_trend_category_pivot(spark, sf):
     t = _tables(spark, sf)
-    return reshape.pivot_wide(reports.category_trend(t.claims, t.reference))
+    return reshape.pivot_wide(reports.category_trend(_month_grain(t), t.reference))
 
 
 def _series_query(measure):
     def run(spark, sf):
         t = _tables(spark, sf)
-        return _out(reshape.series(reports.monthly(t.claims, t.reference), "month", measure))
+        return _out(reshape.series(reports.monthly(_month_grain(t), t.reference), "month", measure))
 
     return run
 

@@ -68,13 +68,14 @@ def write_claims(enriched: DataFrame, path: str, mode: str = "overwrite") -> Non
     )
 
 
-def provider_summary(enriched: DataFrame) -> DataFrame:
-    """Fact -> billing provider x code x practice state x year (sums only).
-
-    Partial aggregation runs before the shuffle, so the shuffle carries at
-    most one row per group per task.
+def provider_summary(enriched: DataFrame, by_month: bool = False) -> DataFrame:
+    """Fact -> billing provider x code x practice state x year (or x month),
+    sums only. Sums are additive, so the year grain can be built from the
+    month grain. Partial aggregation runs before the shuffle, so the shuffle
+    carries at most one row per group per task.
     """
-    return enriched.groupBy("billing_npi", "code", "practice_state", "claim_year").agg(
+    keys = ["billing_npi", "code", "practice_state"] + (["month"] if by_month else []) + ["claim_year"]
+    return enriched.groupBy(*keys).agg(
         F.sum("total_claims").alias("total_claims"),
         F.sum("total_unique_beneficiaries").alias("total_unique_beneficiaries"),
         F.sum("total_paid").cast(schemas.SUMMARY_MONEY).alias("total_paid"),

@@ -50,8 +50,9 @@ def load_claims(spark: SparkSession, location: str) -> DataFrame:
     return schemas.conform(df, schemas.CLAIMS, "claims")
 
 
-def load_summary(spark: SparkSession, location: str) -> DataFrame:
-    return schemas.conform(_read(spark, location, schemas.SUMMARY), schemas.SUMMARY, "provider_summary")
+def load_summary(spark: SparkSession, location: str, by_month: bool = False) -> DataFrame:
+    schema = schemas.MONTH_SUMMARY if by_month else schemas.SUMMARY
+    return schemas.conform(_read(spark, location, schema), schema, "provider_summary")
 
 
 def load_reference(spark: SparkSession, location: str, validate: bool = True) -> DataFrame:
@@ -78,12 +79,15 @@ class Tables:
     reference: DataFrame
     registry: DataFrame
     summary: DataFrame | None = None
+    month_summary: DataFrame | None = None
 
     def claims_for(self, *columns: str) -> DataFrame:
-        """The provider summary when it has every column a report reads, else
-        the fact. Reports that need ``month`` or ``servicing_npi`` get the fact."""
-        if self.summary is not None and all(c in self.summary.columns for c in columns):
-            return self.summary
+        """The smallest table holding every column a report reads: the yearly
+        provider summary, else the monthly one, else the fact (which alone
+        has the servicing NPI)."""
+        for table in (self.summary, self.month_summary):
+            if table is not None and all(c in table.columns for c in columns):
+                return table
         return self.claims
 
     @classmethod

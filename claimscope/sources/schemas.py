@@ -49,6 +49,10 @@ SUMMARY = T.StructType(
     ]
 )
 
+# The same at month grain (only the servicing provider aggregated away), for
+# the monthly and category trends.
+MONTH_SUMMARY = T.StructType(SUMMARY.fields[:3] + [T.StructField("month", T.StringType(), True)] + SUMMARY.fields[3:])
+
 # Monthly rollup before enrichment (no location yet).
 CLAIMS_MONTHLY = T.StructType([f for f in CLAIMS.fields if f.name not in ("practice_state", "claim_year")])
 

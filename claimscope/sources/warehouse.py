@@ -112,11 +112,16 @@ def build(spark: SparkSession, sf_dir: str, home: str) -> str:
     written = loaders.load_registry(spark, f"{folder}/provider_registry", validate=False)
     enriched = prep.enrich_claims(testtables.claims_monthly(spark, sf_dir), written)
     prep.write_claims(schemas.conform(enriched, schemas.CLAIMS, "claims"), f"{folder}/claims")
-    # The provider summary is derived from the fact just written (no re-run
-    # of the rollup), with the same layout.
+    # The provider summaries are derived from the fact just written (no
+    # re-run of the rollup), month grain first and the year grain from it,
+    # with the same layout.
     written_claims = loaders.load_claims(spark, f"{folder}/claims")
-    summary = schemas.conform(prep.provider_summary(written_claims), schemas.SUMMARY, "provider_summary")
-    prep.write_claims(summary, f"{folder}/provider_summary")
+    monthly = prep.provider_summary(written_claims, by_month=True)
+    prep.write_claims(schemas.conform(monthly, schemas.MONTH_SUMMARY, "month_summary"),
+                      f"{folder}/provider_month_summary")
+    written_monthly = loaders.load_summary(spark, f"{folder}/provider_month_summary", by_month=True)
+    yearly = prep.provider_summary(written_monthly)
+    prep.write_claims(schemas.conform(yearly, schemas.SUMMARY, "provider_summary"), f"{folder}/provider_summary")
     spark.createDataFrame([(folder,)], "value string").coalesce(1).write.mode("overwrite").text(f"{home}/_current")
     return folder
 
@@ -143,6 +148,7 @@ def open_test_tables(spark: SparkSession, sf_dir: str, materialize: bool = True)
         loaders.load_reference(spark, f"{folder}/code_reference", validate=False),
         loaders.load_registry(spark, f"{folder}/provider_registry", validate=False),
         loaders.load_summary(spark, f"{folder}/provider_summary"),
+        loaders.load_summary(spark, f"{folder}/provider_month_summary", by_month=True),
     )
     _opened[key] = tables
     return tables

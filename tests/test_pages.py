@@ -59,7 +59,7 @@ def test_directory_page(t):
 def test_provider_summary_equals_fact(t, filt):
     s = t.claims_for("billing_npi", "code", "practice_state", "claim_year")
     assert s is t.summary and "month" not in s.columns
-    assert t.claims_for("month") is t.claims
+    assert t.claims_for("month") is t.month_summary and t.claims_for("servicing_npi") is t.claims
     for report in (reports.category_summary, reports.category_state, reports.code_detail, reports.yearly):
         assert _rows(report(s, t.reference, filt)) == _rows(report(t.claims, t.reference, filt)), report.__name__
     assert _rows(reports.state_overview(s, filt)) == _rows(reports.state_overview(t.claims, filt))
@@ -71,3 +71,15 @@ def test_provider_summary_equals_fact(t, filt):
         assert _rows(a) == _rows(b)
     with pages.services_page(s, t.reference, filt) as p:
         assert _rows(p.code_detail) == _rows(reports.code_detail(t.claims, t.reference, filt))
+
+
+@pytest.mark.parametrize("filt", FILTERS[:3])
+def test_month_summary_equals_fact(t, filt):
+    m = t.claims_for("billing_npi", "code", "practice_state", "claim_year", "month")
+    assert m is t.month_summary and "servicing_npi" not in m.columns
+    assert t.claims_for("servicing_npi") is t.claims
+    for report in (reports.monthly, reports.category_trend, reports.yearly):
+        assert _rows(report(m, t.reference, filt)) == _rows(report(t.claims, t.reference, filt)), report.__name__
+    with pages.trends_page(m, t.reference, filt) as p:
+        assert _rows(p.monthly) == _rows(reports.monthly(t.claims, t.reference, filt))
+    assert m.count() < t.claims.count()
