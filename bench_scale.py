@@ -6,8 +6,8 @@ Derives a larger fact from the sf0.1 warehouse by replicating every row
 ``SCALE_REPLICAS`` times with a replica-specific billing and servicing NPI
 (``explode(sequence)``, no join), writes it with the production layout
 (partitioned by year, sorted by state and code) into a fresh folder under
-``spark.checkpoint.dir`` together with its provider summary, and times the
-main reports on both. Prints one JSON
+``spark.checkpoint.dir`` together with its monthly and yearly provider
+summaries, and times the main reports on the fact and on the summaries. Prints one JSON
 line. Only a measurement: the registered queries never read this data.
 """
 
@@ -54,10 +54,15 @@ def main() -> None:
     claims = load_claims(spark, path)
     rows = claims.count()
     t = time.perf_counter()
-    prep.write_claims(schemas.conform(prep.provider_summary(claims), schemas.SUMMARY, "summary"), path + "_summary")
+    prep.write_claims(schemas.conform(prep.provider_summary(claims, by_month=True), schemas.MONTH_SUMMARY, "m"),
+                      path + "_month_summary")
+    month_summary = load_summary(spark, path + "_month_summary", by_month=True)
+    prep.write_claims(schemas.conform(prep.provider_summary(month_summary), schemas.SUMMARY, "summary"),
+                      path + "_summary")
     summary_sec = time.perf_counter() - t
     summary = load_summary(spark, path + "_summary")
     summary_rows = summary.count()
+    month_summary_rows = month_summary.count()
 
     ref, reg = base.reference, base.registry
     filt = ClaimsFilter(states=["NATION_12", "NATION_15"], years=["1998", "1999"])
@@ -67,6 +72,9 @@ def main() -> None:
         "summary_service_code": lambda: reports.code_detail(summary, ref),
         "summary_trend_yearly": lambda: reports.yearly(summary, ref),
         "summary_directory_billing": lambda: directory.directory(summary, ref, reg, filt, "billing"),
+        "month_summary_trend_monthly": lambda: reports.monthly(month_summary, ref),
+        "month_summary_category_trend": lambda: reports.category_trend(month_summary, ref),
+        "category_trend": lambda: reports.category_trend(claims, ref),
         "state_overview": lambda: reports.state_overview(claims),
         "state_overview_filtered": lambda: reports.state_overview(claims, filt),
         "service_category": lambda: reports.category_summary(claims, ref),
@@ -102,6 +110,7 @@ def main() -> None:
     print(json.dumps({"metric": "report median wall time on replicated fact", "unit": "sec",
                       "fact_rows": rows, "replicas": replicas, "cpus": cpus,
                       "write_sec": round(write_sec, 2), "summary_rows": summary_rows,
+                      "month_summary_rows": month_summary_rows,
                       "summary_write_sec": round(summary_sec, 2), "reports": out}))
     spark.stop()
 
