@@ -36,7 +36,11 @@ CLAIMS = T.StructType(
 # one row per billing provider x code x practice state x year. Distinct
 # billing providers stay exact on it (the NPI is in the key); sums are
 # additive. Reports that need neither month nor servicing NPI read it.
-SUMMARY_MONEY = T.DecimalType(28, 2)
+# Money stays DECIMAL(18,2) as in the fact: up to precision 18 Parquet stores
+# it as INT64 and Spark adds it as a long; wider decimals are read through
+# BigDecimal row by row. A per-provider/code/year sum beyond 10^16 would fail
+# the cast (ANSI mode, the default) rather than be truncated.
+SUMMARY_MONEY = MONEY
 SUMMARY = T.StructType(
     [
         T.StructField("billing_npi", T.StringType(), False),
