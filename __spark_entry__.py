@@ -471,11 +471,17 @@ def entry(spark: SparkSession) -> DataFrame:
     return _QUERIES["directory_billing"](spark, SF_SMOKE)
 
 
+try:  # the training-data operators are an optional part
+    from claimscope.llm import queries as _llm
+except ImportError:
+    _llm = None
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+    return {**_QUERIES, **(_llm.queries() if _llm else {})}
 
 
 def oracle_sql() -> dict[str, str]:
     from duckdb_oracle import ORACLE_SQL
 
-    return dict(ORACLE_SQL)
+    return {**ORACLE_SQL, **(_llm.oracle_sql() if _llm else {})}
