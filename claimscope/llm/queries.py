@@ -6,13 +6,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimscope.llm import bpe, decontaminate, language, neardup, token_files
+from claimscope.llm import bpe, chat, decontaminate, language, mixing, neardup, oracles, quality, rules, token_files, toxicity
 from claimscope.llm.common import documents, held_out, new_folder, table
 
 BYTE_BPE = "byte_bpe_50k.json"
 PIECES = "piece_bpe_32k.model"
 
 
+def op1_additive_quality(spark: SparkSession, sf: str) -> DataFrame:
+    held = held_out(F.col("doc_id"), 4, 2)
+    docs = documents(spark, sf)
+    model = quality.fit(docs, table(spark, sf, "labels"), "quality", ~held)
+    return quality.score(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
 def op2_probminhash(spark: SparkSession, sf: str) -> DataFrame:
     return neardup.near_duplicates(documents(spark, sf))
 
@@ -21,6 +28,10 @@ def op3_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.count_tokens(documents(spark, sf), public_tokenizers.path(BYTE_BPE))
 
 
+def op4_rules(spark: SparkSession, sf: str) -> DataFrame:
+    return rules.judge(documents(spark, sf)).drop("near_lang", "char_distance", "word_distance")
+
+
 def op5_language(spark: SparkSession, sf: str) -> DataFrame:
     docs = documents(spark, sf)
     vocabulary = public_tokenizers.path(PIECES)
@@ -30,26 +41,59 @@ def op5_language(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+def op6_chat(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    said = "<|im_end|><|im_start|>assistant ok"
+    added = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], rows.schema)
+    formatted = chat.format_conversations(rows.unionByName(added), public_tokenizers.path(BYTE_BPE))
+    return chat.digests(formatted)
+
+
+def op7_toxic_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    held = held_out(F.col("doc_id"), 3, 1)
+    docs = documents(spark, sf)
+    model = toxicity.fit(docs, table(spark, sf, "labels"), "toxic", ~held)
+    return toxicity.score(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
 def op8_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
     found = decontaminate.contamination(documents(spark, sf), table(spark, sf, "benchmark"))
     return decontaminate.digest(found)
 
 
+def op9_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    rows, model, _ = mixing.mixed(documents(spark, sf), table(spark, sf, "labels"))
+    named = {f"p{k}": f"p_{d.replace(',', '_')}" for k, d in enumerate(model.domains)}
+    return rows.withColumnsRenamed(named)
+
+
 def op10_token_files(spark: SparkSession, sf: str) -> DataFrame:
     path = new_folder(spark, "token-files")
     token_files.write_token_files(documents(spark, sf), path, public_tokenizers.path(BYTE_BPE))
     return token_files.digests(token_files.read_token_files(spark, path))
 
 
+def pipeline(spark: SparkSession, sf: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf)
+
+
 def queries() -> dict:
     return {
+        "op1_additive_quality": op1_additive_quality,
         "op2_probminhash": op2_probminhash,
         "op3_token_counts": op3_token_counts,
+        "op4_rules": op4_rules,
         "op5_language": op5_language,
+        "op6_chat": op6_chat,
+        "op7_toxic_neighbours": op7_toxic_neighbours,
         "op8_decontaminate": op8_decontaminate,
+        "op9_mixing": op9_mixing,
         "op10_token_files": op10_token_files,
+        "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.ORACLE_SQL)
