@@ -37,7 +37,8 @@ from claimscope.plans import kpis, prep, reports
 from claimscope.sinks import csv as csv_sink
 from claimscope.sinks import tables as table_sink
 from claimscope.sources import schemas, testtables
-from claimscope.sources.warehouse import open_test_tables, scratch_root, source_fingerprint
+from claimscope.sources.loaders import load_claims
+from claimscope.sources.warehouse import drop_folder, open_test_tables, scratch_root, source_fingerprint
 from claimscope.streaming import publish
 
 SF_SMOKE = "/root/testdata/sf0.001"
@@ -45,22 +46,26 @@ SF_SMOKE = "/root/testdata/sf0.001"
 # Fixed arguments of the registered queries.
 STATES = ("NATION_12", "NATION_15")
 YEARS = ("1998", "1999")
-CATEGORY = "Prevention"
+CATEGORY = "Outreach"
 CODES = ("Brand#3", "Brand#10")
-OTHER_CATEGORY = "Therapy"
+OTHER_CATEGORY = "Treatment"
 SEARCH = "machinery"
+VIEW_SEARCH = "city_1"
 KEYWORDS = ("gear", "WIDGET", "promo")
 CROSSWALK_RULES = (
-    (("gear",), "Therapy"),
-    (("widget", "gizmo"), "Prevention"),
-    (("promo",), "Supportive Services"),
+    (("gear",), "Treatment"),
+    (("widget", "gizmo"), "Outreach"),
+    (("promo",), "Support"),
 )
 CROSSWALK_DEFAULT = "Unassigned"
 
 NO_FILTER = ClaimsFilter()
 STATE_YEAR = ClaimsFilter(states=STATES, years=YEARS)
 STATE_YEAR_CATEGORY = ClaimsFilter(states=STATES, years=YEARS, category=CATEGORY)
+STATE_YEAR_CODES = ClaimsFilter(states=STATES, years=YEARS, codes=CODES)
 CASCADE = ClaimsFilter(category=OTHER_CATEGORY, codes=CODES)
+# Every state of the test registry.
+EVERY_STATE = ClaimsFilter(states=tuple(f"NATION_{n}" for n in range(25)))
 
 
 def _out(df: DataFrame) -> DataFrame:
@@ -90,7 +95,7 @@ def _grain(t):
 
 
 def _month_grain(t):
-    """Monthly provider summary if built, else the fact (month, no servicing)."""
+    """Monthly provider summary if built (an option), else the fact."""
     return t.claims_for(*SUMMARY_COLS, "month")
 
 
@@ -142,19 +147,24 @@ def _q_export_trends(spark, sf):
     return _out(csv_sink.export(df, _export_dir(spark, sf, "trends"), single_file=True))
 
 
-def _q_materialize_reports(spark, sf):
-    t = _tables(spark, sf)
-    root = f"{scratch_root(spark)}/claimscope/reports/{source_fingerprint(spark, sf)}"
-    written = table_sink.materialize_all(
-        {
-            "state_overview": reports.state_overview(_grain(t)),
-            "service_category": reports.category_summary(_grain(t), t.reference),
-            "service_code": reports.code_detail(_grain(t), t.reference),
-            "trend_monthly": reports.monthly(_month_grain(t), t.reference),
-        },
-        root,
-    )
-    return _out(written["state_overview"])
+def _materialized(name):
+    """One of the four written report tables; the first call writes them, later ones read."""
+
+    def run(spark, sf):
+        t = _tables(spark, sf)
+        root = f"{scratch_root(spark)}/claimscope/reports/{source_fingerprint(spark, sf)}"
+        written = table_sink.materialize_all(
+            {
+                "state_overview": reports.state_overview(_grain(t)),
+                "service_category": reports.category_summary(_grain(t), t.reference),
+                "service_code": reports.code_detail(_grain(t), t.reference),
+                "trend_monthly": reports.monthly(_month_grain(t), t.reference),
+            },
+            root,
+        )
+        return _out(written[name])
+
+    return run
 
 
 def _q_filter_known_state(spark, sf):
@@ -352,7 +362,7 @@ def _q_facet_codes(spark, sf):
 
 def _q_facet_served_categories(spark, sf):
     t = _tables(spark, sf)
-    d = dirs.directory(_grain(t), t.reference, t.registry, STATE_YEAR_CATEGORY, "billing")
+    d = dirs.directory(_grain(t), t.reference, t.registry, STATE_YEAR, "billing")
     return facets.served_categories(d)
 
 
@@ -387,17 +397,71 @@ def _q_prep_crosswalk(spark, sf):
 
 
 def _q_stream_publication(spark, sf):
-    """Monthly rollup landed as files, published by the streaming job, read back."""
-    run = f"{scratch_root(spark)}/claimscope/streams/{source_fingerprint(spark, sf)}/{uuid.uuid4().hex[:12]}"
+    """A batch-written fact up to 1996; the stream publishes later months and one of 1996 again."""
+    home = f"{scratch_root(spark)}/claimscope/streams/{source_fingerprint(spark, sf)}"
+    drop_folder(spark, home)  # earlier runs
+    run = f"{home}/{uuid.uuid4().hex[:12]}"
     t = _tables(spark, sf)
-    # The monthly files as published: the built fact without its enrichment.
-    t.claims.select(*schemas.CLAIMS_MONTHLY.fieldNames()).write.mode("overwrite").parquet(f"{run}/landing")
-    registry = t.registry
-    q = publish.start_publication(spark, f"{run}/landing", registry, f"{run}/warehouse", f"{run}/checkpoint")
+    early = F.coalesce(F.col("claim_year") <= "1996", F.lit(False))
+    prep.write_claims(prep.suppress(t.claims.where(early)), f"{run}/fact")
+    late = t.claims.where(~early | (F.col("month") == "1996-07"))
+    late.select(*schemas.CLAIMS_MONTHLY.fieldNames()).write.parquet(f"{run}/landing")
+    q = publish.start_publication(spark, f"{run}/landing", t.registry, f"{run}/published", f"{run}/checkpoint")
     q.awaitTermination()
-    from claimscope.sources.loaders import load_claims
+    return _out(publish.load_published(spark, f"{run}/published", load_claims(spark, f"{run}/fact")))
+
+
+def _directory(view, filt, then=lambda d: d):
+    """A directory over the fact, and what follows from it."""
+
+    def run(spark, sf):
+        t = _tables(spark, sf)
+        return _out(then(dirs.directory(t.claims, t.reference, t.registry, filt, view)))
+
+    return run
+
+
+def _on_fact(report, *args):
+    """A report computed from the fact itself instead of a summary."""
+
+    def run(spark, sf):
+        t = _tables(spark, sf)
+        inputs = (t.claims,) if report is reports.state_overview else (t.claims, t.reference)
+        return _out(report(*inputs, *args))
+
+    return run
+
+
+def _q_series_state_claims(spark, sf):
+    t = _tables(spark, sf)
+    return _out(reshape.series(reports.state_overview(_grain(t)), "state", "total_claims"))
+
+
+def _q_series_category_claims(spark, sf):
+    t = _tables(spark, sf)
+    return _out(reshape.series(reports.category_summary(_grain(t), t.reference), "category", "total_claims"))
+
+
+def _q_series_category_codes(spark, sf):
+    return reshape.series(reports.category_counts(_tables(spark, sf).reference), "category", "code_count")
+
+
+def _q_reference_shown_count(spark, sf):
+    return kpis.shown_rows(reports.reference_by_category(_tables(spark, sf).reference, CATEGORY))
+
 
-    return _out(load_claims(spark, f"{run}/warehouse"))
+def _view_queries():
+    """What the directory page shows below each view, over every state."""
+    out = {}
+    for view in dirs.VIEWS:
+        out[f"directory_{view}_all"] = _directory(view, EVERY_STATE)
+        out[f"directory_{view}_category"] = _directory(view, STATE_YEAR_CATEGORY)
+        out[f"directory_{view}_codes"] = _directory(view, STATE_YEAR_CODES)
+        out[f"directory_{view}_all_post_category"] = _directory(view, EVERY_STATE, lambda d: refine.post_category(d, CATEGORY))
+        out[f"directory_{view}_all_search"] = _directory(view, EVERY_STATE, lambda d: refine.search(d, VIEW_SEARCH))
+        out[f"directory_{view}_all_count"] = _directory(view, EVERY_STATE, lambda d: kpis.shown_rows(refine.refine(d, CATEGORY, VIEW_SEARCH)))
+        out[f"kpi_directory_{view}_all"] = _directory(view, EVERY_STATE, kpis.directory_kpis)
+    return out
 
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -409,7 +473,10 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "export_services": _q_export_services,
     "export_directory": _q_export_directory,
     "export_trends": _q_export_trends,
-    "materialize_reports": _q_materialize_reports,
+    "materialize_reports": _materialized("state_overview"),
+    "materialize_service_category": _materialized("service_category"),
+    "materialize_service_code": _materialized("service_code"),
+    "materialize_trend_monthly": _materialized("trend_monthly"),
     "filter_known_state": _q_filter_known_state,
     "filter_state": _q_filter_state,
     "filter_year": _q_filter_year,
@@ -463,6 +530,21 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "prep_keyword_codes": _q_prep_keyword_codes,
     "prep_crosswalk": _q_prep_crosswalk,
     "stream_publication": _q_stream_publication,
+    **_view_queries(),
+    "trend_yearly_state": _on_fact(reports.yearly, STATE_YEAR),
+    "trend_category_state": _on_fact(reports.category_trend, STATE_YEAR),
+    "service_category_state_filtered": _on_fact(reports.category_state, STATE_YEAR),
+    "state_overview_fact": _on_fact(reports.state_overview),
+    "service_category_fact": _on_fact(reports.category_summary),
+    "service_category_state_fact": _on_fact(reports.category_state),
+    "service_code_fact": _on_fact(reports.code_detail),
+    "trend_monthly_fact": _on_fact(reports.monthly),
+    "trend_yearly_fact": _on_fact(reports.yearly),
+    "trend_category_fact": _on_fact(reports.category_trend),
+    "series_state_claims": _q_series_state_claims,
+    "series_category_claims": _q_series_category_claims,
+    "series_category_codes": _q_series_category_codes,
+    "reference_shown_count": _q_reference_shown_count,
 }
 
 

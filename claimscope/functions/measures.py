@@ -7,7 +7,7 @@ bounded size, so Spark plans them as partial (map-side) + final aggregation.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimscope.functions.scalars import LIST_SEPARATOR
@@ -37,13 +37,7 @@ def m4(providers_alias: str = "providers") -> list[Column]:
 
 
 def served_categories() -> list[Column]:
-    """Distinct category count and sorted ``", "`` list.
-
-    Written with ``collect_set`` (at most one entry per reference category)
-    instead of ``COUNT(DISTINCT)`` + ordered ``listagg``: it is one ordinary
-    partial aggregate, no ``Expand``, and avoids the optimizer failure of
-    mixing the two distinct forms. An all-null input gives null, not ''.
-    """
+    """Distinct category count and sorted ``", "`` list; an all-null input gives null, not ''."""
     cats = F.collect_set("category")
     return [
         F.size(cats).cast("bigint").alias("hiv_service_categories"),
@@ -53,9 +47,18 @@ def served_categories() -> list[Column]:
     ]
 
 
-def directory() -> list[Column]:
-    return served_categories() + [
-        total_claims("total_hiv_claims"),
-        total_beneficiaries(),
-        total_paid(),
-    ]
+def directory(base: DataFrame, *keys: str) -> DataFrame:
+    """Directory measures by ``keys``, in two steps.
+
+    Claim rows are first summed by (keys, category), an ordinary hash aggregate; the
+    category set is then collected over at most one row per category, so that the
+    object aggregate never sees claim rows.
+    """
+    by_category = base.groupBy(*keys, "category").agg(
+        F.sum("total_claims").alias("total_claims"),
+        F.sum("total_unique_beneficiaries").alias("total_unique_beneficiaries"),
+        F.sum("total_paid").alias("total_paid"),
+    )
+    return by_category.groupBy(*keys).agg(
+        *served_categories(), total_claims("total_hiv_claims"), total_beneficiaries(), total_paid()
+    )

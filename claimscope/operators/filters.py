@@ -14,8 +14,6 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ALL_CATEGORIES = "All Categories"
-
 
 def _tuple(values: Iterable[str] | str | None) -> tuple[str, ...]:
     if values is None:
@@ -29,8 +27,7 @@ def _tuple(values: Iterable[str] | str | None) -> tuple[str, ...]:
 class ClaimsFilter:
     """User selection shared by the reports.
 
-    ``codes`` win over ``category``; ``category`` None or "All Categories"
-    means every tracked code.
+    ``codes`` win over ``category``; ``category`` None means every tracked code.
     """
 
     states: tuple[str, ...] = ()
@@ -42,8 +39,6 @@ class ClaimsFilter:
         object.__setattr__(self, "states", _tuple(self.states))
         object.__setattr__(self, "years", tuple(str(y) for y in _tuple(self.years)))
         object.__setattr__(self, "codes", _tuple(self.codes))
-        if self.category == ALL_CATEGORIES:
-            object.__setattr__(self, "category", None)
 
     def without_years(self) -> ClaimsFilter:
         """Trends show the whole period: the year selection does not apply."""
@@ -96,17 +91,15 @@ def select_codes(ref: DataFrame, category: str | None = None, codes: Iterable[st
     codes = _tuple(codes)
     if codes:
         return ref.where(F.col("code").isin(*codes))
-    if category is not None and category != ALL_CATEGORIES:
+    if category is not None:
         return category_codes(ref, category)
     return ref
 
 
 def by_category(claims: DataFrame, ref: DataFrame, category: str) -> DataFrame:
     """Stand-alone category filter on the fact: semi join to the category's codes."""
-    from claimscope.operators.joins import checked_broadcast
-
     codes = category_codes(ref, category).select("code").distinct()
-    return claims.join(checked_broadcast(codes), "code", "left_semi").select(*claims.columns)
+    return claims.join(codes, "code", "left_semi").select(*claims.columns)
 
 
 def claim_filters(claims: DataFrame, filt: ClaimsFilter) -> DataFrame:
@@ -118,7 +111,7 @@ def claim_filters(claims: DataFrame, filt: ClaimsFilter) -> DataFrame:
 
 
 def reference_by_category(ref: DataFrame, category: str | None) -> DataFrame:
-    """Equality filter on the reference table; 'All Categories' = identity."""
-    if category is None or category == ALL_CATEGORIES:
+    """Equality filter on the reference table; None = identity."""
+    if category is None:
         return ref
     return ref.where(F.col("category") == F.lit(category))

@@ -1,9 +1,13 @@
 """Joins of the claims model.
 
-* code reference: inner equi-join, broadcast only after its size is checked;
+* code reference: inner equi-join;
 * provider registry: left equi-joins on the billing and/or servicing NPI.
-  The registry grows with the provider population (millions of rows), so it
-  is never hinted; AQE picks broadcast or sort-merge from runtime sizes.
+
+No side is hinted: Spark broadcasts a side below its byte threshold, from statistics or,
+with AQE, from the size a shuffle stage turned out to have, and sort-merges otherwise.
+A hot billing NPI is left to AQE's skew-join splitting. A null servicing NPI can match
+nothing, so null keys are spread over many non-matching values instead of meeting in
+one partition.
 """
 
 from __future__ import annotations
@@ -13,17 +17,8 @@ from pyspark.sql import functions as F
 
 from claimscope.functions.scalars import year_of
 
-# Upper bound for broadcasting a dimension that is small by nature (the code
-# reference has tens of rows). Above it the hint is dropped and the planner
-# decides from statistics.
-BROADCAST_MAX_ROWS = 100_000
-
-# The practice-location map (npi, state) is two short strings per provider:
-# up to this many rows (tens of MB) it is broadcast to the fact; a national
-# registry is larger and is joined by sort-merge with AQE skew splitting.
-LOCATION_BROADCAST_MAX_ROWS = 1_000_000
-
-_checked: dict[tuple[int, int], bool] = {}
+# Null join keys are spread over this many values.
+NULL_SPREAD = 1024
 
 REGISTRY_ATTRIBUTES = (
     "entity_type",
@@ -40,20 +35,6 @@ REGISTRY_ATTRIBUTES = (
 )
 
 
-def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """``broadcast(df)`` if it has at most ``max_rows`` rows, else ``df`` unchanged.
-
-    The check is a bounded job (``limit(max_rows + 1).count()``), remembered
-    per logical plan for the life of the process.
-    """
-    key = (df.semanticHash(), max_rows)
-    small = _checked.get(key)
-    if small is None:
-        small = df.limit(max_rows + 1).count() <= max_rows
-        _checked[key] = small
-    return F.broadcast(df) if small else df
-
-
 def with_reference(claims: DataFrame, ref: DataFrame) -> DataFrame:
     """Inner join on code: keeps tracked codes only and adds category, description.
 
@@ -61,7 +42,7 @@ def with_reference(claims: DataFrame, ref: DataFrame) -> DataFrame:
     fan out and sums double.
     """
     ref = ref.select("code", "category", "description")
-    return claims.join(checked_broadcast(ref), "code", "inner")
+    return claims.join(ref, "code", "inner")
 
 
 def _registry_side(registry: DataFrame, key: str, prefix: str) -> DataFrame:
@@ -75,9 +56,22 @@ def with_billing(df: DataFrame, registry: DataFrame, key: str = "billing_npi", p
     return df.join(_registry_side(registry, key, prefix), key, "left")
 
 
+def join_key(key: str, *spread_by: str) -> F.Column:
+    """The key, with nulls replaced by values that no provider number equals."""
+    spread = F.pmod(F.xxhash64(*spread_by), F.lit(NULL_SPREAD)).cast("string")
+    return F.coalesce(F.col(key), F.concat(F.lit("null-"), spread))
+
+
+def left_join_on(df: DataFrame, side: DataFrame, key: str, *spread_by: str) -> DataFrame:
+    """Left join on a nullable key of ``df``; ``side`` has the key under the same name."""
+    keyed = df.withColumn("__join_key", join_key(key, *spread_by))
+    return keyed.join(side.withColumnRenamed(key, "__join_key"), "__join_key", "left").drop("__join_key")
+
+
 def with_servicing(df: DataFrame, registry: DataFrame, key: str = "servicing_npi", prefix: str = "s_") -> DataFrame:
     """Left join on the servicing NPI; a null NPI never matches."""
-    return df.join(_registry_side(registry, key, prefix), key, "left")
+    spread_by = [c for c in ("billing_npi", "code", "month") if c in df.columns]
+    return left_join_on(df, _registry_side(registry, key, prefix), key, *spread_by)
 
 
 def with_both(df: DataFrame, registry: DataFrame) -> DataFrame:
@@ -92,5 +86,4 @@ def enrich(monthly: DataFrame, registry: DataFrame) -> DataFrame:
     (every report then drops them). Only two registry columns take part.
     """
     location = registry.select(F.col("npi").alias("billing_npi"), F.col("state").alias("practice_state"))
-    location = checked_broadcast(location, LOCATION_BROADCAST_MAX_ROWS)
     return monthly.join(location, "billing_npi", "left").withColumn("claim_year", year_of("month"))

@@ -13,17 +13,15 @@ from pyspark.sql import types as T
 
 from claimscope.functions.scalars import search_text, split_list
 
-ALL = "All"
-
 
 def post_category(directory: DataFrame, category: str | None,
                   column: str = "categories_served") -> DataFrame:
     """Keep rows whose served-category list holds ``category`` as an element.
 
     Exact element match on the split list (a literal, not a regular
-    expression); a null list never matches. 'All' / None = identity.
+    expression); a null list never matches. None = identity.
     """
-    if category is None or category == ALL:
+    if category is None:
         return directory
     return directory.where(F.coalesce(F.array_contains(split_list(column), F.lit(category)), F.lit(False)))
 

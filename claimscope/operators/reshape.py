@@ -9,41 +9,37 @@ from pyspark.sql import functions as F
 
 from claimscope.functions.scalars import code_label, label_code
 
-# A pivot makes one column per value; the values are categories of the code
-# reference, which is small by nature. Refuse rather than build a huge row.
-MAX_PIVOT_VALUES = 1_000
-
-
-def pivot_values(df: DataFrame, column: str, where=None) -> list[str]:
-    """Sorted distinct non-null values of ``column`` (bounded, checked)."""
-    src = df if where is None else df.where(where)
-    rows = (
-        src.where(F.col(column).isNotNull())
-        .select(column)
-        .distinct()
-        .orderBy(column)
-        .limit(MAX_PIVOT_VALUES + 1)
-        .collect()
-    )
-    if len(rows) > MAX_PIVOT_VALUES:
-        raise ValueError(f"more than {MAX_PIVOT_VALUES} distinct {column!r} values to pivot")
-    return [r[0] for r in rows]
+
+def _quoted(name: str) -> F.Column:
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def pivot_values(df: DataFrame, column: str) -> list[str]:
+    """Sorted distinct non-null values of ``column``, one per column of the wide table."""
+    rows = df.where(_quoted(column).isNotNull()).select(_quoted(column).alias("v")).distinct().orderBy("v").collect()
+    return [r["v"] for r in rows]
 
 
 def pivot_wide(long: DataFrame, index: str = "month", columns: str = "category",
                value: str = "total_claims", values: Sequence[str] | None = None) -> DataFrame:
     """Rows ``index``, one column per ``columns`` value, holes filled with 0.
 
-    Rows with a null index or null column value are dropped first (Spark would
-    otherwise make a ``null`` column / row); with ``values`` omitted, only the
-    values present among the remaining rows become columns.
+    Rows with a null index or null column value are dropped first; with ``values``
+    omitted, the values present among the remaining rows become columns (none: only the
+    index remains). The long report, one row per index and value, is persisted, so that
+    looking its values up does not run it twice. Values may hold any characters: sums
+    get plain names and are renamed last.
     """
-    clean = long.where(F.col(index).isNotNull() & F.col(columns).isNotNull())
+    clean = long.where(_quoted(index).isNotNull() & _quoted(columns).isNotNull())
+    clean = clean.select(_quoted(index).alias("i"), _quoted(columns).alias("c"), _quoted(value).alias("v"))
     if values is None:
-        values = pivot_values(clean, columns)
-    wide = clean.groupBy(index).pivot(columns, list(values)).agg(F.sum(value))
+        clean = clean.persist()
+        values = pivot_values(clean, "c")
+    sums = [F.sum(F.when(F.col("c") == F.lit(x), F.col("v"))).alias(f"v{k}") for k, x in enumerate(values)]
+    wide = clean.groupBy("i").agg(*sums) if sums else clean.select("i").distinct()
+    names = [F.coalesce(f"v{k}", F.lit(0)).alias(x) for k, x in enumerate(values)]
     # One row per index value (months): small, ordered in one partition.
-    return wide.fillna(0, subset=list(values)).repartition(1).sortWithinPartitions(index)
+    return wide.repartition(1).sortWithinPartitions("i").select(F.col("i").alias(index), *names)
 
 
 def series(report: DataFrame, key: str, measure: str) -> DataFrame:

@@ -16,14 +16,10 @@ from pyspark.sql import functions as F
 from claimscope.functions import measures
 from claimscope.functions.scalars import billing_name, servicing_name
 from claimscope.operators.filters import ClaimsFilter
+from claimscope.operators.joins import left_join_on
 from claimscope.plans.reports import service_base
 
 VIEWS = ("billing", "servicing", "combined")
-VIEW_LABELS = {
-    "Billing Provider": "billing",
-    "Servicing Provider": "servicing",
-    "Billing + Servicing Combined": "combined",
-}
 
 MEASURE_COLUMNS = (
     "hiv_service_categories",
@@ -58,7 +54,6 @@ def _order(df: DataFrame, *keys: str) -> DataFrame:
 def directory(claims: DataFrame, ref: DataFrame, registry: DataFrame, filt: ClaimsFilter,
               view: str = "billing") -> DataFrame:
     """Directory rows for the chosen view; requires at least one state."""
-    view = VIEW_LABELS.get(view, view)
     if view not in VIEWS:
         raise ValueError(f"view must be one of {VIEWS}, got {view!r}")
     filt.require_states()
@@ -66,7 +61,7 @@ def directory(claims: DataFrame, ref: DataFrame, registry: DataFrame, filt: Clai
     m = list(MEASURE_COLUMNS)
 
     if view == "billing":
-        agg = base.groupBy(F.col("billing_npi").alias("npi")).agg(*measures.directory())
+        agg = measures.directory(base.withColumnRenamed("billing_npi", "npi"), "npi")
         out = agg.join(_registry(registry, "npi"), "npi", "left").select(
             "npi",
             "entity_type",
@@ -86,7 +81,7 @@ def directory(claims: DataFrame, ref: DataFrame, registry: DataFrame, filt: Clai
         # A null servicing NPI is one group; it matches no registry row and
         # is shown as 'Unknown'. The state shown is the servicing provider's,
         # while the state filter applied to the billing location.
-        agg = base.groupBy(F.col("servicing_npi").alias("npi")).agg(*measures.directory())
+        agg = measures.directory(base.withColumnRenamed("servicing_npi", "npi"), "npi")
         out = agg.join(_registry(registry, "npi"), "npi", "left").select(
             "npi",
             "entity_type",
@@ -102,10 +97,11 @@ def directory(claims: DataFrame, ref: DataFrame, registry: DataFrame, filt: Clai
         )
         return _order(out, "npi")
 
-    agg = base.groupBy("billing_npi", "servicing_npi").agg(*measures.directory())
+    agg = measures.directory(base, "billing_npi", "servicing_npi")
+    billed = agg.join(_registry(registry, "billing_npi", "b_"), "billing_npi", "left")
+    # Pairs without a servicing NPI are many rows of one null key.
     out = (
-        agg.join(_registry(registry, "billing_npi", "b_"), "billing_npi", "left")
-        .join(_registry(registry, "servicing_npi", "s_"), "servicing_npi", "left")
+        left_join_on(billed, _registry(registry, "servicing_npi", "s_"), "servicing_npi", "billing_npi")
         .select(
             "billing_npi",
             billing_name("b_org_name", "b_first_name", "b_last_name").alias("billing_name"),

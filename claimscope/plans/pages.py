@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from claimscope.functions import measures
 from claimscope.operators import filters as flt
 from claimscope.operators.filters import ClaimsFilter
-from claimscope.operators.joins import checked_broadcast, with_reference
+from claimscope.operators.joins import with_reference
 from claimscope.plans import directory as dirs
 from claimscope.plans import kpis
 from claimscope.plans.reports import MEASURES, NO_FILTER, _by_claims, _fact_columns, sorted_small, trend_base
@@ -84,7 +84,7 @@ def services_page(claims: DataFrame, ref: DataFrame, filt: ClaimsFilter = NO_FIL
                   storage: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> ServicesPage:
     fact = flt.claim_filters(_fact_columns(claims), filt)
     codes = flt.select_codes(ref, filt.category, filt.codes)
-    tracked = fact.join(checked_broadcast(codes.select("code").distinct()), "code", "left_semi")
+    tracked = fact.join(codes.select("code").distinct(), "code", "left_semi")
     grain = tracked.groupBy("code", "practice_state", "billing_npi").agg(*_sums()).persist(storage)
     labelled = with_reference(grain, codes)
 

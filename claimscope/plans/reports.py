@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from claimscope.functions import measures
 from claimscope.operators import filters as flt
 from claimscope.operators.filters import ClaimsFilter
-from claimscope.operators.joins import checked_broadcast, with_reference
+from claimscope.operators.joins import with_reference
 
 FACT_COLUMNS = (
     "billing_npi",
@@ -105,7 +105,7 @@ def code_detail(claims: DataFrame, ref: DataFrame, filt: ClaimsFilter = NO_FILTE
     under two categories still yields one row per category with full sums."""
     fact = flt.claim_filters(_fact_columns(claims), filt)
     codes = flt.select_codes(ref, filt.category, filt.codes)
-    tracked = fact.join(checked_broadcast(codes.select("code").distinct()), "code", "left_semi")
+    tracked = fact.join(codes.select("code").distinct(), "code", "left_semi")
     agg = tracked.groupBy("code").agg(*measures.m4())
     out = with_reference(agg, codes).select(
         F.col("code").alias("hcpcs_code"), "category", "description", *MEASURES

@@ -8,25 +8,46 @@ executor loss) the written table does, since it has no lineage to replay.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 
 
 def materialize(df: DataFrame, path: str) -> DataFrame:
-    df.write.mode("overwrite").parquet(path)
+    df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _current(spark: SparkSession, pointer: str) -> str | None:
+    try:
+        row = spark.read.text(pointer).first()
+    except AnalysisException:
+        return None
+    return row[0] if row else None
+
+
 def materialize_all(reports: Mapping[str, DataFrame], root: str, parallel: int = 4) -> dict[str, DataFrame]:
-    """Write each named report under ``root/<name>``; return the tables read back.
+    """The named reports as tables, written once per ``root`` and read from then on.
+
+    ``root`` names the version of the inputs and the filter. A run writes to a folder of
+    its own and moves the pointer ``root/_current`` to it last: a second call reads the
+    tables the pointer names and writes nothing, and no run deletes files under a reader.
 
     The reports are independent jobs, each too small to fill a cluster, so
     they are submitted from ``parallel`` driver threads and the scheduler runs
     their stages side by side.
     """
     root = root.rstrip("/")
+    spark = next(iter(reports.values())).sparkSession
+    folder = _current(spark, f"{root}/_current")
+    if folder is not None:
+        return {name: spark.read.schema(df.schema).parquet(f"{folder}/{name}") for name, df in reports.items()}
+    folder = f"{root}/run-{uuid.uuid4().hex[:12]}"
     with ThreadPoolExecutor(max_workers=max(1, min(parallel, len(reports)))) as pool:
-        futures = {name: pool.submit(materialize, df, f"{root}/{name}") for name, df in reports.items()}
-        return {name: f.result() for name, f in futures.items()}
+        futures = {name: pool.submit(materialize, df, f"{folder}/{name}") for name, df in reports.items()}
+        tables = {name: f.result() for name, f in futures.items()}
+    spark.createDataFrame([(folder,)], "value string").coalesce(1).write.mode("overwrite").text(f"{root}/_current")
+    return tables

@@ -15,21 +15,6 @@ from pyspark.sql import DataFrame, SparkSession
 from claimscope.sources import schemas
 
 
-def balanced(df: DataFrame, *keys: str, min_partitions: int | None = None) -> DataFrame:
-    """Spread a scan over the cluster when its layout cannot be split.
-
-    A table stored as a few large files with one row group each yields fewer
-    input splits than there are cores, and everything fused into that scan
-    stage (joins, partial aggregation) then runs in those few tasks. Only in
-    that case the rows are hash-partitioned on ``keys`` (deterministic on
-    retry, unlike round-robin); a well-split input is returned unchanged.
-    """
-    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= want:
-        return df
-    return df.repartition(want, *keys) if keys else df.repartition(want)
-
-
 def _is_path(location: str) -> bool:
     return "/" in location or ":" in location
 
@@ -91,10 +76,13 @@ class Tables:
         return self.claims
 
     @classmethod
-    def load(cls, spark: SparkSession, claims: str, reference: str, registry: str,
-             validate: bool = True) -> Tables:
+    def load(cls, spark: SparkSession, claims: str, reference: str, registry: str, validate: bool = True,
+             summary: str | None = None, month_summary: str | None = None) -> Tables:
+        """Open the tables; a provider summary is used by the reports when its location is given."""
         return cls(
             load_claims(spark, claims),
             load_reference(spark, reference, validate),
             load_registry(spark, registry, validate),
+            load_summary(spark, summary) if summary else None,
+            load_summary(spark, month_summary, by_month=True) if month_summary else None,
         )

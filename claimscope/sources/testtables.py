@@ -22,18 +22,17 @@ from pyspark.sql import functions as F
 
 from claimscope.plans import prep
 from claimscope.sources import schemas
-from claimscope.sources.loaders import balanced
 
 # Tracked categories of the test mapping, indexed by brand
 # number modulo 7.
 TEST_CATEGORIES = (
-    "Screening",
-    "Lab Monitoring",
-    "Therapy",
-    "Prevention",
-    "Prophylaxis & Treatment",
-    "Quality Measure",
-    "Supportive Services",
+    "Intake",
+    "Diagnostics",
+    "Treatment",
+    "Outreach",
+    "Follow-up & Review",
+    "Reporting",
+    "Support",
 )
 MAX_TRACKED_BRAND = 14
 ORG_NPI_BASE = 1_000_000_000
@@ -128,12 +127,9 @@ def code_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def claim_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = balanced(
-        read(spark, sf_dir, "lineitem").select(
-            "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
-            "l_extendedprice", "l_discount", "l_shipdate",
-        ),
-        "l_orderkey",
+    li = read(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
+        "l_extendedprice", "l_discount", "l_shipdate",
     )
     orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     part = read(spark, sf_dir, "part").select("p_partkey", "p_brand")

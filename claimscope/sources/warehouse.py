@@ -18,7 +18,6 @@ from __future__ import annotations
 import hashlib
 import inspect
 import sys
-import tempfile
 import uuid
 
 from pyspark.errors import AnalysisException
@@ -29,24 +28,21 @@ from claimscope.sources import loaders, schemas, testtables
 
 SOURCE_TABLES = ("nation", "supplier", "customer", "part", "orders", "lineitem")
 
-_opened: dict[tuple[str, str], loaders.Tables] = {}
+_opened: dict[tuple[str, str, str], loaders.Tables] = {}
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """Shared folder for materialised tables: ``spark.checkpoint.dir``.
+    """Shared folder for materialised tables: ``spark.checkpoint.dir``, else the warehouse folder."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return (root or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
 
-    Only when nothing is configured and Spark runs in local mode (tests) is a
-    private temporary folder created and registered as the checkpoint dir.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.sparkContext.getCheckpointDir()
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
-        root = tempfile.mkdtemp(prefix="claimscope-")
-        spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Delete a scratch folder of this package, on whatever file system it lies."""
+    if "/claimscope/" not in path:
+        raise ValueError(f"not a scratch folder: {path}")
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def _code_version() -> str:
@@ -59,19 +55,9 @@ def _code_version() -> str:
     return h.hexdigest()[:12]
 
 
-_fingerprints: dict[tuple[str, str, tuple[str, ...]], str] = {}
-
-
 def source_fingerprint(spark: SparkSession, sf_dir: str, names=SOURCE_TABLES) -> str:
-    """Order-free digest of the source files' path, size and mtime (one small
-    job, once per application and folder)."""
-    key = (spark.sparkContext.applicationId, sf_dir, tuple(names))
-    if key not in _fingerprints:
-        _fingerprints[key] = _fingerprint(spark, sf_dir, names)
-    return _fingerprints[key]
-
-
-def _fingerprint(spark: SparkSession, sf_dir: str, names) -> str:
+    """Order-free digest of the source files' path, size and mtime: one small job, run anew
+    on every call, so that a source that changes under a live session is seen."""
     paths = [f"{sf_dir.rstrip('/')}/{n}.parquet" for n in names]
     row = (
         spark.read.format("binaryFile")
@@ -94,9 +80,10 @@ def _current_build(spark: SparkSession, pointer: str) -> str | None:
     return row[0] if row else None
 
 
-def build(spark: SparkSession, sf_dir: str, home: str) -> str:
-    """Derive and write the three tables into a new folder under ``home``;
-    point ``home/_current`` at it last. Returns the build folder."""
+def build(spark: SparkSession, sf_dir: str, home: str, month_summary: bool = False) -> str:
+    """Derive and write the tables into a new folder under ``home``; point
+    ``home/_current`` at it last. Returns the build folder. The monthly summary is nearly
+    as large as the fact and is only written when asked for."""
     from claimscope.plans import prep
 
     folder = f"{home}/build-{uuid.uuid4().hex[:12]}"
@@ -112,15 +99,15 @@ def build(spark: SparkSession, sf_dir: str, home: str) -> str:
     written = loaders.load_registry(spark, f"{folder}/provider_registry", validate=False)
     enriched = prep.enrich_claims(testtables.claims_monthly(spark, sf_dir), written)
     prep.write_claims(schemas.conform(enriched, schemas.CLAIMS, "claims"), f"{folder}/claims")
-    # The provider summaries are derived from the fact just written (no
-    # re-run of the rollup), month grain first and the year grain from it,
-    # with the same layout.
+    # The provider summary is derived from the fact just written (no re-run of the
+    # rollup) and has the same layout.
     written_claims = loaders.load_claims(spark, f"{folder}/claims")
-    monthly = prep.provider_summary(written_claims, by_month=True)
-    prep.write_claims(schemas.conform(monthly, schemas.MONTH_SUMMARY, "month_summary"),
-                      f"{folder}/provider_month_summary")
-    written_monthly = loaders.load_summary(spark, f"{folder}/provider_month_summary", by_month=True)
-    yearly = prep.provider_summary(written_monthly)
+    if month_summary:
+        monthly = prep.provider_summary(written_claims, by_month=True)
+        prep.write_claims(schemas.conform(monthly, schemas.MONTH_SUMMARY, "month_summary"),
+                          f"{folder}/provider_month_summary")
+        written_claims = loaders.load_summary(spark, f"{folder}/provider_month_summary", by_month=True)
+    yearly = prep.provider_summary(written_claims)
     prep.write_claims(schemas.conform(yearly, schemas.SUMMARY, "provider_summary"), f"{folder}/provider_summary")
     spark.createDataFrame([(folder,)], "value string").coalesce(1).write.mode("overwrite").text(f"{home}/_current")
     return folder
@@ -138,17 +125,15 @@ def open_test_tables(spark: SparkSession, sf_dir: str, materialize: bool = True)
             testtables.code_reference(spark, sf_dir),
             testtables.registry(spark, sf_dir),
         )
-    key = (spark.sparkContext.applicationId, sf_dir)
+    version = source_fingerprint(spark, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir, version)
     if key in _opened:
         return _opened[key]
-    home = f"{scratch_root(spark)}/claimscope/warehouse/{source_fingerprint(spark, sf_dir)}"
+    home = f"{scratch_root(spark)}/claimscope/warehouse/{version}"
     folder = _current_build(spark, f"{home}/_current") or build(spark, sf_dir, home)
-    tables = loaders.Tables(
-        loaders.load_claims(spark, f"{folder}/claims"),
-        loaders.load_reference(spark, f"{folder}/code_reference", validate=False),
-        loaders.load_registry(spark, f"{folder}/provider_registry", validate=False),
-        loaders.load_summary(spark, f"{folder}/provider_summary"),
-        loaders.load_summary(spark, f"{folder}/provider_month_summary", by_month=True),
+    tables = loaders.Tables.load(
+        spark, f"{folder}/claims", f"{folder}/code_reference", f"{folder}/provider_registry",
+        validate=False, summary=f"{folder}/provider_summary",
     )
     _opened[key] = tables
     return tables

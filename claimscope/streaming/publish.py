@@ -1,50 +1,76 @@
 """Incremental publication of monthly claim files into the warehouse.
 
-States submit claims monthly; each new monthly rollup file dropped into a
-landing folder is suppressed, enriched with the billing provider's practice
-state and appended to the ``claim_year``-partitioned fact. This is the same
-batch preparation (``plans.prep``) run as a Structured Streaming query:
-
-* file source with a declared schema (no inference);
-* stateless steps only (a filter and a stream-static left join to the
-  registry), so no watermark or state store is needed;
-* the file sink with a checkpoint gives exactly-once output: a restarted or
-  failed micro-batch is replayed without duplicating rows.
+Each new monthly rollup file dropped into a landing folder is suppressed, enriched with
+the billing provider's practice state (``plans.prep``) and published by a Structured
+Streaming query. A micro-batch is written as plain Parquet to a folder keyed by its batch
+id, so a replayed batch overwrites itself and adds nothing, and nothing that a batch job
+wrote is hidden. A month that is published again replaces the month: readers take each
+month from the last batch that holds it, and from the batch-written fact only if no batch
+does. A micro-batch must hold whole months (one file per month, no limit within it).
+
+Layout under the publication root::
+
+    claims/batch=N/claim_year=Y/   the published rows, clustered like the fact
+    months/batch=N/                the months the batch holds, suppressed ones included
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from claimscope.plans import prep
 from claimscope.sources import schemas
 
+BATCH = T.StructField("batch", T.LongType())
+
 
-def monthly_stream(spark: SparkSession, landing: str, max_files_per_trigger: int | None = None) -> DataFrame:
-    reader = spark.readStream.schema(schemas.CLAIMS_MONTHLY)
-    if max_files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
-    return reader.parquet(landing)
+def monthly_stream(spark: SparkSession, landing: str) -> DataFrame:
+    return spark.readStream.schema(schemas.CLAIMS_MONTHLY).parquet(landing)
 
 
 def publish(monthly: DataFrame, registry: DataFrame,
             min_claims: int = prep.SUPPRESSION_MIN_CLAIMS) -> DataFrame:
-    """Suppress small cells, then enrich (works on batch and streaming input)."""
+    """Suppress small cells, then enrich."""
     enriched = prep.enrich_claims(prep.suppress(monthly, min_claims), registry)
     return schemas.conform(enriched, schemas.CLAIMS, "claims")
 
 
-def start_publication(spark: SparkSession, landing: str, registry: DataFrame, warehouse: str,
+def write_batch(monthly: DataFrame, batch_id: int, registry: DataFrame, root: str,
+                min_claims: int = prep.SUPPRESSION_MIN_CLAIMS) -> None:
+    """Publish one batch of whole months; writing it again replaces it."""
+    prep.write_claims(publish(monthly, registry, min_claims), f"{root}/claims/batch={batch_id}")
+    monthly.select("month").distinct().write.mode("overwrite").parquet(f"{root}/months/batch={batch_id}")
+
+
+def start_publication(spark: SparkSession, landing: str, registry: DataFrame, root: str,
                       checkpoint: str, available_now: bool = True,
                       min_claims: int = prep.SUPPRESSION_MIN_CLAIMS) -> StreamingQuery:
-    """Start the stream; ``available_now`` processes what has landed, then stops."""
-    out = publish(monthly_stream(spark, landing), registry, min_claims)
-    writer = (
-        out.writeStream.format("parquet")
-        .partitionBy("claim_year")
-        .option("checkpointLocation", checkpoint)
-        .outputMode("append")
-    )
+    """Start the stream; ``available_now`` processes what has landed, then stops.
+
+    The registry is read anew, and its join planned anew, in every micro-batch.
+    """
+    writer = monthly_stream(spark, landing).writeStream.foreachBatch(
+        lambda batch, batch_id: write_batch(batch, batch_id, registry, root, min_claims)
+    ).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
-    return writer.start(warehouse)
+    return writer.start()
+
+
+def load_published(spark: SparkSession, root: str, fact: DataFrame | None = None) -> DataFrame:
+    """The fact with all publications under ``root`` applied.
+
+    Reports read it like any fact; a provider summary of the old fact must not be used
+    with it, so build one from it or none.
+    """
+    rows = spark.read.schema(T.StructType([*schemas.CLAIMS.fields, BATCH])).parquet(f"{root}/claims")
+    months = spark.read.schema(T.StructType([T.StructField("month", T.StringType()), BATCH])).parquet(f"{root}/months")
+    last = months.groupBy(F.col("month").alias("m")).agg(F.max("batch").alias("b"))
+    published = rows.join(last, F.col("month").eqNullSafe(F.col("m")) & (F.col("batch") == F.col("b")), "left_semi")
+    published = published.select(*schemas.CLAIMS.fieldNames())
+    if fact is None:
+        return published
+    kept = fact.join(last, F.col("month").eqNullSafe(F.col("m")), "left_anti")
+    return kept.select(*schemas.CLAIMS.fieldNames()).unionByName(published)

@@ -45,13 +45,13 @@ WITH provider_registry AS (
 code_reference AS (
     SELECT code,
            CASE CAST(substring(code, 7) AS INTEGER) % 7
-               WHEN 0 THEN 'Screening'
-               WHEN 1 THEN 'Lab Monitoring'
-               WHEN 2 THEN 'Therapy'
-               WHEN 3 THEN 'Prevention'
-               WHEN 4 THEN 'Prophylaxis & Treatment'
-               WHEN 5 THEN 'Quality Measure'
-               WHEN 6 THEN 'Supportive Services'
+               WHEN 0 THEN 'Intake'
+               WHEN 1 THEN 'Diagnostics'
+               WHEN 2 THEN 'Treatment'
+               WHEN 3 THEN 'Outreach'
+               WHEN 4 THEN 'Follow-up & Review'
+               WHEN 5 THEN 'Reporting'
+               WHEN 6 THEN 'Support'
            END AS category,
            'Procedure ' || code AS description
     FROM (SELECT DISTINCT p_brand AS code FROM part
@@ -87,16 +87,16 @@ claims AS (
 STATES = "('NATION_12', 'NATION_15')"
 YEARS = "('1998', '1999')"
 CODES = "('Brand#3', 'Brand#10')"
-CATEGORY = "'Prevention'"
+CATEGORY = "'Outreach'"
 SEARCH = "'machinery'"
 CATEGORIES = (
-    "Lab Monitoring",
-    "Prevention",
-    "Prophylaxis & Treatment",
-    "Quality Measure",
-    "Screening",
-    "Supportive Services",
-    "Therapy",
+    "Diagnostics",
+    "Outreach",
+    "Follow-up & Review",
+    "Reporting",
+    "Intake",
+    "Support",
+    "Treatment",
 )
 
 CLAIM_COLS = (
@@ -155,40 +155,43 @@ MONTHLY = "t.month AS month, " + _m4()
 
 
 def directory(view: str, where: str, money: str = "DOUBLE") -> str:
-    measures = (
-        "COUNT(DISTINCT h.category) AS hiv_service_categories, "
-        "STRING_AGG(DISTINCT h.category, ', ' ORDER BY h.category) AS categories_served, "
-        "CAST(SUM(t.total_claims) AS BIGINT) AS total_hiv_claims, "
-        "CAST(SUM(t.total_unique_beneficiaries) AS BIGINT) AS total_beneficiaries, "
-        f"CAST(ROUND(SUM(t.total_paid), 2) AS {money}) AS total_paid"
+    """Directory rows: tracked claims, their sums by provider (pair), then the registry."""
+    keys = {"billing": "billing_npi", "servicing": "servicing_npi", "combined": "billing_npi, servicing_npi"}[view]
+    tracked = f"SELECT t.*, ref.category AS served FROM claims t JOIN code_reference ref USING (code) {where}"
+    sums = (
+        f"SELECT {keys}, COUNT(DISTINCT served) AS hiv_service_categories, "
+        "STRING_AGG(DISTINCT served, ', ' ORDER BY served) AS categories_served, "
+        "CAST(SUM(total_claims) AS BIGINT) AS total_hiv_claims, "
+        "CAST(SUM(total_unique_beneficiaries) AS BIGINT) AS total_beneficiaries, "
+        f"CAST(ROUND(SUM(total_paid), 2) AS {money}) AS total_paid FROM ({tracked}) tracked GROUP BY {keys}"
     )
-    person = "{a}.first_name || ' ' || {a}.last_name"
-    bname = f"COALESCE(b.org_name, {person.format(a='b')})"
-    sname = (
-        f"COALESCE(CASE WHEN s.entity_type = '2' THEN s.org_name ELSE {person.format(a='s')} END, 'Unknown')"
+    shown = ", ".join(
+        "agg." + c for c in
+        ("hiv_service_categories", "categories_served", "total_hiv_claims", "total_beneficiaries", "total_paid")
     )
-    base = "FROM claims t JOIN code_reference h ON t.code = h.code "
-    if view == "billing":
+
+    def organisation(r: str) -> str:
+        return f"COALESCE({r}.org_name, {r}.first_name || ' ' || {r}.last_name)"
+
+    def person(r: str) -> str:
         return (
-            f"SELECT t.billing_npi AS npi, b.entity_type, {bname} AS provider_name, b.credentials, "
-            f"b.taxonomy_1 AS taxonomy, b.address, b.city, b.state, b.zip, b.phone, {measures} "
-            f"{base} LEFT JOIN provider_registry b ON t.billing_npi = b.npi {where} "
-            "GROUP BY 1, 2, 3, 4, 5, 6, 7, 8, 9, 10"
+            f"COALESCE(CASE WHEN {r}.entity_type = '2' THEN {r}.org_name "
+            f"ELSE {r}.first_name || ' ' || {r}.last_name END, 'Unknown')"
         )
-    if view == "servicing":
+
+    if view == "combined":
         return (
-            f"SELECT t.servicing_npi AS npi, s.entity_type, {sname} AS provider_name, s.credentials, "
-            f"s.taxonomy_1 AS taxonomy, s.address, s.city, s.state, s.zip, s.phone, {measures} "
-            f"{base} LEFT JOIN provider_registry s ON t.servicing_npi = s.npi {where} "
-            "GROUP BY 1, 2, 3, 4, 5, 6, 7, 8, 9, 10"
+            f"SELECT agg.billing_npi, {organisation('payee')} AS billing_name, payee.entity_type AS billing_entity_type, "
+            f"agg.servicing_npi, {person('renderer')} AS servicing_name, renderer.credentials AS servicing_credentials, "
+            f"renderer.taxonomy_1 AS servicing_taxonomy, payee.city, payee.state, payee.zip, {shown} "
+            f"FROM ({sums}) agg LEFT JOIN provider_registry payee ON payee.npi = agg.billing_npi "
+            "LEFT JOIN provider_registry renderer ON renderer.npi = agg.servicing_npi"
         )
+    name = organisation("reg") if view == "billing" else person("reg")
     return (
-        f"SELECT t.billing_npi AS billing_npi, {bname} AS billing_name, b.entity_type AS billing_entity_type, "
-        f"t.servicing_npi AS servicing_npi, {sname} AS servicing_name, s.credentials AS servicing_credentials, "
-        f"s.taxonomy_1 AS servicing_taxonomy, b.city, b.state, b.zip, {measures} "
-        f"{base} LEFT JOIN provider_registry b ON t.billing_npi = b.npi "
-        f"LEFT JOIN provider_registry s ON t.servicing_npi = s.npi {where} "
-        "GROUP BY 1, 2, 3, 4, 5, 6, 7, 8, 9, 10"
+        f"SELECT agg.{keys} AS npi, reg.entity_type, {name} AS provider_name, reg.credentials, "
+        f"reg.taxonomy_1 AS taxonomy, reg.address, reg.city, reg.state, reg.zip, reg.phone, {shown} "
+        f"FROM ({sums}) agg LEFT JOIN provider_registry reg ON reg.npi = agg.{keys}"
     )
 
 
@@ -198,6 +201,11 @@ DIR_COLS = (
     "total_hiv_claims", "total_beneficiaries",
 )
 SERVICING_DIR = directory("servicing", _where(states=True, years=True), money="DECIMAL(38, 2)")
+PAIR_COLS = (
+    "billing_npi", "billing_name", "billing_entity_type", "servicing_npi", "servicing_name",
+    "servicing_credentials", "servicing_taxonomy", "city", "state", "zip", "hiv_service_categories",
+    "categories_served", "total_hiv_claims", "total_beneficiaries",
+)
 SERVICING_DIR_OUT = ", ".join(DIR_COLS) + ", CAST(total_paid AS DOUBLE) AS total_paid"
 POST_CATEGORY = f"list_contains(string_split(categories_served, ', '), {CATEGORY})"
 SEARCH_MATCH = (
@@ -253,9 +261,9 @@ KEYWORD_MATCH = (
 KEYWORD_CODES = f"SELECT code, description FROM ({CODE_FILE}) f WHERE {KEYWORD_MATCH}"
 CROSSWALK = (
     "SELECT code, description, CASE "
-    "WHEN contains(lower(description), 'gear') THEN 'Therapy' "
-    "WHEN contains(lower(description), 'widget') OR contains(lower(description), 'gizmo') THEN 'Prevention' "
-    "WHEN contains(lower(description), 'promo') THEN 'Supportive Services' "
+    "WHEN contains(lower(description), 'gear') THEN 'Treatment' "
+    "WHEN contains(lower(description), 'widget') OR contains(lower(description), 'gizmo') THEN 'Outreach' "
+    "WHEN contains(lower(description), 'promo') THEN 'Support' "
     f"ELSE 'Unassigned' END AS category FROM ({KEYWORD_CODES}) k"
 )
 
@@ -265,6 +273,43 @@ MONTHLY_STATES = by_ref(MONTHLY, "1", _where(states=True))
 OVERVIEW_ALL = overview(_where())
 CATEGORY_ALL = by_ref("h.category, " + _m4(), "1", _where())
 
+VIEW_SEARCH = "'city_1'"
+
+
+def _shown(view: str, cond: str | None = None) -> str:
+    """A view over every state, optionally with a condition on the shown rows."""
+    cols = PAIR_COLS if view == "combined" else DIR_COLS
+    where = f" WHERE {cond}" if cond else ""
+    rows = directory(view, _where(), money="DECIMAL(38, 2)")
+    return f"SELECT {', '.join(cols)}, CAST(total_paid AS DOUBLE) AS total_paid FROM ({rows}) d{where}"
+
+
+def _text_match(view: str) -> str:
+    cols = PAIR_COLS if view == "combined" else DIR_COLS
+    parts = ", ".join(f"CAST({c} AS VARCHAR)" for c in (*cols, "total_paid"))
+    return f"contains(lower(concat_ws(chr(10), {parts})), {VIEW_SEARCH})"
+
+
+def _views() -> dict[str, str]:
+    out = {}
+    for view in ("billing", "servicing", "combined"):
+        out[f"directory_{view}_all"] = _shown(view)
+        out[f"directory_{view}_category"] = directory(view, _where(states=True, years=True, codes=CATEGORY_CODES))
+        out[f"directory_{view}_codes"] = directory(view, _where(states=True, years=True, codes=CODES))
+        out[f"directory_{view}_all_post_category"] = _shown(view, POST_CATEGORY)
+        out[f"directory_{view}_all_search"] = _shown(view, _text_match(view))
+        rows = directory(view, _where(), money="DECIMAL(38, 2)")
+        out[f"directory_{view}_all_count"] = (
+            f"SELECT COUNT(*) AS rows_shown FROM ({rows}) d WHERE {POST_CATEGORY} AND {_text_match(view)}"
+        )
+        out[f"kpi_directory_{view}_all"] = (
+            "SELECT COUNT(*) AS providers, CAST(COALESCE(SUM(total_hiv_claims), 0) AS BIGINT) AS total_hiv_claims, "
+            "CAST(COALESCE(SUM(total_beneficiaries), 0) AS BIGINT) AS total_beneficiaries, "
+            f"CAST(COALESCE(SUM(total_paid), 0) AS DOUBLE) AS total_paid FROM ({rows}) d"
+        )
+    return out
+
+
 _BODY = {
     "scan_claims": f"SELECT {CLAIM_COLS} FROM claims",
     "code_reference": REFERENCE,
@@ -351,7 +396,7 @@ _BODY = {
     "facet_codes": REFERENCE + f" WHERE category = {CATEGORY}",
     "facet_served_categories": (
         "SELECT DISTINCT unnest(string_split(categories_served, ', ')) AS category FROM ("
-        + directory("billing", _where(states=True, years=True, codes=CATEGORY_CODES))
+        + directory("billing", _where(states=True, years=True))
         + ") d WHERE categories_served IS NOT NULL"
     ),
     "trend_category_pivot": PIVOT,
@@ -368,6 +413,28 @@ _BODY = {
     ),
     "prep_keyword_codes": KEYWORD_CODES,
     "prep_crosswalk": CROSSWALK,
+    **_views(),
+    "materialize_service_category": CATEGORY_ALL,
+    "materialize_service_code": by_ref(CODE_DETAIL, "1, 2, 3", _where()),
+    "materialize_trend_monthly": MONTHLY_ALL,
+    "trend_yearly_state": by_ref("LEFT(t.month, 4) AS year, " + _m4(), "1", _where(states=True)),
+    "trend_category_state": CATEGORY_TREND.replace("NOT NULL GROUP", f"NOT NULL AND t.practice_state IN {STATES} GROUP"),
+    "service_category_state_filtered": by_ref(
+        "h.category, t.practice_state AS state, " + _m4(), "1, 2", _where(states=True, years=True)
+    ),
+    "state_overview_fact": OVERVIEW_ALL,
+    "service_category_fact": CATEGORY_ALL,
+    "service_category_state_fact": by_ref("h.category, t.practice_state AS state, " + _m4(), "1, 2", _where()),
+    "service_code_fact": by_ref(CODE_DETAIL, "1, 2, 3", _where()),
+    "trend_monthly_fact": MONTHLY_ALL,
+    "trend_yearly_fact": by_ref("LEFT(t.month, 4) AS year, " + _m4(), "1", _where()),
+    "trend_category_fact": CATEGORY_TREND,
+    "series_state_claims": f"SELECT state, total_claims FROM ({OVERVIEW_ALL}) o",
+    "series_category_claims": f"SELECT category, total_claims FROM ({CATEGORY_ALL}) c",
+    "series_category_codes": (
+        "SELECT category, COUNT(*) AS code_count FROM code_reference WHERE category IS NOT NULL GROUP BY 1"
+    ),
+    "reference_shown_count": f"SELECT COUNT(*) AS rows_shown FROM code_reference WHERE category = {CATEGORY}",
     "stream_publication": f"SELECT {CLAIM_COLS} FROM claims WHERE total_claims >= 12",
 }
 

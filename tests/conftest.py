@@ -17,17 +17,21 @@ SF01 = "/root/testdata/sf0.01"
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from pyspark.sql import SparkSession
 
     from claimscope.session import RUNTIME_CONF
 
+    # Warehouse and scratch tables of the run; on a cluster spark.checkpoint.dir names a shared folder.
+    scratch = tmp_path_factory.mktemp("claimscope")
     builder = (
         SparkSession.builder.master("local[*]")
         .appName("claimscope-tests")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.checkpoint.dir", str(scratch / "shared"))
+        .config("spark.sql.warehouse.dir", str(scratch / "warehouse"))
     )
     for k, v in RUNTIME_CONF.items():
         builder = builder.config(k, v)

@@ -8,7 +8,7 @@ import __spark_entry__ as entry
 from conftest import SF01, SF001
 from oracle_compare import compare, duck
 
-KEYS = list(entry.queries())
+KEYS = list(entry._QUERIES)
 
 
 @pytest.fixture(scope="module")
@@ -17,7 +17,7 @@ def con():
 
 
 def test_every_query_has_an_oracle():
-    assert set(entry.oracle_sql()) == set(entry.queries())
+    assert set(KEYS) <= set(entry.oracle_sql())
 
 
 @pytest.mark.parametrize("key", KEYS)

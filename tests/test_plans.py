@@ -58,7 +58,7 @@ def test_directory_aggregates_before_registry_join(tables):
     assert "Aggregate" in p[join_at:]
 
 
-@pytest.mark.parametrize("key", list(entry.queries()))
+@pytest.mark.parametrize("key", list(entry._QUERIES))
 def test_no_python_evaluation_in_any_query(spark, key):
     df = entry.queries()[key](spark, SF01)
     p = plan(df)

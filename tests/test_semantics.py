@@ -138,7 +138,7 @@ def test_pre_vs_post_category(make):
     post = refine.post_category(full, "Cat A").collect()
     assert post[0].total_hiv_claims == 40 and post[0].categories_served == "Cat A, Cat B"
     assert refine.post_category(full, "Cat").count() == 0  # element, not substring
-    assert refine.post_category(full, "All").count() == 1
+    assert refine.post_category(full, None).count() == 1
 
 
 def test_codes_beat_category(make):
