@@ -169,18 +169,29 @@ def char_distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(F.aggregate(parts, F.lit(0.0), lambda acc, x: acc + x), F.lit(0.0)))
 
 
-def word_distance(p: Column, q: Column) -> Column:
+def word_distance(p: Column, q: Column, q_mass: Column) -> Column:
     """Distance of two common-word maps, whose missing shares are those of all other words."""
-    def mass(m: Column) -> Column:
-        return F.aggregate(F.map_values(m), F.lit(0.0), lambda acc, x: acc + x)
-
-    met = F.aggregate(
-        F.map_entries(p), F.lit(0.0), lambda acc, e: acc + divergence(e["value"], F.try_element_at(q, e["key"]))
+    met = F.transform(
+        F.map_entries(p), lambda e: F.struct(e["value"].alias("p"), F.coalesce(F.try_element_at(q, e["key"]), F.lit(0.0)).alias("q"))
+    )
+    zero = F.struct(F.lit(0.0).alias("js"), F.lit(0.0).alias("p"), F.lit(0.0).alias("q"))
+    sums = F.aggregate(
+        met, zero,
+        lambda acc, x: F.struct(
+            (acc["js"] + divergence(x["p"], x["q"])).alias("js"), (acc["p"] + x["p"]).alias("p"), (acc["q"] + x["q"]).alias("q")
+        ),
+    )
+    # A bucket that only the reference fills adds half its share; then the bucket of all other words.
+    rest = F.struct(F.greatest(1.0 - q_mass, F.lit(0.0)).alias("q"))
+    return let(
+        F.struct(sums.alias("s"), rest.alias("r"), q_mass.alias("m")),
+        lambda v: F.sqrt(
+            F.greatest(
+                v["s"]["js"] + 0.5 * (v["m"] - v["s"]["q"]) + divergence(F.greatest(1.0 - v["s"]["p"], F.lit(0.0)), v["r"]["q"]),
+                F.lit(0.0),
+            )
+        ),
     )
-    # A bucket that only the reference fills adds half its share.
-    seen = F.aggregate(F.map_keys(p), F.lit(0.0), lambda acc, k: acc + F.try_element_at(q, k))
-    other = divergence(F.greatest(1.0 - mass(p), F.lit(0.0)), F.greatest(1.0 - mass(q), F.lit(0.0)))
-    return F.sqrt(F.greatest(met + 0.5 * (mass(q) - seen) + other, F.lit(0.0)))
 
 
 def judge(docs: DataFrame) -> DataFrame:
@@ -194,20 +205,27 @@ def judge(docs: DataFrame) -> DataFrame:
     table gives no rows.
     """
     rows = staged(measured(docs), "rules")
-    # One row per language, and the histograms have a fixed width.
-    refs = references(rows)
-    listed = refs.select(F.struct("ref_lang", "ref_chars", F.map_entries("ref_common").alias("ref_common")).alias("r"))
-    listed = listed.groupBy().agg(F.sort_array(F.collect_list("r")).alias("refs"))
+    # One row per language, of fixed width, in one array: a scalar subquery, no join.
+    entry = F.struct("ref_lang", "ref_chars", F.map_entries("ref_common").alias("words"))
+    listed = references(rows).groupBy().agg(F.sort_array(F.collect_list(entry)).alias("refs"))
+
+    def opened(r: Column) -> Column:
+        mass = F.aggregate(r["words"], F.lit(0.0), lambda acc, e: acc + e["value"])
+        return F.struct(r["ref_lang"].alias("lang"), r["ref_chars"].alias("chars"), F.map_from_entries(r["words"]).alias("words"), mass.alias("mass"))
+
+    listed = listed.select(F.transform("refs", opened).alias("refs"))
 
     def compare(r: Column) -> Column:
-        c = F.when(F.col("n_chars") >= MIN_CHARS_JUDGED, char_distance(F.col("chars"), r["ref_chars"]))
-        w = F.when(F.col("n_words") >= MIN_WORDS_JUDGED, word_distance(F.col("common"), F.map_from_entries(r["ref_common"])))
-        total = F.coalesce(c, F.lit(0.0)) + F.coalesce(w, F.lit(0.0))
-        return F.struct(total.alias("total"), r["ref_lang"].alias("lang"), c.alias("c"), w.alias("w"))
-
-    # ``listed`` has exactly one row, whatever the input.
-    both = rows.join(F.broadcast(listed.withColumn("one", F.lit(1))), F.lit(1) == F.col("one"), "left")
-    near = both.withColumn("near", F.array_min(F.transform(F.coalesce("refs", F.array()), compare)))
+        c = F.when(F.col("n_chars") >= MIN_CHARS_JUDGED, char_distance(F.col("chars"), r["chars"]))
+        w = F.when(F.col("n_words") >= MIN_WORDS_JUDGED, word_distance(F.col("common"), r["words"], r["mass"]))
+        return F.struct(r["lang"].alias("lang"), c.alias("c"), w.alias("w"))
+
+    def ranked(x: Column) -> Column:
+        total = F.coalesce(x["c"], F.lit(0.0)) + F.coalesce(x["w"], F.lit(0.0))
+        return F.struct(total.alias("total"), x["lang"].alias("lang"), x["c"].alias("c"), x["w"].alias("w"))
+
+    both = rows.withColumn("refs", listed.scalar())
+    near = both.withColumn("near", F.array_min(F.transform(F.transform("refs", compare), ranked)))
     passes = (F.coalesce("near.c", F.lit(0.0)) <= MAX_CHAR_DISTANCE) & (F.coalesce("near.w", F.lit(0.0)) <= MAX_WORD_DISTANCE)
     return near.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
