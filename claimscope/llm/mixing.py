@@ -8,7 +8,7 @@ it sums the domain totals at the current rates, and only that short vector reach
 driver. A document's rate follows from its own posteriors and the sequence of these
 vectors, so no per-document state moves between steps.
 
-Steps are measured in tokens (a long and a short document with equal posteriors get equal
+Steps carry momentum and are measured in tokens (a long and a short document with equal posteriors get equal
 rates) and residuals are whitened by the domains' Gram matrix, with which a step of
 length one needs no line search.
 """
@@ -80,6 +80,8 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, names: tuple[str, ...] =
     known = rows.select("doc_id", "domain", "text").mapInPandas(computed, "doc_id long, domain string, x array<double>")
     known = known.toPandas().sort_values("doc_id", kind="stable")
     domains = sorted(known["domain"].unique())
+    if not domains:
+        return Classifier([], [], [])
     x = np.array(known["x"].tolist(), dtype=float).reshape(len(known), -1)
     models = [quality.fit_additive(x, (known["domain"] == d).to_numpy(dtype=float), rounds=60, pairs=4) for d in domains]
     return Classifier(domains, lexicons, models)
@@ -116,12 +118,17 @@ def posteriors(docs: DataFrame, c: Classifier) -> DataFrame:
     return rows.mapInPandas(computed, schema)
 
 
-def rates(p: np.ndarray, pulls: list[np.ndarray]) -> np.ndarray:
-    """Rates of documents with posteriors ``p`` after the given steps, from one on, never below zero."""
-    r = np.ones(len(p))
-    for pull in pulls:
-        r = np.maximum(0.0, r - p @ pull)
-    return r
+def rates(p: np.ndarray, pulls: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Rates of documents with posteriors ``p`` after the given steps, from one on, never below zero.
+
+    Returns the rates and the point ahead of them (Nesterov's momentum) at which the next
+    step takes its gradient.
+    """
+    r = ahead = np.ones(len(p))
+    for k, pull in enumerate(pulls):
+        before, r = r, np.maximum(0.0, ahead - p @ pull)
+        ahead = r + k / (k + 3.0) * (r - before)
+    return r, ahead
 
 
 @dataclass
@@ -132,12 +139,13 @@ class Mix:
     pulls: list[np.ndarray]
 
 
-def fit_rates(rows: DataFrame, domains: list[str], targets: dict[str, float], budget: float, steps: int = STEPS) -> Mix:
+def fit_rates(rows: DataFrame, domains: list[str], targets: dict[str, float], budget: float, steps: int = STEPS, tolerance: float = TOLERANCE) -> Mix:
     """Projected-gradient least squares over rows (tokens, p0, ...).
 
     Domains without a target get none of the tokens; targets of domains that were not
-    learned are spread over the others. Stops when no domain total moves by more than
-    ``TOLERANCE`` of all tokens, or after ``steps``.
+    learned are spread over the others. Stops when all domain totals are within
+    ``tolerance`` of all tokens of their targets, or have moved by less than a tenth of
+    that three times running, or after ``steps``.
     """
     k = len(domains)
     names = [f"p{i}" for i in range(k)]
@@ -154,23 +162,28 @@ def fit_rates(rows: DataFrame, domains: list[str], targets: dict[str, float], bu
     want = budget * total * want / want.sum() if want.sum() > 0 else g.sum(axis=1)
     white = np.linalg.inv(g + np.eye(k) * total * 1e-6)
 
-    def totals(pulls: list[np.ndarray]) -> np.ndarray:
+    def totals(pulls: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            out = np.zeros(k)
+            out = np.zeros(2 * k)
             for pdf in batches:
-                p = pdf[names].to_numpy()
-                out += (rates(p, pulls) * pdf["tokens"].to_numpy()) @ p
-            yield pd.DataFrame([out], columns=names)
+                p, n = pdf[names].to_numpy(), pdf["tokens"].to_numpy()
+                out += np.concatenate([(r * n) @ p for r in rates(p, pulls)])
+            yield pd.DataFrame([out], columns=both)
 
-        parts = rows.select("tokens", *names).mapInPandas(summed, ", ".join(f"{n} double" for n in names))
-        return np.array(parts.agg(*(F.sum(n) for n in names)).first(), dtype=float)
+        both = names + [f"a{i}" for i in range(k)]
+        parts = rows.select("tokens", *names).mapInPandas(summed, ", ".join(f"{n} double" for n in both))
+        found = np.array(parts.agg(*(F.sum(n) for n in both)).first(), dtype=float)
+        return found[:k], found[k:]
 
     pulls: list[np.ndarray] = []
-    reached = g.sum(axis=1)
+    reached = ahead = g.sum(axis=1)
+    still = 0
     for _ in range(steps):
-        pulls.append(white @ (reached - want))
-        before, reached = reached, totals(pulls)
-        if np.abs(reached - before).max() <= TOLERANCE * total or np.abs(reached - want).max() <= TOLERANCE * total:
+        pulls.append(white @ (ahead - want))
+        before = reached
+        reached, ahead = totals(pulls)
+        still = still + 1 if np.abs(reached - before).max() <= 0.1 * tolerance * total else 0
+        if np.abs(reached - want).max() <= tolerance * total or still == 3:
             break
     return Mix(domains, want, reached, pulls)
 
@@ -200,7 +213,7 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGET
 
     def rated(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pdf.assign(doc_id=pdf["doc_id"].astype("Int64"), rate=rates(pdf[names].to_numpy(), pulls))
+            yield pdf.assign(doc_id=pdf["doc_id"].astype("Int64"), rate=rates(pdf[names].to_numpy(), pulls)[0])
 
     schema = "at long, doc_id long, tokens long, " + ", ".join(f"{n} double" for n in names) + ", rate double"
     out = rows.mapInPandas(rated, schema).withColumn("copies", copies(F.col("rate"), F.col("at")))
@@ -218,7 +231,7 @@ def resampled(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TA
     def rate(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         lex = [toxicity.Vectors(x) for x in c.lexicons]
         for texts in batches:
-            yield pd.Series(rates(posterior_batch(c, texts.tolist(), lex), pulls))
+            yield pd.Series(rates(posterior_batch(c, texts.tolist(), lex), pulls)[0])
 
     columns = [docs[x] for x in docs.columns]
     at = F.xxhash64("doc_id", "text")

@@ -1,12 +1,9 @@
-from __future__ import annotations
+"""Fixture of the training-data tests."""
 
-import os
-import sys
+from __future__ import annotations
 
 import pytest
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
-
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
 
 

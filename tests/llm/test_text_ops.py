@@ -16,10 +16,12 @@ from tokenizers import Tokenizer
 
 from claimscope.llm import bpe, chat, language, token_files
 from claimscope.llm.common import new_folder
+from llm_docs import docs  # noqa: F401
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
-ODD = st.text(alphabet=st.sampled_from(list("ab Z1.'\n\t\r é日😀 <|>\\") + ["<|endoftext|>", "'s", "  ", "\n\n"]), max_size=40)
+PARTS = list("ab Z1.,'\n\t\r é日😀<|>\\") + ["\u00a0", "\u3000", "<|endoftext|>", "'s", "  ", "\n\n", " word,", "<|im_end|>"]
+ODD = st.lists(st.sampled_from(PARTS), max_size=40).map("".join)
 
 
 @pytest.fixture(scope="module")
