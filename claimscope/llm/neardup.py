@@ -11,10 +11,11 @@ their exact J_P reaches the threshold; classes are the connected components.
 
 Bands never emit all their pairs. In each band bucket one document, the hub, is compared
 with every member outside its class; then the hub leaves, and buckets whose members all
-share a class are done. Documents in buckets that stay open after a few rounds are
-bucketed anew by their rarest shingles: two documents with J_P >= t share a shingle among
-the rarest that hold more than 1 - t of their weight, so this finds every pair. These
-rounds go on until all buckets are done; none is cut off.
+share a class are done. What is left after a few such rounds are mostly documents that
+resemble a class but reach the threshold with none of it. These go through an exact
+prefix join: shingles are ordered by rarity, those that only one class has in front, and
+two documents can reach the threshold only if they share a shingle early enough in both
+orders. Of such pairs all that cross classes are compared; nothing is cut off.
 """
 
 from __future__ import annotations
@@ -26,14 +27,15 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from claimscope.llm.common import staged
 
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 25, 5
-#: Hub rounds over band buckets before the documents left go to prefix buckets.
-BAND_ROUNDS = 3
+#: Hub rounds over band buckets before the documents left go to the prefix join.
+HUB_ROUNDS = 2
 WORD = re.compile(r"\w+")
 CACHED_WORDS = 500_000
 BROADCAST_BYTES = 64 << 20
@@ -103,10 +105,10 @@ def signatures(owner: np.ndarray, shingle: np.ndarray, weight: np.ndarray, texts
     first = np.full(texts * registers, np.inf)
     holder = np.zeros(texts * registers, dtype=U)
     time = np.zeros(len(owner))
-    step = U(0)
+    step = np.zeros(1, dtype=U)
     while len(owner):
-        step += U(1)
-        r = mixed(shingle + step * GOLDEN)
+        step += GOLDEN
+        r = mixed(shingle + step)
         time = time - np.log(((r >> U(11)).astype(float) + 0.5) * 2.0**-53) / weight
         slot = owner * registers + (mixed(r + MIX1) % U(registers)).astype(np.int64)
         early = time < first[slot]
@@ -241,48 +243,57 @@ def hub_pairs(members: DataFrame) -> tuple[DataFrame, DataFrame]:
     return pairs, with_hub.where(F.col("node") != F.col("hub.node")).select("key", "node")
 
 
-def prefix_members(sets: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
-    """(key, node): each node's rarest shingles, as many as hold more than 1 - threshold of its weight."""
-    these = sets.join(nodes, "node", "left_semi")
-    long = these.select("node", F.explode(F.arrays_zip("shingles", "weights")).alias("s")).select(
-        "node", F.col("s.shingles").alias("key"), F.col("s.weights").alias("w")
-    )
-    df = long.groupBy("key").agg(F.count("*").alias("df"))
-    # A shingle of one document only is in no bucket, but counts towards the prefix.
-    ranked = long.join(df, "key").groupBy("node").agg(
-        F.sort_array(F.collect_list(F.struct("df", "key", "w"))).alias("r"), F.sum("w").alias("total")
-    )
-    zero = F.struct(F.lit(0.0).alias("held"), F.array().cast("array<bigint>").alias("keys"))
-    room = (1.0 - threshold) * F.col("total") + 1e-6
-
-    def add(acc, s):
-        keys = F.when((acc["held"] <= room) & (s["df"] > 1), F.concat(acc["keys"], F.array(s["key"]))).otherwise(acc["keys"])
-        return F.struct((acc["held"] + s["w"]).alias("held"), keys.alias("keys"))
-
-    return ranked.select("node", F.explode(F.aggregate("r", zero, add, lambda acc: acc["keys"])).alias("key")).select("key", "node")
+def prefix_pairs(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of different classes among ``members`` that may reach the threshold.
 
-
-def linked(members: DataFrame, sets: DataFrame, threshold: float, rounds: int = BAND_ROUNDS) -> DataFrame | None:
+    In the common order of all shingles let ``before`` be the weight that a document has
+    in front of the first shingle it shares with another. With all weights 1 they share
+    at most ``all - before``, and need ``t / (1 + t)`` of their weights' sum. In general,
+    J_P is at most the smaller share of weight that is not in front.
+    """
+    nodes = members.select("node", "label").distinct()
+    long = sets.join(nodes, "node").select("node", "label", F.explode(F.arrays_zip("shingles", "weights")).alias("s"))
+    long = long.select("node", "label", F.col("s.shingles").alias("shingle"), F.col("s.weights").cast("double").alias("w"))
+    known = long.groupBy("shingle").agg(F.count("*").alias("df"), (F.min("label") != F.max("label")).alias("shared"))
+    mine = Window.partitionBy("node")
+    ahead = mine.orderBy("shared", "df", "shingle").rowsBetween(Window.unboundedPreceding, -1)
+    placed = long.join(known, "shingle").select(
+        "shingle", "node", "label", "shared",
+        F.coalesce(F.sum("w").over(ahead), F.lit(0.0)).alias("before"),
+        F.sum("w").over(mine).alias("all"),
+        (F.max("w").over(mine) == 1.0).alias("even"),
+    )
+    early = placed.where(F.col("shared") & (F.col("before") <= (1.0 - threshold) * F.col("all") + 1e-6)).drop("shared")
+    early = staged(early, "early")
+    several = early.groupBy("shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("shingle")
+    early = staged(early.join(several, "shingle", "left_semi"), "early")
+    x, y = early.alias("x"), early.alias("y")
+    need = threshold / (1.0 + threshold) * (F.col("x.all") + F.col("y.all")) - 1e-6
+    room = (F.col("x.all") - F.col("x.before") >= need) & (F.col("y.all") - F.col("y.before") >= need)
+    on = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label"))
+    pairs = x.join(y, on & (room | ~F.col("x.even") | ~F.col("y.even")))
+    return pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+
+
+def linked(members: DataFrame, sets: DataFrame, threshold: float, rounds: int = HUB_ROUNDS) -> DataFrame:
     """Components (node, label) of all similar pairs that share a bucket of ``members``."""
-    nobody = members.select("node", F.col("node").alias("label")).limit(0)
-    label, links, by_prefix, done = nobody, None, False, 0
-    while True:
-        left = staged(open_buckets(members, label), "buckets")
+    whole = members
+    label = members.select("node", F.col("node").alias("label")).limit(0)
+    links = None
+    for turn in range(rounds + 1):
+        left = staged(open_buckets(whole if turn == rounds else members, label), "buckets")
         if left.isEmpty():
-            if by_prefix or done <= rounds:
-                return label
-        if not by_prefix and done >= rounds:
-            by_prefix = True
-            members = staged(prefix_members(sets, left.select("node").distinct(), threshold), "prefixes")
-            done += 1
-            continue
-        pairs, members = hub_pairs(left)
-        members = staged(members, "members")
+            break
+        if turn < rounds:
+            pairs, members = hub_pairs(left)
+            members = staged(members, "members")
+        else:
+            pairs = prefix_pairs(left, sets, threshold)
         found = staged(verified(pairs, sets, threshold), "found")
-        done += 1
         if not found.isEmpty():
             links = found if links is None else links.union(found)
             label = components(links)
+    return label
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -329,10 +340,14 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs``, with all columns, that stand for their class: the least doc_id.
 
-    Rows without a doc_id stay only where no document has their text. Repeated rows of
-    the document that stays are kept once.
+    Of equal rows that repeat an id one is kept. Rows without a doc_id stay, as nothing
+    names them.
     """
     classes = near_duplicates(docs.where(F.col("doc_id").isNotNull()), threshold)
-    gone = classes.where(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias("gone_id")).distinct()
-    kept = docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
-    return kept.dropDuplicates()
+    gone = classes.where(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias("__id")).distinct()
+    kept = docs.join(gone, docs["doc_id"] == gone["__id"], "left_anti")
+    again = staged(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").select(F.col("doc_id").alias("__id")), "again")
+    if again.isEmpty():  # so that whole rows are only compared where an id repeats
+        return kept
+    once = kept.join(again, kept["doc_id"] == again["__id"], "left_anti")
+    return once.unionByName(kept.join(again, kept["doc_id"] == again["__id"], "left_semi").dropDuplicates())
