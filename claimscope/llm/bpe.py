@@ -27,10 +27,11 @@ from pyspark.sql import functions as F
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 LIMIT_TOKENS = 512
-CACHED_PARTS = 500_000
+CACHED_PARTS = 600_000
 CACHED_LENGTH = 64
 # A single space between two non-spaces; a text with other runs of spaces is cut by this.
 SAFE_CUT = regex.compile(r"(?<=\S)(?= \S)")
+MARKS = frozenset(".,;:!?")
 
 
 def byte_symbols() -> list[str]:
@@ -90,33 +91,33 @@ class TokenCounter:
                 heapq.heappush(heap, (r, h, sym[h], sym[i]))
         return n - merges
 
-    def _remembered(self, part: str, fresh) -> int:
-        """Count of ``part`` from the cache, whose less used half goes when it is full."""
-        n = self.known.get(part)
+    def _pieces(self, text: str) -> int:
+        return sum(map(self.merged, self.pieces.findall(text)))
+
+    def _word(self, word: str) -> int:
+        """Tokens of a word with a space before it; counts of words used lately are kept."""
+        n = self.older.get(word)
         if n is None:
-            n = self.older.get(part)
-            if n is None:
-                n = fresh(part)
-            if len(part) <= CACHED_LENGTH:
-                if len(self.known) >= CACHED_PARTS:
-                    self.older, self.known = self.known, {}
-                self.known[part] = n
+            if word[-1] in MARKS and word[:-1].isalpha():
+                # Letters and the mark behind them are pieces of their own.
+                n = self.known.get(word[:-1])
+                n = (self._word(word[:-1]) if n is None else n) + 1
+            else:
+                n = self._pieces(" " + word)
+        if len(word) <= CACHED_LENGTH:
+            if len(self.known) >= CACHED_PARTS:
+                self.older, self.known = self.known, {}
+            self.known[word] = n
         return n
 
-    def _part(self, part: str) -> int:
-        pieces = self.pieces.findall(part)
-        if len(pieces) == 1:
-            return self.merged(part)
-        return sum(self._remembered(p, self.merged) for p in pieces)
-
     def _plain(self, text: str) -> int:
         if not text:
             return 0
-        known, total = self.known, 0
-        for part in parts_of(text):
-            n = known.get(part)
-            total += self._remembered(part, self._part) if n is None else n
-        return total
+        first, words = words_of(text)
+        counts = list(map(self.known.get, words))
+        if None in counts:
+            counts = [self._word(w) if n is None else n for w, n in zip(words, counts)]
+        return self._pieces(first) + sum(counts)
 
     def count(self, text: str) -> int:
         if self.special is None:
@@ -125,12 +126,16 @@ class TokenCounter:
         return sum(map(self._plain, parts)) + len(parts) - 1
 
 
-def parts_of(text: str) -> list[str]:
-    """``text`` cut before each space that stands between two non-spaces."""
+def words_of(text: str) -> tuple[str, list[str]]:
+    """``text`` cut at each space that stands between two non-spaces.
+
+    Returns what is before the first such space, and the rest, each without its space.
+    """
     if "  " in text or text[0] == " " or text[-1] == " ":
-        return SAFE_CUT.split(text)
+        first, *rest = SAFE_CUT.split(text)
+        return first, [r[1:] for r in rest]
     first, *rest = text.split(" ")
-    return [first, *(" " + r for r in rest)]
+    return first, rest
 
 
 def count_tokens(docs: DataFrame, vocabulary: str, limit: int = LIMIT_TOKENS) -> DataFrame:

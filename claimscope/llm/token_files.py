@@ -17,10 +17,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from claimscope.llm.bpe import CACHED_LENGTH, parts_of
+from claimscope.llm.bpe import words_of
 
 END_ID = 0
-CACHED_PARTS = 500_000
+CACHED_PARTS = 450_000
+MARKS = ".,;:!?"
 #: ORC settings of the written files; the stripe is the unit of parallel reads.
 ORC = {
     "compression": "zstd",
@@ -34,11 +35,11 @@ IDS_PER_BATCH = 2_000_000
 
 
 class PartEncoder:
-    """Token ids of texts from the tokenizers library, which sees each distinct part once.
+    """Token ids of texts from the tokenizers library, which sees each distinct word once.
 
-    The library's cuts never cross the ends of a part (see :func:`parts_of`), so unseen
-    parts are joined into one text, encoded in one call, and the ids dealt back by their
-    byte lengths.
+    The library's cuts never cross the ends of a part (see :func:`words_of`), so unseen
+    words are joined into one text, encoded in one call, and the ids dealt back by their
+    byte lengths. Ids are kept for the words used most lately.
     """
 
     def __init__(self, vocabulary: str):
@@ -50,51 +51,74 @@ class PartEncoder:
         # In a byte-level vocabulary each character of a token's name is one byte.
         self.length = np.array([len(self.lib.id_to_token(i) or "") for i in range(size)], dtype=np.int64)
         self.known: dict[str, bytes] = {}
-
-    def _learn(self, unseen: list[str]) -> dict[str, bytes]:
-        out: dict[str, bytes] = {}
-        for k in range(0, len(unseen), 2000):
-            group = unseen[k : k + 2000]
-            ids = np.array(self.lib.encode("".join(group), add_special_tokens=False).ids, dtype="<u4")
+        self.older: dict[str, bytes] = {}
+        self.marks = {m: self._alone(m) for m in MARKS}
+
+    def _alone(self, text: str) -> bytes:
+        return np.array(self.lib.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _joined(self, words: list[str]) -> None:
+        """Learn words that end in a non-space, each with a space before it."""
+        groups = [words[k : k + 100] for k in range(0, len(words), 100)]
+        coded = self.lib.encode_batch_fast([" " + " ".join(g) for g in groups], add_special_tokens=False)
+        for group, found in zip(groups, coded):
+            ids = np.array(found.ids, dtype="<u4")
             ends = np.cumsum(self.length[ids])
-            stops = np.searchsorted(ends, np.cumsum([len(p.encode("utf-8")) for p in group]), side="left") + 1
+            stops = np.searchsorted(ends, np.cumsum([len(w.encode("utf-8")) + 1 for w in group]), side="left") + 1
             raw, at = ids.tobytes(), 0
-            for p, stop in zip(group, stops.tolist()):
-                out[p] = raw[4 * at : 4 * stop]
+            for w, stop in zip(group, stops.tolist()):
+                self.known[w] = raw[4 * at : 4 * stop]
                 at = stop
-        return out
+
+    def _learn(self, unseen: set[str]) -> None:
+        if len(self.known) > CACHED_PARTS:
+            self.older, self.known = self.known, {}
+        fresh, marked = {}, []
+        for w in unseen:
+            ids = self.older.get(w)
+            if ids is not None:
+                self.known[w] = ids
+            elif w[-1:] in self.marks and w[:-1].isalpha():
+                marked.append(w)  # letters and the mark behind them are pieces of their own
+                if (stem := w[:-1]) not in self.known:
+                    fresh[stem] = None
+            else:
+                fresh[w] = None
+        self._joined([w for w in fresh if not w[-1].isspace()])
+        for w in fresh:
+            if w[-1].isspace():
+                self.known[w] = self._alone(" " + w)
+        for w in marked:
+            self.known[w] = self.known[w[:-1]] + self.marks[w[-1]]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        cut: list[list[str] | bytes] = []
-        unseen: dict[str, None] = {}
+        found: list[tuple | bytes] = []
+        starts: list[str] = []
+        unseen: set[str] = set()
         for t in texts:
             if not t:
-                cut.append(b"")
-            elif any(s in t for s in self.special):
-                cut.append(np.array(self.lib.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes())
+                found.append(b"")
+            elif any(x in t for x in self.special):
+                found.append(self._alone(t))
             else:
-                parts = parts_of(t)
-                cut.append(parts)
-                for p in parts:
-                    if p not in self.known:
-                        unseen[p] = None
-        # Only a part that starts with a space, and follows one that ends in a non-space,
-        # can be joined to it; the others go one by one.
-        joined = [p for p in unseen if p[0] == " " and len(p) > 1 and not p[1].isspace() and not p[-1].isspace()]
-        alone = unseen.keys() - set(joined)
-        fresh = self._learn(joined)
-        for p in alone:
-            fresh[p] = np.array(self.lib.encode(p, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if len(self.known) + len(fresh) > CACHED_PARTS:
-            used = {p for parts in cut if isinstance(parts, list) for p in parts}
-            self.known = {p: b for p, b in self.known.items() if p in used}
-        self.known.update(fresh)
-        out = [c if isinstance(c, bytes) else b"".join(map(self.known.__getitem__, c)) for c in cut]
-        if len(self.known) > CACHED_PARTS:
-            self.known = {p: b for p, b in self.known.items() if len(p) <= CACHED_LENGTH // 4}
-            if len(self.known) > CACHED_PARTS:
-                self.known = {}
+                first, words = words_of(t)
+                ids = list(map(self.known.get, words))
+                gaps = [i for i, x in enumerate(ids) if x is None]
+                unseen.update([words[i] for i in gaps])
+                starts.append(first)
+                found.append((words, ids, gaps))
+        if unseen:
+            self._learn(unseen)
+        heads = iter(self.lib.encode_batch_fast(starts, add_special_tokens=False))
+        out = []
+        for x in found:
+            if not isinstance(x, bytes):
+                words, ids, gaps = x
+                for i in gaps:
+                    ids[i] = self.known[words[i]]
+                x = np.array(next(heads).ids, dtype="<u4").tobytes() + b"".join(ids)
+            out.append(x)
         return out
 
 
@@ -147,9 +171,9 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     rows = rows.withColumn("part", part)
     sizes = rows.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    # One row per file: metadata, not data.
+    # One row of two numbers per file: metadata, not data.
     bases = sizes.select(F.col("part").alias("of"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    return rows.join(bases, rows["part"] == bases["of"]).select(
+    return rows.join(F.broadcast(bases), rows["part"] == bases["of"]).select(
         "doc_id", (F.col("base") + F.col("offset")).alias("start"), "n_tokens", "ids"
     )
 
@@ -167,10 +191,10 @@ def digests(tokens: DataFrame) -> DataFrame:
 
         for batch in batches:
             ids = batch.column(2)
-            flat = np.ascontiguousarray(ids.values.to_numpy(zero_copy_only=False)).astype("<u4")
+            flat = ids.values.to_numpy(zero_copy_only=False).astype("<i4", copy=False)
             at = ids.offsets.to_numpy()
             n = np.diff(at).astype(np.int64)
-            crc = [zlib.crc32(flat[a:b].tobytes()) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+            crc = [zlib.crc32(flat[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
             yield pa.record_batch(
                 [batch.column(0), batch.column(1), pa.array(n), pa.array(crc, pa.int64())],
                 names=["doc_id", "start", "n_tokens", "ids_crc32"],
