@@ -27,8 +27,11 @@ UNDETERMINED = "und"
 CACHED_WORDS = 1_000_000
 BASE = 0x9E3779B97F4A7C15  # multiplier of the rolling hash
 SPREAD = 0xD6E8FEB86659FD93  # multiplier that spreads hashes over the table
-#: Words up to this length are scored together; linear-scale sums cannot underflow there.
+#: Words below this length are scored together.
 TOGETHER = 32
+#: What linear scale loses by underflow is below a few thousand times 5e-324, so sums from
+#: here on are right to the last digit; smaller ones are formed again in log scale.
+SAFE = 1e-280
 
 
 class Pieces:
@@ -158,7 +161,11 @@ class WordScorer:
         return alpha[n]
 
     def many(self, words: list[str]) -> np.ndarray:
-        """Forward pass over words of one length side by side, in linear scale."""
+        """Forward pass over words of one length side by side.
+
+        In linear scale first; words that get too small there in any language, such as
+        those of several characters outside the vocabulary, go through log scale.
+        """
         n = len(words[0]) + 1
         codes = np.frombuffer("".join(START + w for w in words).encode("utf-32-le"), dtype=np.uint32)
         codes = codes.reshape(len(words), n).astype(np.uint64)
@@ -177,7 +184,24 @@ class WordScorer:
         for end in range(1, n + 1):
             for k in range(min(end, longest)):
                 alpha[end] += alpha[end - k - 1] * p[piece[k][:, end - k - 1]]
-        return np.log(alpha[n])
+        small = (alpha[n] < SAFE).any(axis=1)
+        out = np.empty((len(words), self.width))
+        out[~small] = np.log(alpha[n][~small])
+        if small.any():
+            with np.errstate(divide="ignore"):  # the row of "no such piece" becomes -inf
+                out[small] = self.logs([x[small] for x in piece], np.log(p))
+        return out
+
+    def logs(self, piece: list[np.ndarray], logp: np.ndarray) -> np.ndarray:
+        """The forward pass of :meth:`many` in log scale, where nothing underflows."""
+        words, n = piece[0].shape
+        alpha = np.zeros((n + 1, words, self.width))
+        for end in range(1, n + 1):
+            terms = np.stack([alpha[end - k - 1] + logp[piece[k][:, end - k - 1]] for k in range(min(end, len(piece)))])
+            # Finite: each character is a piece or has a row of its own.
+            top = terms.max(axis=0)
+            alpha[end] = top + np.log(np.exp(terms - top).sum(axis=0))
+        return alpha[n]
 
     def learn(self, words: list[str]) -> None:
         by: dict[int, list[str]] = {}

@@ -170,6 +170,27 @@ def test_language_cases(spark, docs):
     assert [r.lang_pred for r in language.identify(docs([(1, "a b")]), PIECES, nothing).collect()] == ["und"]
 
 
+def test_characters_outside_the_vocabulary_do_not_underflow(spark, docs):
+    """Byte pieces of probability 0.1 / N each: their product leaves the range of a float."""
+    model = _model(spark, docs)
+    for n in (2e6, 1.5e9):
+        sure = language.Model(model.languages, np.minimum(model.logp, np.log(0.1 / n)), model.prior)
+        scorer = language.WordScorer(PIECES, sure)
+        words = ["𐌰" * 12, "𐌰𐌱" * 15, "ꙮ" * 31, "the" + "𐌰" * 11, "z" * 31]
+        scorer.learn([*words, "the", "𐌰"])
+        for w in words:
+            got = scorer.scores[scorer.row[w]]
+            assert np.isfinite(got).all() and np.allclose(got, scorer.one(w), rtol=1e-12)
+        # Of words of one length, those that stay in range come out as they do alone.
+        assert np.array_equal(scorer.many(["abcdefghijkl", "𐌰" * 12])[0], scorer.many(["abcdefghijkl"])[0])
+    big = language.Model(["de", "en"], model.logp.copy(), model.prior)
+    unseen = big.logp.min(axis=0)
+    big.logp[(big.logp == unseen)] = np.log(0.1 / 2e6)
+    rows = [(1, "the dog and the cat " + "𐌰" * 12 + " in the house"), (2, "der Hund und die Katze " + "𐌰" * 12)]
+    got = {r.doc_id: r for r in language.identify(docs(rows), PIECES, big).collect()}
+    assert got[1].lang_pred == "en" and got[2].lang_pred == "de" and all(0.5 < r.score <= 1 for r in got.values())
+
+
 def model_allowed():
     from pyspark.sql import functions as F
 
