@@ -171,7 +171,10 @@ def content_and_bands(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) ->
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """(node, shingles, weights) of documents, shingles ascending as unsigned numbers."""
+    """(node, part, shingles, weights) of documents, shingles ascending as unsigned numbers.
+
+    ``part`` tells the texts of one node apart.
+    """
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler = Shingler()
@@ -183,12 +186,14 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
                 yield pd.DataFrame(
                     {
                         "node": pdf["node"],
+                        "part": pdf["part"],
                         "shingles": np.split(shingle.astype(np.int64), cuts),
                         "weights": np.split(weight.astype(np.float32), cuts),
                     }
                 )
 
-    return docs.select("node", "text").mapInPandas(cut, "node long, shingles array<long>, weights array<float>")
+    rows = docs.select("node", F.xxhash64("text").alias("part"), "text")
+    return rows.mapInPandas(cut, "node long, part long, shingles array<long>, weights array<float>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -249,13 +254,14 @@ def prefix_pairs(members: DataFrame, sets: DataFrame, threshold: float) -> DataF
     In the common order of all shingles let ``before`` be the weight that a document has
     in front of the first shingle it shares with another. With all weights 1 they share
     at most ``all - before``, and need ``t / (1 + t)`` of their weights' sum. In general,
-    J_P is at most the smaller share of weight that is not in front.
+    J_P is at most the smaller share of weight that is not in front. A node with several
+    texts takes part with each of them.
     """
     nodes = members.select("node", "label").distinct()
-    long = sets.join(nodes, "node").select("node", "label", F.explode(F.arrays_zip("shingles", "weights")).alias("s"))
-    long = long.select("node", "label", F.col("s.shingles").alias("shingle"), F.col("s.weights").cast("double").alias("w"))
+    long = sets.join(nodes, "node").select("node", "part", "label", F.explode(F.arrays_zip("shingles", "weights")).alias("s"))
+    long = long.select("node", "part", "label", F.col("s.shingles").alias("shingle"), F.col("s.weights").cast("double").alias("w"))
     known = long.groupBy("shingle").agg(F.count("*").alias("df"), (F.min("label") != F.max("label")).alias("shared"))
-    mine = Window.partitionBy("node")
+    mine = Window.partitionBy("node", "part")
     ahead = mine.orderBy("shared", "df", "shingle").rowsBetween(Window.unboundedPreceding, -1)
     placed = long.join(known, "shingle").select(
         "shingle", "node", "label", "shared",

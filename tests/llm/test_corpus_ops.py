@@ -112,6 +112,17 @@ def test_prefix_join_alone_loses_no_pair(spark, docs):
     assert {d: got.get(d, d) for d, _ in rows} == _brute_classes(rows)
 
 
+def test_prefix_join_takes_each_text_of_a_repeated_id(spark, docs):
+    """A short text beside a long one of the same id: its shared shingles are early in it alone."""
+    rng = random.Random(14)
+    base = prose(rng, 100)
+    rows = [(1, base), (1, prose(rng, 1000)), (2, edited(rng, base, 1)), (3, prose(rng, 100))]
+    sets = neardup.shingle_sets(docs(rows).select(F.col("doc_id").alias("node"), "text"))
+    members = spark.createDataFrame([(1, d) for d in (1, 2, 3)], "key long, node long")
+    got = {r.node: r.label for r in neardup.linked(members, sets, 0.8, rounds=0).collect()}
+    assert got == {1: 1, 2: 1}
+
+
 def test_near_copies_edge_cases(docs):
     long = prose(random.Random(5), 30_000)
     rows = [(1, None), (2, ""), (3, " .,! "), (None, "a b c d e f"), (5, "a b c d e f"), (6, "A b c d e f!"), (7, long), (8, long + " end"), (5, "a b c d e f"), (9, "x y z w v u"), (6, "x y z w v u"), (None, None)]
