@@ -101,19 +101,22 @@ def conversations(rows: DataFrame) -> DataFrame:
     """(conv_id, turns): the turns of each conversation in order.
 
     Null roles and texts are empty. Equal turn numbers go by role, then text; a null turn
-    number comes first. Rows without conv_id form one conversation without id.
+    number comes first. Rows without conv_id belong to nothing that is known: each is a
+    conversation of its own, made where it is read.
     """
     turn = F.struct(
         F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
     )
-    return rows.groupBy(F.col("conv_id").cast("long").alias("conv_id")).agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    turns = rows.select(F.col("conv_id").cast("long").alias("conv_id"), turn.alias("said"))
+    named = turns.where(F.col("conv_id").isNotNull()).groupBy("conv_id").agg(F.sort_array(F.collect_list("said")).alias("turns"))
+    return named.unionByName(turns.where(F.col("conv_id").isNull()).select("conv_id", F.array("said").alias("turns")))
 
 
 def format_conversations(rows: DataFrame, vocabulary: str) -> DataFrame:
     """Formatted text, token ids, character offsets, loss mask and assistant spans of each conversation.
 
-    One row per conv_id, see :func:`conversations` for nulls and ties. Other columns are
-    ignored; an empty table gives an empty result.
+    One row per conv_id and per row without one, see :func:`conversations` for nulls and
+    ties. Other columns are ignored; an empty table gives an empty result.
     """
 
     def formatted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

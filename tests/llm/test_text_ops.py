@@ -244,3 +244,14 @@ def test_chat_rows(spark):
     assert got[4].turns_sha256 == sha("\nt\\n\n")
     assert got[5].loss_sha256 == sha("😀é\n" * 9000) and got[5].loss_chars == 27000
     assert chat.digests(chat.format_conversations(frame.limit(0), BYTE_BPE)).collect() == []
+
+
+def test_chat_rows_without_id_stand_alone(spark):
+    """No group gathers them, so that none grows with the table."""
+    rows = [(None, 0, "user", "x"), (None, 1, "assistant", "y"), (None, 0, "user", "x"), (1, 1, "assistant", "b"), (1, 0, "user", "a")]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    turns = [(r.conv_id, [(t.turn, t.role, t.text) for t in r.turns]) for r in chat.conversations(frame).collect()]
+    want = [(None, [r[1:]]) for r in rows[:3]] + [(1, [(0, "user", "a"), (1, "assistant", "b")])]
+    assert sorted(turns, key=repr) == sorted(want, key=repr)
+    got = chat.digests(chat.format_conversations(frame, BYTE_BPE)).collect()
+    assert sorted((r.conv_id or 0, r.n_turns, r.loss_chars) for r in got) == [(0, 1, 0), (0, 1, 0), (0, 1, 1), (1, 2, 1)]
