@@ -233,7 +233,7 @@ class WordScorer:
 
 
 def identify(docs: DataFrame, vocabulary: str, model: Model) -> DataFrame:
-    """(doc_id, lang_pred, score), one row per row of ``docs``; ``score`` is the posterior.
+    """(doc_id, text_hash, lang_pred, score), one row per row of ``docs``; ``score`` is the posterior.
 
     A null text, and one without a letter, is ``und`` with score 0; so is every text when
     nothing was learned. Equal scores go to the language that comes first. Other columns
@@ -258,7 +258,7 @@ def identify(docs: DataFrame, vocabulary: str, model: Model) -> DataFrame:
                     for i, c in enumerate(counts):
                         if c:
                             pred[i], score[i] = known.languages[best[i]], post[i]
-                yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "lang_pred": pred, "score": score})
+                yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "text_hash": pdf["text_hash"], "lang_pred": pred, "score": score})
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInPandas(identified, "doc_id long, lang_pred string, score double")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    return rows.mapInPandas(identified, "doc_id long, text_hash long, lang_pred string, score double")

@@ -26,9 +26,11 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     model = language.fit(docs, vocabulary, F.lit(True))
     found = language.identify(docs, vocabulary, model)
     told = (F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= LANGUAGE_SCORE)
-    kept = found.where(told & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("kept_id")).distinct()
-    # A repeated id stays with those of its rows that have a text.
-    return docs.where(F.col("text").isNotNull()).join(kept, docs["doc_id"] == kept["kept_id"], "left_semi")
+    kept = found.where(told & F.col("doc_id").isNotNull())
+    kept = kept.select(F.col("doc_id").alias("kept_id"), F.col("text_hash").alias("kept_hash")).distinct()
+    # The verdict is on a text: a repeated id stays with those of its rows that were accepted.
+    same = (docs["doc_id"] == kept["kept_id"]) & (F.xxhash64(docs["text"]) == kept["kept_hash"])
+    return docs.where(F.col("text").isNotNull()).join(kept, same, "left_semi")
 
 
 def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

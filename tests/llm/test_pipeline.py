@@ -55,6 +55,15 @@ def test_stages_take_effect(spark, tmp_path):
     assert WORDS and len(corpus_pipeline.run(spark, path).collect()) == len(got)
 
 
+def test_language_verdict_is_on_the_row(spark):
+    """An accepted text does not keep a rejected one of the same id."""
+    good = "plain words that anyone can read in a line"
+    rows = [(1, good, "en", "a", 1), (1, "12 34 !!", "en", "a", 2), (1, None, "en", "a", 3), (2, good, "en", "a", 4), (2, good, "en", "a", 5), (3, "##", "en", "a", 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.identify_language(spark, docs, "")
+    assert kept.columns == docs.columns and sorted(r.n_chars for r in kept.collect()) == [1, 4, 5]
+
+
 @pytest.mark.parametrize("gone", ["documents", "benchmark", "labels"])
 def test_empty_tables(spark, tmp_path, gone):
     rng = random.Random(2)
