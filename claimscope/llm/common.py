@@ -69,3 +69,15 @@ def labelled_sample(labels: DataFrame, label: str, allowed: Column, bound: int)
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(bound)
     )
+
+
+def sample_rows(docs: DataFrame, picked: DataFrame) -> DataFrame:
+    """(doc_id, text) of the ids in ``picked`` with its other columns: one row per id.
+
+    An id with several texts stands with the one of least hash, with a null text only if
+    it has no other; so the bound on ids bounds the rows as well.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id")
+    others = [c for c in picked.columns if c != "doc_id"]
+    first = F.min(F.struct(F.col("text").isNull().alias("none"), F.xxhash64("text").alias("hash"), "text")).alias("first")
+    return rows.groupBy("doc_id", *others).agg(first).select("doc_id", F.col("first.text").alias("text"), *others)

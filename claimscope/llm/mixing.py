@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimscope.llm import quality, textstats, toxicity
-from claimscope.llm.common import staged
+from claimscope.llm.common import sample_rows, staged
 
 SAMPLE = 20_000
 LABELS = ("quality", "toxic")
@@ -66,8 +66,7 @@ def labelled(labels: DataFrame, names: tuple[str, ...], sample: int) -> DataFram
 
 def fit_classifier(docs: DataFrame, labels: DataFrame, names: tuple[str, ...] = LABELS, sample: int = SAMPLE) -> Classifier:
     """One-against-rest additive models over text features, on at most ``sample`` labelled rows."""
-    picked = F.broadcast(labelled(labels, names, sample))
-    rows = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(picked, "doc_id"), "sample")
+    rows = staged(sample_rows(docs, labelled(labels, names, sample)), "sample")
     # A lexicon for the last label: the terms that go along with it.
     last = (F.element_at(F.split("domain", ","), -1).cast("int") > 0).cast("int")
     lexicons = [toxicity.vocabulary(rows.select("text", last.alias("label")))[0]]

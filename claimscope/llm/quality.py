@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimscope.llm import textstats
-from claimscope.llm.common import labelled_sample
+from claimscope.llm.common import labelled_sample, sample_rows
 
 SAMPLE = 20_000
 THRESHOLD = 0.7
@@ -144,8 +144,7 @@ def fit_additive(x: np.ndarray, y: np.ndarray, rounds: int = ROUNDS, pairs: int
 def fit(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, sample: int = SAMPLE) -> Additive:
     """Fit on at most ``sample`` labelled ids that ``allowed`` (on labels) selects, by hash order."""
     picked = labelled_sample(labels, label, allowed, sample)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id")
-    known = textstats.with_features(rows, "doc_id", "label").toPandas().sort_values("doc_id", kind="stable")
+    known = textstats.with_features(sample_rows(docs, picked), "doc_id", "label").toPandas().sort_values("doc_id", kind="stable")
     x = np.array(known["x"].tolist(), dtype=float).reshape(len(known), len(textstats.NAMES))
     return fit_additive(x, known["label"].to_numpy(dtype=float))
 

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimscope.llm.common import labelled_sample, staged
+from claimscope.llm.common import labelled_sample, sample_rows, staged
 
 SAMPLE, TERMS = 20_000, 5_000
 THRESHOLD = 0.7
@@ -194,8 +194,7 @@ def vocabulary(rows: DataFrame, terms: int = TERMS) -> tuple[dict[str, float], f
 def fit(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, sample: int = SAMPLE, terms: int = TERMS) -> Model:
     """Learn from at most ``sample`` labelled ids that ``allowed`` (on labels) selects, by hash order."""
     picked = labelled_sample(labels, label, allowed, sample)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id")
-    rows = staged(rows, "sample")
+    rows = staged(sample_rows(docs, picked), "sample")
     idf, share = vocabulary(rows, terms)
 
     def vectored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

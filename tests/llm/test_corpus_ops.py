@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from claimscope.llm import decontaminate, mixing, neardup, oracles, quality, queries, rules, textstats, toxicity
+from claimscope.llm import common, decontaminate, mixing, neardup, oracles, quality, queries, rules, textstats, toxicity
 from conftest import SF01, SF001
 from llm_docs import docs  # noqa: F401
 from oracle_compare import compare, duck
@@ -302,6 +302,21 @@ def test_block_index_is_exact():
     assert len(index.nearest(np.array([99]), np.array([1.0]), 5)[0]) == 0
 
 
+def test_a_repeated_id_is_one_example(spark, docs):
+    """The bound on sampled ids bounds the rows that reach the driver."""
+    picked = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, label int")
+    frame = docs([(1, "same text")] * 50 + [(1, "other text"), (1, None), (2, "two"), (3, None), (4, "no label"), (None, "x")])
+    found = common.sample_rows(frame, picked)
+    got = {r.doc_id: r for r in found.collect()}
+    assert found.columns == ["doc_id", "text", "label"] and found.count() == 3 == len(got)
+    assert got[1].text in ("same text", "other text") and got[1].label == 1
+    assert (got[2].text, got[3].text) == ("two", None)
+    labels = spark.createDataFrame([(i, int(i >= 20)) for i in range(40)], "doc_id long, toxic int")
+    rows = [(i, "plain words here" if i < 20 else "foul words there") for i in range(40)]
+    once, often = (toxicity.fit(docs(r), labels, "toxic", F.lit(True)) for r in (rows, rows + [rows[0]] * 300))
+    assert once.rows.sum() == often.rows.sum() and once.idf == often.idf and once.base == often.base
+
+
 # ---------------------------------------------------------------- mixing
 
 
