@@ -40,6 +40,16 @@ def drop_folder(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def hadoop_uri(spark: SparkSession, path: str, make: bool = False) -> str:
+    """``path`` with scheme and authority, as workers without Hadoop configuration need it."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if make:
+        system.mkdirs(target)
+    uri = system.makeQualified(target).toUri().toString()
+    return uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file://") else uri
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

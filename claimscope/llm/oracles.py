@@ -114,4 +114,102 @@ FROM d LEFT JOIN best USING (r)
 """
 
 
-ORACLE_SQL = {"op4_rules": _rules(), "op8_decontaminate": DECONTAMINATE}
+
+#: crc32 of a list of byte values, by the reflected polynomial, from a table made by its rule.
+_CRC_TABLE = """list_transform(range(0, 256), lambda i: list_reduce(range(0, 8),
+    lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i))"""
+
+_RUN = "[A-Za-z\\x{C0}-\\x{FF}]+"
+
+SPELLING = f"""
+WITH crc AS (SELECT {_CRC_TABLE} AS t),
+runs AS (
+    SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS doc, translate(run, '{UPPER}', '{LOWER}') AS run
+    FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{_RUN}')) AS run FROM documents)
+),
+pairs AS (SELECT doc, run, count(*) AS k, hex(encode(doc || ':' || run)) AS x FROM runs GROUP BY doc, run),
+hashed AS (
+    SELECT run, k, xor(4294967295, list_reduce(
+        list_transform(range(1, length(x), 2), lambda i: CAST('0x' || substr(x, i, 2) AS BIGINT)),
+        lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295)) AS h
+    FROM pairs, crc
+),
+words AS (
+    SELECT word, CAST(sum(k) AS BIGINT) AS n
+    FROM (SELECT k, CASE WHEN h % 199 = 0 THEN substr(run, 1, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2)
+                         ELSE run END AS word FROM hashed)
+    WHERE length(word) >= 6 GROUP BY word HAVING sum(k) >= 5
+),
+cuts AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest
+         FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+near AS (
+    SELECT DISTINCT * FROM (
+        SELECT a.word, b.word AS near, b.n AS near_n FROM cuts a JOIN cuts b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+        UNION ALL SELECT a.word, b.word, b.n FROM cuts a JOIN words b ON a.rest = b.word
+        UNION ALL SELECT b.word, a.word, a.n FROM cuts a JOIN words b ON a.rest = b.word
+    )
+),
+best AS (SELECT word, count(*) AS n_near, arg_min(near, (-near_n, encode(near))) AS near, max(near_n) AS near_n FROM near GROUP BY word),
+told AS (
+    SELECT words.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 5 * n THEN near END AS form,
+           CASE WHEN near_n >= 5 * n THEN near_n END AS form_n
+    FROM words LEFT JOIN best USING (word)
+),
+ends AS (
+    WITH RECURSIVE chain(word, root) AS (
+        SELECT word, word FROM told UNION ALL
+        SELECT chain.word, told.form FROM chain JOIN told ON told.word = chain.root WHERE told.form IS NOT NULL
+    )
+    SELECT chain.word, chain.root FROM chain JOIN told ON told.word = chain.root WHERE told.form IS NULL
+)
+SELECT told.word, form, root, n, n_near, form_n FROM told JOIN ends USING (word)
+"""
+
+_TEXT_WORDS = "list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+
+FILTER_AUDIT = f"""
+WITH texts AS (
+    SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, {_TEXT_WORDS} AS w FROM documents
+),
+marks AS (SELECT doc_id, max(quality) = 1 AS good, max(toxic) = 1 AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+judged AS (
+    SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+           CASE WHEN len(w) < 200 THEN 1 ELSE 0 END
+         + CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 2 ELSE 0 END
+         + CASE WHEN 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 2 * length(t) THEN 4 ELSE 0 END
+         + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END
+         + CASE WHEN coalesce(min(doc_id) OVER (PARTITION BY t) < doc_id, false) THEN 16 ELSE 0 END AS mask
+    FROM texts LEFT JOIN marks USING (doc_id)
+),
+patterns AS (SELECT part, mask, good, toxic, count(*) AS n FROM judged GROUP BY ALL),
+letters AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) x(f, bit)),
+orders AS (
+    SELECT a.f || b.f || c.f || d.f || e.f AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+    FROM letters a JOIN letters b ON b.f <> a.f JOIN letters c ON c.f NOT IN (a.f, b.f)
+    JOIN letters d ON d.f NOT IN (a.f, b.f, c.f) JOIN letters e ON e.f NOT IN (a.f, b.f, c.f, d.f)
+),
+steps AS (
+    SELECT filter_order, step, bits[step] AS bit, CAST(coalesce(list_sum(bits[1:step - 1]), 0) AS INTEGER) AS before
+    FROM (SELECT *, unnest(range(1, 6)) AS step FROM orders)
+),
+told AS (
+    SELECT part, filter_order, step, bit,
+           sum(n) FILTER (mask & (before | bit) = 0) AS kept,
+           sum(n) FILTER (mask & before = 0 AND mask & bit > 0) AS removed,
+           sum(n) FILTER (mask & before > 0 AND mask & bit > 0) AS redundant,
+           sum(n) FILTER (mask = bit) AS unique_fails,
+           sum(n) FILTER (mask & before = 0 AND mask & bit > 0 AND good) AS good_lost,
+           sum(n) FILTER (mask & before = 0 AND mask & bit > 0 AND toxic) AS toxic_lost
+    FROM patterns, steps GROUP BY ALL
+)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(coalesce(kept, 0) AS BIGINT) AS kept,
+       CAST(coalesce(removed, 0) AS BIGINT) AS removed, CAST(coalesce(redundant, 0) AS BIGINT) AS redundant,
+       CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails, CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost,
+       CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost,
+       CAST(sum(coalesce(removed, 0)) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley
+FROM told
+"""
+
+ORACLE_SQL = {
+    "op4_rules": _rules(), "op8_decontaminate": DECONTAMINATE, "op12_spelling": SPELLING, "op13_filter_audit": FILTER_AUDIT,
+}

@@ -6,7 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimscope.llm import bpe, chat, decontaminate, language, mixing, neardup, oracles, quality, rules, token_files, toxicity
+from claimscope.llm import (
+    bpe, chat, decontaminate, filter_audit, language, lm, mixing, neardup, oracles, quality, rules, spelling, token_files,
+    toxicity,
+)
 from claimscope.llm.common import documents, held_out, new_folder, table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -73,6 +76,23 @@ def op10_token_files(spark: SparkSession, sf: str) -> DataFrame:
     return token_files.digests(token_files.read_token_files(spark, path))
 
 
+def op11_kneser_ney(spark: SparkSession, sf: str) -> DataFrame:
+    held = held_out(F.col("doc_id"), 7, 2)
+    docs = documents(spark, sf).select("doc_id", "text")
+    model = lm.fit(docs, ~held)
+    found = lm.perplexity(lm.score(docs, model, "doc_id"))
+    tokens = F.lit(model.tokens).cast("long").alias("train_tokens")
+    return found.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", tokens, "base_score", "score", "perplexity")
+
+
+def op12_spelling(spark: SparkSession, sf: str) -> DataFrame:
+    return spelling.variants(documents(spark, sf))
+
+
+def op13_filter_audit(spark: SparkSession, sf: str) -> DataFrame:
+    return filter_audit.audit(documents(spark, sf), table(spark, sf, "labels"))
+
+
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     import corpus_pipeline
 
@@ -91,6 +111,9 @@ def queries() -> dict:
         "op8_decontaminate": op8_decontaminate,
         "op9_mixing": op9_mixing,
         "op10_token_files": op10_token_files,
+        "op11_kneser_ney": op11_kneser_ney,
+        "op12_spelling": op12_spelling,
+        "op13_filter_audit": op13_filter_audit,
         "pipeline": pipeline,
     }
 
