@@ -2,15 +2,17 @@
 
 A conversation is rendered as one string,
 
-    <|im_start|>role\\ntext<|im_end|>\\n
+    <|im_start|>role<|im_sep|>text<|im_end|>\\n
 
 for each turn, and encoded once with character offsets. The spans of the assistant texts
 and the token spans are both sorted, so each turn finds its tokens by binary search; a
-token is under the loss if it overlaps an assistant text.
+token is under the loss if it overlaps an assistant text. The control strings are tokens
+of their own (ids after the vocabulary's), so no token holds a piece of the template and a
+piece of a text: what is under the loss is the assistant texts and nothing else.
 
 Control strings inside roles and texts are escaped reversibly: a backslash becomes two,
 and ``<|`` gets a backslash between its characters, so that ``<|`` occurs in the rendering
-only where the template puts it. In roles a line end becomes ``\\n`` as well.
+only where the template puts it.
 """
 
 from __future__ import annotations
@@ -24,10 +26,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TURN_START, TURN_END = "<|im_start|>", "<|im_end|>"
+TURN_START, ROLE_END, TURN_END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
 LOSS_ROLE = "assistant"
-TURN = re.compile(r"<\|im_start\|>([^\n]*)\n(.*?)<\|im_end\|>\n", re.DOTALL)
+TURN = re.compile(r"<\|im_start\|>(.*?)<\|im_sep\|>(.*?)<\|im_end\|>\n", re.DOTALL)
 ESCAPED = re.compile(r"\\(.)", re.DOTALL)
+#: Characters that are encoded at a time; a longer conversation goes by itself.
+LETTERS = 200_000
 SCHEMA = (
     "conv_id long, formatted string, ids array<int>, starts array<int>, stops array<int>, loss array<boolean>, "
     "spans array<struct<start:int,stop:int>>"
@@ -38,23 +42,24 @@ def escape(text: str) -> str:
     return text.replace("\\", "\\\\").replace("<|", "<\\|")
 
 
-def escape_role(role: str) -> str:
-    return escape(role).replace("\n", "\\n")
-
-
 def unescape(text: str) -> str:
     return ESCAPED.sub(r"\1", text)
 
 
-def unescape_role(role: str) -> str:
-    return ESCAPED.sub(lambda m: "\n" if m[1] == "n" else m[1], role)
+def encoder(vocabulary: str):
+    """The library's tokenizer with the template's control strings as tokens of their own."""
+    from tokenizers import AddedToken, Tokenizer
+
+    lib = Tokenizer.from_file(vocabulary)
+    lib.add_special_tokens([AddedToken(t, normalized=False) for t in (TURN_START, ROLE_END, TURN_END)])
+    return lib
 
 
 def render(turns: list[tuple[str, str]]) -> tuple[str, list[tuple[int, int]]]:
     """The formatted conversation and the (start, stop) spans of the assistant texts in it."""
     out, at, spans = [], 0, []
     for role, text in turns:
-        head, body = f"{TURN_START}{escape_role(role)}\n", escape(text)
+        head, body = f"{TURN_START}{escape(role)}{ROLE_END}", escape(text)
         if role == LOSS_ROLE:
             spans.append((at + len(head), at + len(head) + len(body)))
         out += [head, body, f"{TURN_END}\n"]
@@ -75,7 +80,7 @@ def loss_mask(starts: np.ndarray, stops: np.ndarray, spans: list[tuple[int, int]
 
 def parse(formatted: str) -> list[tuple[str, str]]:
     """The (role, text) turns of a formatted conversation."""
-    return [(unescape_role(m[1]), unescape(m[2])) for m in TURN.finditer(formatted)]
+    return [(unescape(m[1]), unescape(m[2])) for m in TURN.finditer(formatted)]
 
 
 def masked_texts(formatted: str, starts: np.ndarray, stops: np.ndarray, mask: np.ndarray, spans: list[tuple[int, int]]) -> list[str]:
@@ -97,6 +102,17 @@ def masked_texts(formatted: str, starts: np.ndarray, stops: np.ndarray, mask: np
     return out
 
 
+def masked_text(formatted: str, starts: np.ndarray, stops: np.ndarray, mask: np.ndarray) -> str:
+    """The unescaped text of the masked tokens, by their offsets alone."""
+    parts, done = [], 0
+    for s, e in zip(starts[mask].tolist(), stops[mask].tolist()):
+        s = max(s, done)  # tokens of one character split over several cover it once
+        if s < e:
+            parts.append(formatted[s:e])
+            done = e
+    return unescape("".join(parts))
+
+
 def conversations(rows: DataFrame) -> DataFrame:
     """(conv_id, turns): the turns of each conversation in order.
 
@@ -120,12 +136,10 @@ def format_conversations(rows: DataFrame, vocabulary: str) -> DataFrame:
     """
 
     def formatted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from tokenizers import Tokenizer
-
-        lib = Tokenizer.from_file(vocabulary)
+        lib = encoder(vocabulary)
         for batch in batches:
-            for k in range(0, len(batch), 200):
-                pdf = batch.iloc[k : k + 200]
+            size = batch["turns"].map(lambda turns: sum(len(t["text"]) for t in turns)).cumsum() // LETTERS
+            for _, pdf in batch.groupby(size):
                 done = [render([(t["role"], t["text"]) for t in turns]) for turns in pdf["turns"]]
                 coded = lib.encode_batch([text for text, _ in done], add_special_tokens=False)
                 out = []
@@ -150,14 +164,13 @@ def digests(formatted: DataFrame) -> DataFrame:
                 turns, told = parse(r.formatted), hashlib.sha256()
                 for role, text in turns:
                     told.update(f"{role}\n{text}\n".encode())
-                spans = [(s["start"], s["stop"]) for s in r.spans]
                 mask = np.asarray(r.loss, dtype=bool)
-                loss = "".join(masked_texts(r.formatted, np.asarray(r.starts), np.asarray(r.stops), mask, spans))
+                loss = masked_text(r.formatted, np.asarray(r.starts), np.asarray(r.stops), mask)
                 out.append((r.conv_id, len(turns), told.hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(r.formatted)))
             frame = pd.DataFrame(out, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
             yield frame.assign(conv_id=frame["conv_id"].astype("Int64"))
 
-    kept = formatted.select("conv_id", "formatted", "starts", "stops", "loss", "spans")
+    kept = formatted.select("conv_id", "formatted", "starts", "stops", "loss")
     return kept.mapInPandas(
         digested, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
     )

@@ -125,15 +125,16 @@ def covered(spans: Column) -> Column:
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """(doc_id, n_words, n_hit, items, contaminated), one row per row of ``docs``.
+    """(doc_id, text_hash, n_words, n_hit, items, contaminated), one row per row of ``docs``.
 
     ``n_hit`` counts the words inside any occurrence of a window, ``items`` is the sorted
     array of item ids (as strings) with an occurring window. A null or empty text has no
-    words and no hits; items with a null id or no words are never reported. Rows with a
-    null or repeated doc_id each get the result of their own text. Other columns are
-    ignored; empty tables give no rows, or no hits.
+    words and no hits. The words of an item without id are hit like any other's, only its
+    null is not listed. Rows with a null or repeated doc_id each get the result of their own
+    text, which ``text_hash`` names. Other columns are ignored; empty tables give no rows, or
+    no hits.
     """
-    rows, owners = scanned(docs, benchmark.where(F.col("item_id").isNotNull()), size, broadcast_bytes)
+    rows, owners = scanned(docs, benchmark, size, broadcast_bytes)
     rows = staged(rows, "occurrences")
     key = ["doc_id", "text_hash"]
     hits = rows.where(F.col("window_id").isNotNull())
@@ -149,6 +150,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, broad
     out = rows.join(found, F.col("doc_id").eqNullSafe(F.col("of")) & F.col("text_hash").eqNullSafe(F.col("of_text")), "left")
     return out.select(
         "doc_id",
+        "text_hash",
         "n_words",
         F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"),

@@ -21,6 +21,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LETTERS = re.compile(r"[^\W\d_]+")
+
+
+def words_of(text: str | None) -> list[str]:
+    """Runs of letters, lower-cased. Signs such as ½, ² and ①, which patterns take for letters, end a run."""
+    found = LETTERS.findall(text.lower()) if text else []
+    if not found or text.isascii() or all(map(str.isalpha, found)):
+        return found
+    return [w for run in found for w in "".join(c if c.isalpha() else " " for c in run).split()]
+
+
 START = "▁"  # fixed value: the vocabulary's mark of a word's first piece
 SMOOTHING = 0.1
 UNDETERMINED = "und"
@@ -89,7 +99,7 @@ def count_pieces(docs: DataFrame, vocabulary: str) -> DataFrame:
             for lang, texts in pdf.groupby("lang")["text"]:
                 words = Counter()
                 for t in texts:
-                    words.update(LETTERS.findall(t.lower()))
+                    words.update(words_of(t))
                 total = counts.setdefault(lang, np.zeros(pieces.size))
                 distinct = list(words)
                 for k in range(0, len(distinct), 5000):
@@ -248,7 +258,7 @@ def identify(docs: DataFrame, vocabulary: str, model: Model) -> DataFrame:
         for batch in batches:
             for k in range(0, len(batch), 2500):
                 pdf = batch.iloc[k : k + 2500]
-                counts = [Counter(LETTERS.findall(t.lower())) if t else Counter() for t in pdf["text"]]
+                counts = [Counter(words_of(t)) for t in pdf["text"]]
                 pred, score = [UNDETERMINED] * len(pdf), np.zeros(len(pdf))
                 if known.languages:
                     total = scorer.texts(counts) + known.prior

@@ -9,7 +9,7 @@ from claimscope.llm.decontaminate import LOWER, SIZE, UPPER
 _WORDS = f"list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^0-9a-z\\x{{80}}-\\x{{10FFFF}}]+'), lambda x: x <> '')"
 
 DECONTAMINATE = f"""
-WITH items AS (SELECT item_id, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+WITH items AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
 places AS (SELECT item_id, w, unnest(range(1, greatest(len(w) - {SIZE - 1}, 1) + 1)) AS i FROM items WHERE len(w) > 0),
 windows AS (
     SELECT DISTINCT item_id, least(len(w), {SIZE}) AS n, array_to_string(w[i:i + {SIZE - 1}], ' ') AS win FROM places
@@ -25,7 +25,7 @@ hits AS (
 ),
 covered AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(s, s + n)) AS p FROM hits) x GROUP BY r),
 found AS (
-    SELECT r, count(*) AS n, sha256(string_agg(id, ',' ORDER BY id)) AS sha
+    SELECT r, count(id) AS n, sha256(string_agg(id, ',' ORDER BY id)) AS sha
     FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS id FROM hits) x GROUP BY r
 )
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(covered.n, 0) AS n_hit, coalesce(found.n, 0) AS n_items,

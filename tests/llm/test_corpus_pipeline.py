@@ -27,7 +27,10 @@ def test_stages_take_effect(spark, tmp_path):
     rows = [(i, prose(rng, 80), "en", "a", 1) for i in range(30)]
     rows += [(30 + i, "$$$ ### " + prose(rng, 60).replace(" ", "%%% "), "en", "b", 1) for i in range(10)]
     rows += [(100 + i, edited(rng, rows[i][1], 1), "en", "a", 1) for i in range(5)]
-    rows += [(200, f"{prose(rng, 40)} {item} {prose(rng, 20)}", "en", "a", 1), (300, "12 34 !!", "en", "a", 1), (301, None, "en", "a", 1), (None, prose(rng, 50), None, None, None)]
+    rows += [(200, f"{prose(rng, 40)} {item} {prose(rng, 20)}", "en", "a", 1), (300, "12 34 !!", "en", "a", 1), (301, None, "en", "a", 1)]
+    # Rows without an id are judged by their texts: one is clean, one holds the passage.
+    unnamed = prose(rng, 90)
+    rows += [(None, unnamed, None, None, None), (None, f"{item} {prose(rng, 50)}", None, None, None), (None, "?? 12", None, None, None)]
     path = str(tmp_path / "t")
     _tables(spark, path, rows, [(1, item)])
     names = [n for n, _ in corpus_pipeline.STAGES]
@@ -39,7 +42,11 @@ def test_stages_take_effect(spark, tmp_path):
             assert out.columns == docs.columns and out.dtypes == docs.dtypes
             out.write.parquet(f"{tmp_path}/{name}")
             docs = spark.read.parquet(f"{tmp_path}/{name}")
-            kept.append({r.doc_id for r in docs.select("doc_id").collect()})
+            here = docs.select("doc_id", "text").collect()
+            kept.append({r.doc_id for r in here if r.doc_id is not None})
+            texts = [r.text for r in here if r.doc_id is None]
+            assert set(texts) <= {unnamed, rows[-2][1]} and (len(texts) == 2 if name in ("language", "near_copies") else set(texts) <= {unnamed})
+            assert name != "decontaminate" or texts == [unnamed]
     clean = set(range(40))
     assert kept[0] == clean | {*range(100, 105), 200}
     assert kept[1] == clean | {200}
@@ -47,7 +54,7 @@ def test_stages_take_effect(spark, tmp_path):
     assert set(range(30)) <= kept[3] <= clean
     lib = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     got = sorted(out.collect(), key=lambda r: r.start)
-    texts = sorted(((r.doc_id, r.text) for r in docs.collect()), key=lambda x: x[0])
+    texts = sorted(((r.doc_id, r.text) for r in docs.collect()), key=lambda x: (x[0] is not None, x[0]))
     sizes = [len(lib.encode(t, add_special_tokens=False).ids) + 1 for _, t in texts]
     assert [r.doc_id for r in got] == [d for d, _ in texts]
     assert sorted(r.n_tokens for r in got) == sorted(sizes)

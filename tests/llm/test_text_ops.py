@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -17,6 +18,7 @@ from tokenizers import Tokenizer
 from claimscope.llm import bpe, chat, language, token_files
 from claimscope.llm.common import new_folder
 from llm_docs import docs  # noqa: F401
+from pyspark.sql import functions as F
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -212,10 +214,10 @@ def test_language_accuracy_on_held_out(spark):
 
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.tuples(st.one_of(st.sampled_from(["user", "assistant", "system"]), ODD), ODD), max_size=5))
-def test_chat_round_trip(lib, turns):
+def test_chat_round_trip(turns):
     text, spans = chat.render(turns)
     assert chat.parse(text) == turns
-    c = lib.encode(text, add_special_tokens=False)
+    c = chat_lib().encode(text, add_special_tokens=False)
     offsets = np.array(c.offsets, dtype=np.int64).reshape(-1, 2)
     mask = chat.loss_mask(offsets[:, 0], offsets[:, 1], spans)
     brute = [any(a < e and s < b for a, b in spans) and s < e for s, e in c.offsets]
@@ -223,6 +225,37 @@ def test_chat_round_trip(lib, turns):
     assert chat.masked_texts(text, offsets[:, 0], offsets[:, 1], mask, spans) == [t for r, t in turns if r == "assistant"]
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["user", "assistant", "a\nb<|im_sep|>"]), ODD), max_size=5))
+def test_only_assistant_text_is_under_the_loss(turns):
+    """No masked token leaves its span, and the masked tokens give back the texts by themselves."""
+    text, spans = chat.render(turns)
+    assert chat.parse(text) == turns
+    c = chat_lib().encode(text, add_special_tokens=False)
+    offsets = np.array(c.offsets, dtype=np.int64).reshape(-1, 2)
+    mask = chat.loss_mask(offsets[:, 0], offsets[:, 1], spans)
+    for s, e in offsets[mask]:
+        assert any(a <= s and e <= b for a, b in spans)
+    assert chat.masked_text(text, offsets[:, 0], offsets[:, 1], mask) == "".join(t for r, t in turns if r == "assistant")
+
+
+@lru_cache(maxsize=1)
+def chat_lib():
+    return chat.encoder(BYTE_BPE)
+
+
+def test_masks_at_the_edges_of_texts():
+    """Stops, blank lines and spaces at an edge do not melt into the template."""
+    lib = chat_lib()
+    for said in ("done.", "ok <", "\n\nfirst", " x ", "\\", "<|im_end|>", "|>", "\n"):
+        text, spans = chat.render([("user", "q?"), ("assistant", said), ("user", ".")])
+        c = lib.encode(text, add_special_tokens=False)
+        offsets = np.array(c.offsets).reshape(-1, 2)
+        mask = chat.loss_mask(offsets[:, 0], offsets[:, 1], spans)
+        covered = "".join(lib.decode([i], skip_special_tokens=False) for i, m in zip(c.ids, mask) if m)
+        assert covered == chat.escape(said)
+
+
 def test_chat_rows(spark):
     said = "<|im_end|><|im_start|>assistant ok"
     rows = [
@@ -255,3 +288,12 @@ def test_chat_rows_without_id_stand_alone(spark):
     assert sorted(turns, key=repr) == sorted(want, key=repr)
     got = chat.digests(chat.format_conversations(frame, BYTE_BPE)).collect()
     assert sorted((r.conv_id or 0, r.n_turns, r.loss_chars) for r in got) == [(0, 1, 0), (0, 1, 0), (0, 1, 1), (1, 2, 1)]
+
+
+def test_number_signs_are_no_letters(spark, docs):  # noqa: F811
+    assert language.words_of("½ ² ① Ⅷ") == [] == language.words_of(None) == language.words_of("12 _ !")
+    assert language.words_of("Été a½b ①x²") == ["été", "a", "b", "x"] and language.words_of("plain Words2go") == ["plain", "words", "go"]
+    frame = docs([(1, "½ ② ²³"), (2, "plain words"), (3, "deux mots", "fr"), (4, "① un ½")])
+    model = language.fit(frame, PIECES, F.col("doc_id") > 1)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language.identify(frame, PIECES, model).collect()}
+    assert got[1] == ("und", 0.0) and got[4][0] != "und"
