@@ -32,14 +32,15 @@ from claimscope.functions import scalars
 from claimscope.operators import facets, joins, refine, reshape
 from claimscope.operators import filters as flt
 from claimscope.operators.filters import ClaimsFilter
+from claimscope.plans import bitmaps, kpis, prep, reports
 from claimscope.plans import directory as dirs
-from claimscope.plans import kpis, prep, reports
 from claimscope.sinks import csv as csv_sink
 from claimscope.sinks import tables as table_sink
-from claimscope.sources import schemas, testtables
+from claimscope.sinks import text_index
+from claimscope.sources import catalog, schemas, testtables
 from claimscope.sources.loaders import load_claims
-from claimscope.sources.warehouse import drop_folder, open_test_tables, scratch_root, source_fingerprint
-from claimscope.streaming import publish
+from claimscope.sources.warehouse import derived, drop_folder, open_test_tables, scratch_root, source_fingerprint
+from claimscope.streaming import publish, rollup
 
 SF_SMOKE = "/root/testdata/sf0.001"
 
@@ -147,22 +148,13 @@ def _q_export_trends(spark, sf):
     return _out(csv_sink.export(df, _export_dir(spark, sf, "trends"), single_file=True))
 
 
-def _materialized(name):
-    """One of the four written report tables; the first call writes them, later ones read."""
+def _materialized(name, report, *args):
+    """A written report table: the first call writes it, later ones read it."""
 
     def run(spark, sf):
         t = _tables(spark, sf)
-        root = f"{scratch_root(spark)}/claimscope/reports/{source_fingerprint(spark, sf)}"
-        written = table_sink.materialize_all(
-            {
-                "state_overview": reports.state_overview(_grain(t)),
-                "service_category": reports.category_summary(_grain(t), t.reference),
-                "service_code": reports.code_detail(_grain(t), t.reference),
-                "trend_monthly": reports.monthly(_month_grain(t), t.reference),
-            },
-            root,
-        )
-        return _out(written[name])
+        key = f"{source_fingerprint(spark, sf)}|{args}"
+        return _out(table_sink.reuse(name, report(t, *args), f"{scratch_root(spark)}/claimscope/reports", key))
 
     return run
 
@@ -396,6 +388,28 @@ def _q_prep_crosswalk(spark, sf):
     return prep.crosswalk(codes, CROSSWALK_RULES, default=CROSSWALK_DEFAULT)
 
 
+def _q_prep_crosswalk_table(spark, sf):
+    """The same rules as rows of a table."""
+    codes = prep.keyword_codes(testtables.code_file(spark, sf), KEYWORDS)
+    rows = [(k, word, category) for k, (words, category) in enumerate(CROSSWALK_RULES) for word in words]
+    rules = spark.createDataFrame(rows, "rule long, keyword string, category string")
+    return prep.crosswalk_table(codes, rules, default=CROSSWALK_DEFAULT)
+
+
+def _indexed_search(view):
+    """Free-text search in the written directory of every state through its n-gram index."""
+
+    def run(spark, sf):
+        t = _tables(spark, sf)
+        rows = dirs.directory(t.claims, t.reference, t.registry, EVERY_STATE, view)
+        home = f"{scratch_root(spark)}/claimscope/search/{source_fingerprint(spark, sf)}/{view}"
+        order = ("state", "city", rows.columns[0])
+        folder = derived(spark, home, lambda to: text_index.write_indexed(rows, to, order))
+        return _out(text_index.search_indexed(spark, folder, rows.schema, VIEW_SEARCH))
+
+    return run
+
+
 def _q_stream_publication(spark, sf):
     """A batch-written fact up to 1996; the stream publishes later months and one of 1996 again."""
     home = f"{scratch_root(spark)}/claimscope/streams/{source_fingerprint(spark, sf)}"
@@ -411,6 +425,75 @@ def _q_stream_publication(spark, sf):
     return _out(publish.load_published(spark, f"{run}/published", load_claims(spark, f"{run}/fact")))
 
 
+def _q_stream_summary(spark, sf):
+    """The provider summary that a stream keeps: the fact up to 1996 is batch-written, later months come in
+    two micro-batches of one release, then one month in a second release."""
+    home = f"{scratch_root(spark)}/claimscope/summary-streams/{source_fingerprint(spark, sf)}"
+    drop_folder(spark, home)  # earlier runs
+    run = f"{home}/{uuid.uuid4().hex[:12]}"
+    t = _tables(spark, sf)
+    early = F.coalesce(F.col("claim_year") <= "1996", F.lit(False))
+    prep.write_claims(prep.suppress(t.claims.where(early)), f"{run}/fact")
+    fact = load_claims(spark, f"{run}/fact")
+    monthly = t.claims.select(*schemas.CLAIMS_MONTHLY.fieldNames(), early.alias("early"))
+    late, half = monthly.where(~F.col("early")).drop("early"), F.pmod(F.xxhash64("billing_npi"), F.lit(2)) == 0
+    again = monthly.where(F.col("month") == "1996-07").drop("early")
+    for release, part in ((1, late.where(half)), (1, late.where(~half)), (2, again)):
+        part.write.mode("append").parquet(f"{run}/landing/release={release}")
+        publish.start_publication(
+            spark, f"{run}/landing", t.registry, f"{run}/published", f"{run}/checkpoint", fact=fact, releases=True
+        ).awaitTermination()
+    return _out(publish.load_summary(spark, f"{run}/published", prep.provider_summary(fact)))
+
+
+def _q_stream_rollup(spark, sf):
+    """Raw claim lines in three arrivals, late and repeated ones included, rolled up by the stateful stream."""
+    home = f"{scratch_root(spark)}/claimscope/rollups/{source_fingerprint(spark, sf)}"
+    drop_folder(spark, home)  # earlier runs
+    run = f"{home}/{uuid.uuid4().hex[:12]}"
+    lines = testtables.landed_lines(spark, sf)
+    dropped = 0
+    for arrival in testtables.arrivals(lines):
+        arrival.write.mode("append").parquet(f"{run}/landing")
+        q = rollup.start_rollup(spark, f"{run}/landing", f"{run}/rolled", f"{run}/checkpoint", lateness=2)
+        q.awaitTermination()
+        dropped += rollup.dropped_late(q)
+    if dropped:
+        rollup.reconcile(spark, f"{run}/landing", f"{run}/rolled")
+    return _out(rollup.load_rollup(spark, f"{run}/landing", f"{run}/rolled"))
+
+
+def _cells(spark, sf):
+    """Provider bitmaps per code, state and month, written once per source version."""
+    t = _tables(spark, sf)
+    home = f"{scratch_root(spark)}/claimscope/bitmaps/{source_fingerprint(spark, sf)}"
+    write = lambda folder: bitmaps.write_cells(bitmaps.provider_cells(t.claims, bitmaps.provider_numbers(t.claims)), folder)
+    return t, bitmaps.load_cells(spark, derived(spark, home, write))
+
+
+def _on_cells(report, *args):
+    """A report computed from the bitmaps instead of the fact or a provider summary."""
+
+    def run(spark, sf):
+        t, cells = _cells(spark, sf)
+        inputs = (cells,) if report is bitmaps.state_overview else (cells, t.reference)
+        return _out(report(*inputs, *args))
+
+    return run
+
+
+def _bucketed_directory(view):
+    """A directory over every state from the bucketed tables."""
+
+    def run(spark, sf):
+        t, version = _tables(spark, sf), source_fingerprint(spark, sf)
+        folder = derived(spark, f"{scratch_root(spark)}/claimscope/catalog/{version}", lambda to: catalog.write_tables(t, to))
+        tables = catalog.open_tables(spark, folder, folder[-12:])
+        return _out(dirs.directory(tables.claims_for(view, t.claims), t.reference, tables.registry, EVERY_STATE, view))
+
+    return run
+
+
 def _directory(view, filt, then=lambda d: d):
     """A directory over the fact, and what follows from it."""
 
@@ -473,10 +556,14 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "export_services": _q_export_services,
     "export_directory": _q_export_directory,
     "export_trends": _q_export_trends,
-    "materialize_reports": _materialized("state_overview"),
-    "materialize_service_category": _materialized("service_category"),
-    "materialize_service_code": _materialized("service_code"),
-    "materialize_trend_monthly": _materialized("trend_monthly"),
+    "materialize_reports": _materialized("state_overview", lambda t, f: reports.state_overview(_grain(t), f), NO_FILTER),
+    "materialize_service_category": _materialized(
+        "service_category", lambda t, f: reports.category_summary(_grain(t), t.reference, f), NO_FILTER
+    ),
+    "materialize_service_code": _materialized("service_code", lambda t, f: reports.code_detail(_grain(t), t.reference, f), NO_FILTER),
+    "materialize_trend_monthly": _materialized(
+        "trend_monthly", lambda t, f: reports.monthly(_month_grain(t), t.reference, f), NO_FILTER
+    ),
     "filter_known_state": _q_filter_known_state,
     "filter_state": _q_filter_state,
     "filter_year": _q_filter_year,
@@ -545,6 +632,17 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "series_category_claims": _q_series_category_claims,
     "series_category_codes": _q_series_category_codes,
     "reference_shown_count": _q_reference_shown_count,
+    "prep_monthly_rollup_stream": _q_stream_rollup,
+    "stream_provider_summary": _q_stream_summary,
+    "prep_crosswalk_table": _q_prep_crosswalk_table,
+    **{f"directory_{view}_indexed_search": _indexed_search(view) for view in dirs.VIEWS},
+    "state_overview_bitmap": _on_cells(bitmaps.state_overview),
+    "service_category_bitmap": _on_cells(bitmaps.category_summary),
+    "service_category_state_bitmap": _on_cells(bitmaps.category_state),
+    "service_code_bitmap": _on_cells(bitmaps.code_detail),
+    "trend_monthly_bitmap": _on_cells(bitmaps.monthly),
+    "trend_yearly_bitmap": _on_cells(bitmaps.yearly),
+    **{f"directory_{view}_bucketed": _bucketed_directory(view) for view in dirs.VIEWS},
 }
 
 

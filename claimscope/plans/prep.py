@@ -12,6 +12,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from claimscope.operators import ngrams
 from claimscope.operators.joins import enrich
 from claimscope.sources import schemas
 from claimscope.sources.schemas import MONEY
@@ -23,6 +24,8 @@ SUPPRESSION_MIN_CLAIMS = 12
 # Keywords the code file is searched for.
 DEFAULT_KEYWORDS = ("HIV", "antiretroviral", "PrEP", "viral load", "CD4", "opportunistic infection")
 
+NPI_COLUMNS = ("billing_npi", "servicing_npi")
+
 ROLLUP_KEYS = ("billing_npi", "servicing_npi", "code", "month")
 
 
@@ -58,14 +61,17 @@ def write_claims(enriched: DataFrame, path: str, mode: str = "overwrite") -> Non
     holds a narrow range of states, so min/max statistics skip files and row groups for a
     state filter, a hot state is split by code and NPI, and a file set does not grow with
     tasks x years. Null years go to the default partition and read back as null.
+
+    Providers lie scattered over these ranges, so each row group has a Bloom filter on the
+    NPIs: a lookup of providers skips row groups that hold none of them. Filters take the
+    size that the row group's distinct NPIs need.
     """
     order = ("claim_year", "practice_state", "code", "billing_npi")
-    (
-        enriched.repartitionByRange(*order).sortWithinPartitions(*order)
-        .write.mode(mode)
-        .partitionBy("claim_year")
-        .parquet(path)
-    )
+    writer = enriched.repartitionByRange(*order).sortWithinPartitions(*order).write.mode(mode).partitionBy("claim_year")
+    for npi in NPI_COLUMNS:
+        if npi in enriched.columns:
+            writer = writer.option(f"parquet.bloom.filter.enabled#{npi}", "true")
+    writer.option("parquet.bloom.filter.adaptive.enabled", "true").parquet(path)
 
 
 def provider_summary(enriched: DataFrame, by_month: bool = False) -> DataFrame:
@@ -116,3 +122,36 @@ def crosswalk(codes: DataFrame, rules: Sequence[tuple[Sequence[str], str]],
     elif default is not None:
         expr = expr.otherwise(F.lit(default))
     return codes.withColumn("category", expr.cast("string"))
+
+
+def crosswalk_table(codes: DataFrame, rules: DataFrame, text_col: str = "description", default: str | None = None) -> DataFrame:
+    """:func:`crosswalk` with the rules as rows (rule, keyword, category), for rule tables of any length.
+
+    A rule has as many rows as keywords; the first matching rule by number wins, ties of
+    numbers go to the least category. Instead of one condition per keyword on every code, a
+    keyword meets only texts that hold its rarest trigram (a shorter keyword: itself), and is
+    then looked for in full. Texts are matched once however many codes share them. A null
+    keyword matches nothing, an empty one every text that is not null.
+    """
+    keyed = rules.where(F.col("keyword").isNotNull()).select(
+        F.col("rule").cast("long").alias("rule"), F.lower("keyword").alias("keyword"), F.col("category").cast("string").alias("category")
+    )
+    texts = codes.where(F.col(text_col).isNotNull()).select(F.lower(text_col).alias("text")).distinct()
+    spread = texts.select("text", F.explode(F.concat(F.array(F.lit("")), ngrams.grams(F.col("text"), (1, 2, 3)))).alias("gram"))
+
+    words = keyed.select("keyword").distinct()
+    held = ngrams.needle_grams(F.col("keyword"))
+    parts = words.select("keyword", F.explode(F.when(F.size(held) > 0, held).otherwise(F.array(F.lit("")))).alias("gram"))
+    often = spread.join(parts.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("texts"))
+    # A gram that no text has rules its keyword out: no row is left for it below.
+    rare = parts.join(often, "gram", "left").groupBy("keyword").agg(
+        F.min(F.struct(F.coalesce("texts", F.lit(0)).alias("texts"), "gram")).alias("least")
+    )
+    keys = rare.select("keyword", F.col("least.gram").alias("gram"))
+    met = spread.join(keys, "gram").where(F.col("text").contains(F.col("keyword")))
+    first = met.join(keyed, "keyword").groupBy("text").agg(F.min(F.struct("rule", "category")).alias("first"))
+    first = first.select(F.col("text").alias("__text"), F.col("first.category").alias("__category"), F.lit(True).alias("__met"))
+    told = codes.drop("category") if "category" in codes.columns else codes
+    told = told.join(first, F.lower(F.col(text_col)) == F.col("__text"), "left")
+    category = F.when(F.col("__met"), F.col("__category")).otherwise(F.lit(default)).cast("string")
+    return told.withColumn("category", category).drop("__text", "__category", "__met")

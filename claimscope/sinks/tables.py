@@ -1,19 +1,28 @@
-"""Materialised report tables.
+"""Materialised report tables, found again by what made them.
 
-A report computed once is written as Parquet and later reads use the
-table instead of re-running the aggregate over the fact. Within one run
-``DataFrame.persist`` serves the same purpose; across runs (and across an
-executor loss) the written table does, since it has no lineage to replay.
+A report computed once is written as Parquet and later reads use the table instead of
+re-running the aggregate over the fact; the written table has no lineage to replay when an
+executor is lost. An entry is addressed by the report's name, the caller's key (filter and
+source version), the code of the library and the result's schema: if any of them changes, the
+entry is another one, so a changed report, filter or source never gets old rows.
+
+Layout under the root::
+
+    <name>/<address>/run-*/        the rows, one folder per attempt
+    <name>/<address>/_current/at   manifest of the finished attempt, moved into place last
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
 import uuid
 from collections.abc import Mapping
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
+
+from claimscope.sources import storage
 
 
 def materialize(df: DataFrame, path: str) -> DataFrame:
@@ -21,33 +30,38 @@ def materialize(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _current(spark: SparkSession, pointer: str) -> str | None:
-    try:
-        row = spark.read.text(pointer).first()
-    except AnalysisException:
-        return None
-    return row[0] if row else None
+def manifest(name: str, df: DataFrame, key: str) -> dict[str, str]:
+    """What an entry is made from, in a form that can be read."""
+    return {"report": name, "key": key, "code": storage.library_version(), "schema": df.schema.json()}
+
 
+def address(made_from: Mapping[str, str]) -> str:
+    return hashlib.sha256(json.dumps(made_from, sort_keys=True).encode()).hexdigest()[:24]
+
+
+def reuse(name: str, df: DataFrame, root: str, key: str = "") -> DataFrame:
+    """``df`` as a table under ``root``: read if an equal entry is finished, else written now.
+
+    A writer that stops half-way leaves a folder that nothing names. Of several writers of
+    one entry the first to finish is named, and all read its rows.
+    """
+    spark, made_from = df.sparkSession, manifest(name, df, key)
+    home = f"{root.rstrip('/')}/{name}/{address(made_from)}"
+    found = storage.read_pointer(spark, f"{home}/_current")
+    if found is None:
+        folder = f"{home}/run-{uuid.uuid4().hex[:12]}"
+        df.write.parquet(folder)
+        found = storage.set_pointer(spark, f"{home}/_current", json.dumps({"folder": folder, **made_from}))
+    return spark.read.schema(df.schema).parquet(json.loads(found)["folder"])
 
-def materialize_all(reports: Mapping[str, DataFrame], root: str, parallel: int = 4) -> dict[str, DataFrame]:
-    """The named reports as tables, written once per ``root`` and read from then on.
 
-    ``root`` names the version of the inputs and the filter. A run writes to a folder of
-    its own and moves the pointer ``root/_current`` to it last: a second call reads the
-    tables the pointer names and writes nothing, and no run deletes files under a reader.
+def materialize_all(reports: Mapping[str, DataFrame], root: str, parallel: int = 4, key: str = "") -> dict[str, DataFrame]:
+    """The named reports as tables (:func:`reuse`), each looked up by itself.
 
-    The reports are independent jobs, each too small to fill a cluster, so
-    they are submitted from ``parallel`` driver threads and the scheduler runs
-    their stages side by side.
+    ``key`` names the filter and the version of the inputs. The reports are independent jobs,
+    each too small to fill a cluster, so they are submitted from ``parallel`` driver threads
+    and the scheduler runs their stages side by side.
     """
-    root = root.rstrip("/")
-    spark = next(iter(reports.values())).sparkSession
-    folder = _current(spark, f"{root}/_current")
-    if folder is not None:
-        return {name: spark.read.schema(df.schema).parquet(f"{folder}/{name}") for name, df in reports.items()}
-    folder = f"{root}/run-{uuid.uuid4().hex[:12]}"
     with ThreadPoolExecutor(max_workers=max(1, min(parallel, len(reports)))) as pool:
-        futures = {name: pool.submit(materialize, df, f"{folder}/{name}") for name, df in reports.items()}
-        tables = {name: f.result() for name, f in futures.items()}
-    spark.createDataFrame([(folder,)], "value string").coalesce(1).write.mode("overwrite").text(f"{root}/_current")
-    return tables
+        futures = {name: pool.submit(reuse, name, df, root, key) for name, df in reports.items()}
+        return {name: f.result() for name, f in futures.items()}

@@ -8,9 +8,10 @@ Writing it also cuts the lineage, so a lost executor costs a re-read, not a
 re-run of the joins and the rollup.
 
 A build is keyed by a fingerprint of the source files (path, size,
-modification time, computed as a Spark aggregate) and of this package's
-mapping code. A build goes to its own folder; a small pointer file written
-last names the finished build, so a reader never sees a half-written one.
+modification time, asked of the file system without a Spark job) and of this
+package's mapping code. A build goes to its own folder; a small pointer file
+moved into place last names the finished build, so a reader never sees a
+half-written one.
 """
 
 from __future__ import annotations
@@ -19,12 +20,12 @@ import hashlib
 import inspect
 import sys
 import uuid
+from collections.abc import Callable
+from functools import lru_cache
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
-from claimscope.sources import loaders, schemas, testtables
+from claimscope.sources import loaders, schemas, storage, testtables
 
 SOURCE_TABLES = ("nation", "supplier", "customer", "part", "orders", "lineitem")
 
@@ -45,7 +46,9 @@ def drop_folder(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+@lru_cache(maxsize=1)
 def _code_version() -> str:
+    """Digest of the code that derives the tables, once per process."""
     from claimscope.operators import joins
     from claimscope.plans import prep
 
@@ -56,28 +59,25 @@ def _code_version() -> str:
 
 
 def source_fingerprint(spark: SparkSession, sf_dir: str, names=SOURCE_TABLES) -> str:
-    """Order-free digest of the source files' path, size and mtime: one small job, run anew
-    on every call, so that a source that changes under a live session is seen."""
+    """Digest of the source files' path, size and mtime and of the mapping code. No Spark job;
+    looked up anew on every call, so that a source that changes under a live session is seen."""
     paths = [f"{sf_dir.rstrip('/')}/{n}.parquet" for n in names]
-    row = (
-        spark.read.format("binaryFile")
-        .load(paths)
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.bit_xor(F.xxhash64("path", "length", "modificationTime")).alias("h"),
-        )
-        .first()
-    )
-    raw = f"{sf_dir}|{row['n']}|{row['h']}|{_code_version()}"
+    raw = f"{sf_dir}|{storage.file_state(spark, paths)}|{_code_version()}"
     return hashlib.sha1(raw.encode()).hexdigest()[:16]
 
 
-def _current_build(spark: SparkSession, pointer: str) -> str | None:
-    try:
-        row = spark.read.text(pointer).first()
-    except AnalysisException:
-        return None
-    return row[0] if row else None
+def derived(spark: SparkSession, home: str, write: Callable[[str], None]) -> str:
+    """Folder of tables below ``home`` that ``write(folder)`` makes; written once, then found.
+
+    ``home`` must name the version of what the tables are derived from. Writers that run at the
+    same time each finish; the first to set the pointer wins and all return its folder.
+    """
+    folder = storage.read_pointer(spark, f"{home}/_current")
+    if folder is None:
+        folder = f"{home}/build-{uuid.uuid4().hex[:12]}"
+        write(folder)
+        folder = storage.set_pointer(spark, f"{home}/_current", folder)
+    return folder
 
 
 def build(spark: SparkSession, sf_dir: str, home: str, month_summary: bool = False) -> str:
@@ -109,8 +109,7 @@ def build(spark: SparkSession, sf_dir: str, home: str, month_summary: bool = Fal
         written_claims = loaders.load_summary(spark, f"{folder}/provider_month_summary", by_month=True)
     yearly = prep.provider_summary(written_claims)
     prep.write_claims(schemas.conform(yearly, schemas.SUMMARY, "provider_summary"), f"{folder}/provider_summary")
-    spark.createDataFrame([(folder,)], "value string").coalesce(1).write.mode("overwrite").text(f"{home}/_current")
-    return folder
+    return storage.set_pointer(spark, f"{home}/_current", folder)
 
 
 def open_test_tables(spark: SparkSession, sf_dir: str, materialize: bool = True) -> loaders.Tables:
@@ -130,7 +129,7 @@ def open_test_tables(spark: SparkSession, sf_dir: str, materialize: bool = True)
     if key in _opened:
         return _opened[key]
     home = f"{scratch_root(spark)}/claimscope/warehouse/{version}"
-    folder = _current_build(spark, f"{home}/_current") or build(spark, sf_dir, home)
+    folder = storage.read_pointer(spark, f"{home}/_current") or build(spark, sf_dir, home)
     tables = loaders.Tables.load(
         spark, f"{folder}/claims", f"{folder}/code_reference", f"{folder}/provider_registry",
         validate=False, summary=f"{folder}/provider_summary",

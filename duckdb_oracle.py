@@ -436,6 +436,30 @@ _BODY = {
     ),
     "reference_shown_count": f"SELECT COUNT(*) AS rows_shown FROM code_reference WHERE category = {CATEGORY}",
     "stream_publication": f"SELECT {CLAIM_COLS} FROM claims WHERE total_claims >= 12",
+    "stream_provider_summary": (
+        "SELECT billing_npi, code, practice_state, CAST(SUM(total_claims) AS BIGINT) AS total_claims, "
+        "CAST(SUM(total_unique_beneficiaries) AS BIGINT) AS total_unique_beneficiaries, "
+        "CAST(SUM(total_paid) AS DOUBLE) AS total_paid, claim_year FROM claims WHERE total_claims >= 12 GROUP BY ALL"
+    ),
 }
 
+# Other plans for the same questions.
+for _plain, _other in (
+    ("prep_monthly_rollup", "prep_monthly_rollup_stream"),
+    ("state_overview_fact", "state_overview_bitmap"),
+    ("service_category_fact", "service_category_bitmap"),
+    ("service_category_state_fact", "service_category_state_bitmap"),
+    ("service_code_fact", "service_code_bitmap"),
+    ("trend_monthly_fact", "trend_monthly_bitmap"),
+    ("trend_yearly_fact", "trend_yearly_bitmap"),
+    ("directory_billing_all", "directory_billing_bucketed"),
+    ("directory_servicing_all", "directory_servicing_bucketed"),
+    ("directory_combined_all", "directory_combined_bucketed"),
+    ("prep_crosswalk", "prep_crosswalk_table"),
+    ("directory_billing_all_search", "directory_billing_indexed_search"),
+    ("directory_servicing_all_search", "directory_servicing_indexed_search"),
+    ("directory_combined_all_search", "directory_combined_indexed_search"),
+):
+    _BODY[_other] = _BODY[_plain]
+
 ORACLE_SQL = {name: MODEL + body for name, body in _BODY.items()}

@@ -1,0 +1,141 @@
+"""Stateful monthly rollup: late, repeated and undated lines; replay; state; too late lines."""
+
+from __future__ import annotations
+
+from decimal import Decimal
+
+import pytest
+from pyspark.sql import functions as F
+
+from claimscope.plans import prep
+from claimscope.sources import testtables
+from claimscope.streaming import rollup
+from conftest import SF001
+
+
+def rows(df):
+    return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
+class Stream:
+    """Land lines, run the stream over what is there, compare."""
+
+    def __init__(self, spark, base, lateness):
+        self.spark, self.lateness = spark, lateness
+        self.landing, self.root, self.checkpoint = (f"{base}/{n}" for n in ("landing", "root", "checkpoint"))
+
+    def land(self, lines):
+        if not hasattr(lines, "write"):
+            lines = self.spark.createDataFrame(lines, rollup.LANDED_LINES)
+        lines.select(*rollup.LANDED_LINES.fieldNames()).write.mode("append").parquet(self.landing)
+        return self
+
+    def run(self):
+        q = rollup.start_rollup(self.spark, self.landing, self.root, self.checkpoint, self.lateness)
+        q.awaitTermination()
+        return q
+
+    def loaded(self):
+        return rows(rollup.load_rollup(self.spark, self.landing, self.root))
+
+    def batch(self):
+        lines = self.spark.read.schema(rollup.LANDED_LINES).parquet(self.landing)
+        return rows(prep.monthly_rollup(lines.dropDuplicates(["line_id", "month"])).select(*self.names()))
+
+    def names(self):
+        return [f for f in rollup.schemas.CLAIMS_MONTHLY.fieldNames()]
+
+    def emitted(self):
+        return self.spark.read.schema(rollup.ROLLED).parquet(f"{self.root}/closed").select(*rollup.ROLLED.fieldNames())
+
+
+def line(i, month, beneficiary="p1", billing="1", servicing="9", claims=2, paid="1.2345"):
+    return (f"L{i}", billing, servicing, "A", month, claims, beneficiary, Decimal(paid))
+
+
+def test_late_repeated_and_undated_lines(spark, tmp_path):
+    s = Stream(spark, tmp_path, lateness=2)
+    s.land([line(1, "2020-01"), line(2, "2020-01", "p2"), line(3, "2020-02"), line(1, "2020-01"), line(4, None), line(5, None, "p2", servicing=None)])
+    s.run()
+    # Late by one month, and a line of the first batch again: both within the lateness.
+    s.land([line(6, "2020-01", "p2"), line(3, "2020-02"), line(7, "2020-03", None), line(4, None)])
+    s.run()
+    assert s.loaded() == s.batch()
+    s.land([line(8, "2020-07"), line(2, "2020-01", "p2")])
+    s.run()
+    closed = {r["month"]: tuple(r[c] for c in ("total_claims", "total_unique_beneficiaries", "total_paid", "lines")) for r in s.emitted().collect()}
+    # Three lines of two people in January; a line without a beneficiary counts no person.
+    assert closed == {
+        "2020-01": (6, 2, Decimal("3.70"), 3), "2020-02": (2, 1, Decimal("1.23"), 1), "2020-03": (2, 0, Decimal("1.23"), 1),
+    }
+    assert s.loaded() == s.batch() and len(s.batch()) == 6
+
+
+def test_replay_adds_nothing(spark, tmp_path):
+    s = Stream(spark, tmp_path, lateness=1)
+    s.land([line(1, "2020-01"), line(2, "2020-02", "p2"), line(3, "2020-09")]).run()
+    once = s.loaded()
+    emitted = rows(s.emitted())
+    s.run()
+    s.land([line(1, "2020-01"), line(2, "2020-02", "p2"), line(3, "2020-09")]).run()
+    assert s.loaded() == once == s.batch() and rows(s.emitted()) == emitted
+    # A micro-batch that is written twice overwrites itself.
+    again = s.emitted()
+    kept = spark.createDataFrame(again.collect(), rollup.ROLLED)
+    rollup._write(kept, 77, s.root)
+    rollup._write(kept, 77, s.root)
+    assert s.emitted().count() == 2 * len(emitted)
+
+
+def test_lines_after_their_month_was_closed_are_reconciled(spark, tmp_path):
+    s = Stream(spark, tmp_path, lateness=1)
+    s.land([line(1, "2020-01"), line(2, "2020-02"), line(3, "2020-08")]).run()
+    assert {r["month"] for r in s.emitted().collect()} == {"2020-01", "2020-02"}
+    q = s.land([line(4, "2020-01", "p7"), line(1, "2020-01"), line(5, "2019-05")]).run()
+    assert rollup.dropped_late(q) == 3
+    assert s.loaded() != s.batch()
+    assert rollup.reconcile(spark, s.landing, s.root) == ["2020-01"]
+    assert s.loaded() == s.batch()
+    assert rollup.reconcile(spark, s.landing, s.root) == []
+    s.land([line(6, "2020-01", "p8")]).run()
+    assert rollup.reconcile(spark, s.landing, s.root) == ["2020-01"]
+    assert s.loaded() == s.batch()
+
+
+def test_hot_group_and_repeats_equal_batch(spark, tmp_path):
+    """One provider with a third of all lines, people that repeat, lines dealt over four arrivals."""
+    i = F.col("id")
+    lines = spark.range(3000).select(
+        F.concat(F.lit("L"), i).alias("line_id"),
+        F.when(i % 3 == 0, "hot").otherwise(F.concat(F.lit("b"), i % 17)).alias("billing_npi"),
+        F.when(i % 5 != 0, F.concat(F.lit("s"), i % 4)).alias("servicing_npi"),
+        F.lit("A").alias("code"),
+        F.when(i % 31 != 0, F.format_string("2021-%02d", (i % 12 + 1).cast("int"))).alias("month"),
+        F.lit(1).cast("long").alias("claims"),
+        F.when(i % 7 != 0, F.concat(F.lit("p"), i % 90)).alias("beneficiary_id"),
+        F.lit(Decimal("0.3333")).cast("decimal(18,4)").alias("paid"),
+    )
+    s = Stream(spark, tmp_path, lateness=12)
+    for k in range(4):
+        s.land(lines.where(i % 4 == k)).land(lines.where(i % 40 == 7)).run()
+    s.land([line("end", "2023-06")]).run()
+    assert s.emitted().select("month").distinct().count() == 12
+    assert s.loaded() == s.batch()
+
+
+def test_state_is_dropped_with_its_month(spark, tmp_path):
+    s = Stream(spark, tmp_path, lateness=1)
+    q = s.land([line(k, f"2020-{k:02d}", f"p{k}") for k in range(1, 7)]).run()
+    kept = {op["operatorName"]: op["numRowsTotal"] for op in q.recentProgress[-1]["stateOperators"]}
+    assert set(kept.values()) <= {1, 2}  # months five and six at most, of six
+
+
+@pytest.mark.parametrize("name", ["monthly"])
+def test_test_tables_in_arrivals_equal_batch(spark, tmp_path, name):
+    lines = testtables.landed_lines(spark, SF001)
+    s = Stream(spark, tmp_path, lateness=2)
+    for arrival in testtables.arrivals(lines):
+        s.land(arrival).run()
+    rollup.reconcile(spark, s.landing, s.root)
+    want = testtables.claims_monthly(spark, SF001)
+    assert s.loaded() == rows(want.select(*s.names()))

@@ -1,0 +1,179 @@
+"""N-gram index over a written directory, rule-table crosswalk, Bloom filters on provider numbers."""
+
+from __future__ import annotations
+
+import glob
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from claimscope.operators import ngrams, refine
+from claimscope.operators.filters import ClaimsFilter
+from claimscope.plans import directory as dirs
+from claimscope.plans import prep
+from claimscope.sinks import text_index
+from claimscope.sources.loaders import load_claims
+from claimscope.sources.warehouse import open_test_tables
+from conftest import SF001
+
+EVERY = ClaimsFilter(states=[f"NATION_{n}" for n in range(25)])
+
+
+def rows(df):
+    return sorted(map(tuple, df.collect()), key=repr)
+
+
+def scanned(spark, df, column: str = "npi") -> dict[str, int]:
+    """Rows and files that the scans of ``df`` with a certain column read."""
+    df.collect()
+    found = {"rows": 0, "files": 0}
+
+    def walk(node):
+        name = node.nodeName()
+        if name.startswith("AdaptiveSparkPlan"):
+            return walk(node.executedPlan())
+        if "QueryStage" in name:
+            return walk(node.plan())
+        if name.startswith("Scan ") and f"{column}#" in node.simpleString(1000):
+            m = node.metrics()
+            found["rows"] += m.apply("numOutputRows").value()
+            found["files"] += m.apply("numFiles").value()
+        kids = node.children()
+        for k in range(kids.size()):
+            walk(kids.apply(k))
+
+    walk(df._jdf.queryExecution().executedPlan())
+    return found
+
+
+# ---------------------------------------------------------------- search
+
+
+def test_grams(spark):
+    df = spark.createDataFrame([("abcab",), ("ab",), ("",), (None,), ("ééé",)], "t string")
+    got = df.select(ngrams.grams(F.col("t")).alias("g"), ngrams.grams(F.col("t"), (1, 2, 3)).alias("all"), ngrams.needle_grams(F.col("t")).alias("n")).collect()
+    assert [sorted(r["g"]) for r in got] == [["abc", "bca", "cab"], [], [], [], ["ééé"]]
+    assert sorted(got[0]["all"]) == ["a", "ab", "abc", "b", "bc", "bca", "c", "ca", "cab"] and sorted(got[1]["all"]) == ["a", "ab", "b"]
+    assert [sorted(r["n"] or []) for r in got] == [["abc", "bca", "cab"], ["ab"], [], [], ["ééé"]]
+
+
+@pytest.fixture(scope="module")
+def directory(spark, tmp_path_factory):
+    t = open_test_tables(spark, SF001)
+    d = dirs.directory(t.claims, t.reference, t.registry, EVERY, "servicing").cache()
+    path = str(tmp_path_factory.mktemp("search") / "d")
+    text_index.write_indexed(d, path, ("state", "city", "npi"), blocks=16)
+    return d, path
+
+
+NEEDLES = ("m", "7", "ma", "_1", "machinery", "City_1", "NATION_12", "customer#000000011", "no such thing", "md", "Unknown", "12", ", out", "é", "\n", "", None)
+
+
+@pytest.mark.parametrize("needle", NEEDLES)
+def test_search_equals_the_scan(spark, directory, needle):
+    d, path = directory
+    got = text_index.search_indexed(spark, path, d.schema, needle)
+    assert got.dtypes == d.dtypes and rows(got) == rows(refine.search(d, needle))
+
+
+def test_search_reads_fewer_files(spark, directory):
+    d, path = directory
+    files = len(glob.glob(f"{path}/rows/*/*.parquet"))
+    assert files >= 8
+    found = text_index.search_indexed(spark, path, d.schema, "nation_12")
+    rare, whole = scanned(spark, found), scanned(spark, text_index._rows(spark, path, d.schema))
+    assert whole["files"] == files and whole["rows"] == d.count()
+    held = text_index.blocks_with(spark, path, "nation_12").count()
+    assert rare["files"] == held < files / 2 and rows(found)
+    assert text_index.blocks_with(spark, path, "no such thing").count() == 0
+
+
+def test_search_in_an_empty_directory(spark, directory, tmp_path):
+    d, _ = directory
+    text_index.write_indexed(d.limit(0), str(tmp_path / "none"), ("state",))
+    for needle in ("", "abc"):
+        assert rows(text_index.search_indexed(spark, str(tmp_path / "none"), d.schema, needle)) == []
+
+
+# ---------------------------------------------------------------- crosswalk
+
+
+def both(spark, codes, rules, default="none"):
+    table = spark.createDataFrame([(k, w, c) for k, (words, c) in enumerate(rules) for w in words], "rule long, keyword string, category string")
+    return rows(prep.crosswalk_table(codes, table, default=default)), rows(prep.crosswalk(codes, rules, default=default))
+
+
+def test_rule_table_equals_case(spark):
+    texts = ["HIV viral load", "viral load count", "Load of gears", "é PrEP Ünï", "", None, "aab", "AAB", "plain", "x", "a.b*c", "HIV viral load"]
+    codes = spark.createDataFrame([(f"c{k}", t, "old") for k, t in enumerate(texts)], "code string, description string, category string")
+    rules = [(("viral load", "gear"), "A"), (("hiv",), "B"), (("ünï", "zz"), "C"), (("aa",), "D"), (("x",), "E"), (("a.b*c", "a.b"), "F"), (("never seen",), "G")]
+    got, want = both(spark, codes.drop("category"), rules)
+    assert got == want and len(got) == 12
+    # An empty keyword matches every text but null; an existing category is replaced.
+    got, want = both(spark, codes.drop("category"), [(("hiv",), "B"), (("",), "rest")])
+    assert got == want and ("c4", "", "rest") in got
+    assert prep.crosswalk_table(codes, spark.createDataFrame([], "rule long, keyword string, category string")).where("category is not null").count() == 0
+    assert {tuple(r) for r in prep.crosswalk_table(codes.limit(0), spark.createDataFrame([(1, "a", "A")], "rule long, keyword string, category string")).collect()} == set()
+
+
+def test_ties_and_null_keywords(spark):
+    codes = spark.createDataFrame([("1", "some text"), ("2", None)], "code string, description string")
+    rules = spark.createDataFrame([(2, "some", "late"), (1, "text", "z"), (1, "me t", "b"), (0, None, "null"), (1, "absent", "a")], "rule long, keyword string, category string")
+    assert rows(prep.crosswalk_table(codes, rules)) == [("1", "some text", "b"), ("2", None, None)]
+
+
+def test_ten_thousand_rules(spark):
+    """Equal to trying the rules one by one, for a table far beyond what one expression can hold."""
+    r = random.Random(4)
+    word = lambda: "".join(r.choices("abcdef", k=r.randint(4, 7)))
+    rules = [(k, word(), f"cat{k % 90}") for k in range(10_000)]
+    texts = [" ".join(word() for _ in range(12)) for _ in range(300)]
+    codes = spark.createDataFrame(list(enumerate(texts)), "code long, description string")
+    table = spark.createDataFrame(rules, "rule long, keyword string, category string")
+    got = {row["code"]: row["category"] for row in prep.crosswalk_table(codes, table).collect()}
+    assert got == {k: next((c for _, w, c in rules if w in t), None) for k, t in enumerate(texts)}
+
+
+# ---------------------------------------------------------------- Bloom filters
+
+
+def blooms(spark, file) -> dict[str, int]:
+    """Bloom filter offset by column of the first row group (-1: none), from the file's footer."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    source = jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(jvm.org.apache.hadoop.fs.Path(file), conf)
+    reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(source)
+    try:
+        columns = reader.getFooter().getBlocks().get(0).getColumns()
+        return {columns.get(k).getPath().toDotString(): columns.get(k).getBloomFilterOffset() for k in range(columns.size())}
+    finally:
+        reader.close()
+
+
+def test_a_provider_lookup_skips_row_groups(spark, make, tmp_path):
+    """Row groups whose minimum and maximum straddle a provider that none of them holds are not read."""
+    i = F.col("id")
+    rows_of = spark.range(60_000).select(
+        F.format_string("%08d", (i * 7919) % 100_000_000).alias("billing_npi"), F.format_string("%08d", (i * 104_729) % 100_000_000).alias("servicing_npi"), F.lit("A").alias("code"),
+        F.lit("2020-01").alias("month"), F.lit(20).cast("long").alias("total_claims"), F.lit(1).cast("long").alias("total_unique_beneficiaries"),
+        F.lit(1).cast("decimal(18,2)").alias("total_paid"), F.concat(F.lit("S"), i % 20).alias("practice_state"), F.lit("2020").alias("claim_year"),
+    )
+    path = str(tmp_path / "fact")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        prep.write_claims(rows_of, path)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    # (A column chunk that is one dictionary has no filter: its dictionary is asked instead.)
+    for file in glob.glob(f"{path}/*/*.parquet"):
+        found = blooms(spark, file)
+        assert found["billing_npi"] > 0 and found["servicing_npi"] > 0 and found["code"] == -1
+    held = load_claims(spark, path).where(F.col("billing_npi") == "00007919")
+    with_bloom = scanned(spark, held, "billing_npi")
+    spark.conf.set("parquet.filter.bloom.enabled", "false")
+    try:
+        without = scanned(spark, load_claims(spark, path).where(F.col("billing_npi") == "00007919"), "billing_npi")
+    finally:
+        spark.conf.unset("parquet.filter.bloom.enabled")
+    assert held.count() == 1
+    assert with_bloom["rows"] <= without["rows"] / 4 and without["rows"] > 30_000
