@@ -8,7 +8,7 @@ the last return the columns of documents.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimscope.llm import decontaminate, language, mixing, neardup, token_files
@@ -20,17 +20,23 @@ BYTE_BPE = "byte_bpe_50k.json"
 LANGUAGE_SCORE = 0.5
 
 
+def _texts(found: DataFrame) -> DataFrame:
+    """The texts that a verdict names, by id and hash: a repeated id, or none, holds for each of its texts apart."""
+    return found.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+
+
+def _same_text(docs: DataFrame, texts: DataFrame) -> Column:
+    return docs["doc_id"].eqNullSafe(texts["__id"]) & (F.xxhash64(docs["text"]) == texts["__hash"])
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents whose language can be told; rows without doc_id or text go."""
+    """Keep documents whose language can be told; rows without text go."""
     vocabulary = public_tokenizers.path(PIECES)
     model = language.fit(docs, vocabulary, F.lit(True))
     found = language.identify(docs, vocabulary, model)
     told = (F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= LANGUAGE_SCORE)
-    kept = found.where(told & F.col("doc_id").isNotNull())
-    kept = kept.select(F.col("doc_id").alias("kept_id"), F.col("text_hash").alias("kept_hash")).distinct()
-    # The verdict is on a text: a repeated id stays with those of its rows that were accepted.
-    same = (docs["doc_id"] == kept["kept_id"]) & (F.xxhash64(docs["text"]) == kept["kept_hash"])
-    return docs.where(F.col("text").isNotNull()).join(kept, same, "left_semi")
+    kept = _texts(found.where(told))
+    return docs.where(F.col("text").isNotNull()).join(kept, _same_text(docs, kept), "left_semi")
 
 
 def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,8 +47,8 @@ def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark window go."""
     found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
-    gone = found.where("contaminated").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+    gone = _texts(found.where("contaminated"))
+    return docs.join(gone, _same_text(docs, gone), "left_anti")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
