@@ -15,6 +15,7 @@ length one needs no line search.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,6 +34,8 @@ LABELS = ("quality", "toxic")
 TARGETS = {"1,0": 0.85, "0,0": 0.10, "1,1": 0.04, "0,1": 0.01}
 BUDGET = 1.2
 STEPS, TOLERANCE = 30, 1e-3
+#: Word tables that a worker holds at a time.
+TABLES = 256
 
 
 @dataclass
@@ -42,18 +45,55 @@ class Classifier:
     models: list[quality.Additive]
 
 
-def inputs(texts: list[str | None], lexicons: list[toxicity.Vectors]) -> np.ndarray:
+class Lexicon:
+    """How many words of a text are telling ones, looked up by the text's distinct tokens.
+
+    A run of letters never spans white space, so the words inside a token are the token's own.
+    """
+
+    def __init__(self, idf: dict[str, float]):
+        self.vectors = toxicity.Vectors(idf)
+        self.telling: dict[str, int] = {}
+
+    def _found(self, token: str) -> int:
+        if len(self.telling) > toxicity.CACHED_WORDS:
+            self.telling.clear()
+        hits = self.vectors.hits
+        n = self.telling[token] = sum(1 for w in toxicity.WORD.findall(token.lower()) if hits(w))
+        return n
+
+    def count(self, tokens: Counter) -> int:
+        known, found = self.telling.get, 0
+        for token, n in tokens.items():
+            k = known(token)
+            if k is None:
+                k = self._found(token)
+            if k:
+                found += k * n
+        return found
+
+
+def inputs(texts: list[str | None], lexicons: list[Lexicon], counts: list[Counter]) -> np.ndarray:
     """Text features, and for each label how often its telling terms occur."""
-    x = [textstats.matrix(texts)]
+    x = [textstats.matrix(texts, counts)]
     for lex in lexicons:
-        hits = np.zeros((len(texts), 2))
-        for i, t in enumerate(texts):
-            found = sum(n for w, n in toxicity.word_counts(t).items() if lex.hits(w))
-            hits[i] = np.log1p(found), found / (1.0 + len(t or "") / 6.0)
-        x.append(hits)
+        found = np.array([lex.count(c) for c in counts], dtype=float)
+        size = np.array([len(t or "") for t in texts])
+        x.append(np.column_stack([np.log1p(found), found / (1.0 + size / 6.0)]))
     return np.concatenate(x, axis=1)
 
 
+def judged(texts: list[str | None], lexicons: list[Lexicon]) -> tuple[np.ndarray, np.ndarray]:
+    """(words, inputs) of each text; few word tables are held at a time."""
+    tokens, x = [np.zeros(0, dtype=np.int64)], [np.zeros((0, len(textstats.NAMES) + 2 * len(lexicons)))]
+    for k in range(0, len(texts), TABLES):
+        part = texts[k : k + TABLES]
+        counts = [textstats.word_table(t) for t in part]
+        tokens.append(np.array([sum(n.values()) for n in counts], dtype=np.int64))
+        x.append(inputs(part, lexicons, counts))
+    return np.concatenate(tokens), np.concatenate(x)
+
+
 def labelled(labels: DataFrame, names: tuple[str, ...], sample: int) -> DataFrame:
     """At most ``sample`` ids by hash order with their domain; rows with a null label are left out."""
     whole = F.col("doc_id").isNotNull()
@@ -72,9 +112,10 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, names: tuple[str, ...] =
     lexicons = [toxicity.vocabulary(rows.select("text", last.alias("label")))[0]]
 
     def computed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lex = [toxicity.Vectors(x) for x in lexicons]
+        lex = [Lexicon(x) for x in lexicons]
         for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "domain": pdf["domain"], "x": list(inputs(pdf["text"].tolist(), lex))})
+            _, x = judged(pdf["text"].tolist(), lex)
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "domain": pdf["domain"], "x": list(x)})
 
     known = rows.select("doc_id", "domain", "text").mapInPandas(computed, "doc_id long, domain string, x array<double>")
     known = known.toPandas().sort_values("doc_id", kind="stable")
@@ -86,35 +127,27 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, names: tuple[str, ...] =
     return Classifier(domains, lexicons, models)
 
 
-def posterior_batch(c: Classifier, texts: list[str | None], lex: list[toxicity.Vectors]) -> np.ndarray:
-    x = inputs(texts, lex)
+def posterior_batch(c: Classifier, texts: list[str | None], lex: list[Lexicon]) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens, posteriors) of each text. Tokens are counted as words between white space."""
+    tokens, x = judged(texts, lex)
     p = np.column_stack([m.score(x) for m in c.models])
-    return p / p.sum(axis=1, keepdims=True)
-
-
-def tokens_of(text: str | None) -> int:
-    """Tokens are counted as words between white space."""
-    return len(text.split()) if text else 0
+    return tokens, p / p.sum(axis=1, keepdims=True)
 
 
-def posteriors(docs: DataFrame, c: Classifier) -> DataFrame:
-    """(doc_id, tokens, p0, p1, ...): one row per row of ``docs``, posteriors in domain order."""
+def with_posteriors(docs: DataFrame, c: Classifier, name: str) -> DataFrame:
+    """``docs`` with a struct column ``name`` (tokens, p0, p1, ... in domain order); the text is read once."""
     names = [f"p{k}" for k in range(len(c.domains))]
 
-    def computed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lex = [toxicity.Vectors(x) for x in c.lexicons]
-        for pdf in batches:
-            texts = pdf["text"].tolist()
-            p = posterior_batch(c, texts, lex)
+    @F.pandas_udf("tokens long, " + ", ".join(f"{n} double" for n in names))
+    def told(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        lex = [Lexicon(x) for x in c.lexicons]
+        for texts in batches:
+            tokens, p = posterior_batch(c, texts.tolist(), lex)
             out = pd.DataFrame(p, columns=names)
-            out.insert(0, "tokens", [tokens_of(t) for t in texts])
-            out.insert(0, "doc_id", pdf["doc_id"].astype("Int64").to_numpy())
-            out.insert(0, "at", pdf["at"].to_numpy())
+            out.insert(0, "tokens", tokens)
             yield out
 
-    rows = docs.select(F.xxhash64("doc_id", "text").alias("at"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    schema = "at long, doc_id long, tokens long, " + ", ".join(f"{n} double" for n in names)
-    return rows.mapInPandas(computed, schema)
+    return docs.withColumn(name, told("text"))
 
 
 def rates(p: np.ndarray, pulls: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -193,6 +226,17 @@ def copies(rate: Column, at: Column) -> Column:
     return (F.floor(rate) + (share < rate - F.floor(rate)).cast("int")).cast("int")
 
 
+def rated(p: list[Column], pulls: list[np.ndarray]) -> Column:
+    """The rate of rows with posteriors ``p``."""
+
+    @F.pandas_udf("double")
+    def rate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
+        for columns in batches:
+            yield pd.Series(rates(columns.to_numpy(), pulls)[0])
+
+    return rate(F.struct(*p))
+
+
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, budget: float = BUDGET) -> tuple[DataFrame, Classifier, Mix]:
     """((doc_id, tokens, p0, ..., rate, copies), classifier, fit), one row per row of ``docs``.
 
@@ -201,39 +245,34 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGET
     rows have equal rates and copies. Other columns are ignored; an empty table gives no
     rows.
     """
+    rows = docs.select(F.xxhash64("doc_id", "text").alias("at"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     c = fit_classifier(docs, labels)
     if not c.domains:
-        plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(0).cast("long").alias("tokens"))
+        plain = rows.select("doc_id", F.lit(0).cast("long").alias("tokens"))
         return plain.withColumns({"rate": F.lit(1.0), "copies": F.lit(1)}), c, Mix([], np.zeros(0), np.zeros(0), [])
-    rows = staged(posteriors(docs, c), "posteriors")
-    mix = fit_rates(rows, c.domains, targets, budget)
+    told = staged(with_posteriors(rows, c, "told").select("at", "doc_id", "told.*"), "posteriors")
+    mix = fit_rates(told, c.domains, targets, budget)
     names = [f"p{i}" for i in range(len(c.domains))]
-    pulls = mix.pulls
-
-    def rated(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pdf.assign(doc_id=pdf["doc_id"].astype("Int64"), rate=rates(pdf[names].to_numpy(), pulls)[0])
-
-    schema = "at long, doc_id long, tokens long, " + ", ".join(f"{n} double" for n in names) + ", rate double"
-    out = rows.mapInPandas(rated, schema).withColumn("copies", copies(F.col("rate"), F.col("at")))
-    return out.drop("at"), c, mix
+    out = told.withColumn("rate", rated([F.col(n) for n in names], mix.pulls))
+    return out.withColumn("copies", copies(F.col("rate"), F.col("at"))).drop("at"), c, mix
 
 
 def resampled(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, budget: float = BUDGET) -> DataFrame:
-    """The rows of ``docs``, with all columns, each as often as its copies say."""
-    _, c, mix = mixed(docs, labels, targets, budget)
+    """The rows of ``docs``, with all columns, each as often as its copies say.
+
+    The documents are written once with their posteriors beside them, so that their texts
+    are not judged again when the rates are known.
+    """
+    c = fit_classifier(docs, labels)
     if not c.domains:
         return docs
-    pulls = mix.pulls
-
-    @F.pandas_udf("double")
-    def rate(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        lex = [toxicity.Vectors(x) for x in c.lexicons]
-        for texts in batches:
-            yield pd.Series(rates(posterior_batch(c, texts.tolist(), lex), pulls)[0])
-
-    columns = [docs[x] for x in docs.columns]
-    at = F.xxhash64("doc_id", "text")
-    often = docs.select(*columns, copies(rate(F.col("text")), at).alias("__copies")).where(F.col("__copies") > 0)
-    spread = often.select(*(often[x] for x in docs.columns), F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("__copy"))
-    return spread.drop("__copy")
+    told = "__mix"
+    while told in docs.columns:
+        told += "_"
+    rows = staged(with_posteriors(docs, c, told), "mixed-docs")
+    mix = fit_rates(rows.select(f"{told}.*"), c.domains, targets, budget)
+    p = [rows[told][f"p{i}"] for i in range(len(c.domains))]
+    often = copies(rated(p, mix.pulls), F.xxhash64("doc_id", "text"))
+    columns = [rows[x] for x in docs.columns]
+    spread = rows.select(*columns, often.alias(told)).where(F.col(told) > 0).select("*", F.explode(F.sequence(F.lit(1), F.col(told))))
+    return spread.select(*(spread[x] for x in docs.columns))

@@ -28,21 +28,29 @@ DIGITS = np.arange(48, 58)
 CLASSES = {"symbol": _class(SYMBOLS), "shout": _class(b"!?"), "stop_marks": _class(b".,;:"), "space": _class(b" \t"), "newline": _class(b"\n\r")}
 
 
-def features(text: str | None) -> list[float]:
-    """Feature values of one text in the order of NAMES; a null or empty text has zeros."""
+def word_table(text: str | None) -> Counter:
+    """Occurrences of the words between white space."""
+    return Counter(text.split()) if text else Counter()
+
+
+def features(text: str | None, count: Counter | None = None) -> list[float]:
+    """Feature values of one text in the order of NAMES; a null or empty text has zeros.
+
+    ``count`` is the text's :func:`word_table`, if the caller has it.
+    """
     if not text:
         return [0.0] * len(NAMES)
     raw = text.encode("utf-8")
     n = np.bincount(np.frombuffer(raw, dtype=np.uint8), minlength=256)
-    words = text.split()
-    count = Counter(words)
+    count = word_table(text) if count is None else count
+    words = sum(count.values())
     lines = [x for x in text.split("\n") if x.strip()]
-    total, size = max(len(words), 1), len(raw)
+    total, size = max(words, 1), len(raw)
     letters = max(int(n[LETTERS].sum()), 1)
     return [
-        float(np.log1p(len(words))),
+        float(np.log1p(words)),
         float(np.log1p(size)),
-        sum(map(len, words)) / total,
+        sum(len(w) * k for w, k in count.items()) / total,
         n[UPPER].sum() / letters,
         n[DIGITS].sum() / size,
         *(n[CLASSES[c]].sum() / size for c in ("symbol", "shout", "stop_marks", "space", "newline")),
@@ -55,8 +63,9 @@ def features(text: str | None) -> list[float]:
     ]
 
 
-def matrix(texts: list[str | None]) -> np.ndarray:
-    return np.array([features(t) for t in texts], dtype=float).reshape(len(texts), len(NAMES))
+def matrix(texts: list[str | None], counts: list[Counter] | None = None) -> np.ndarray:
+    counts = counts or [None] * len(texts)
+    return np.array([features(t, c) for t, c in zip(texts, counts)], dtype=float).reshape(len(texts), len(NAMES))
 
 
 def with_features(rows: DataFrame, *keep: str) -> DataFrame:
