@@ -360,7 +360,9 @@ def _q_facet_served_categories(spark, sf):
 
 def _q_trend_category_pivot(spark, sf):
     t = _tables(spark, sf)
-    return reshape.pivot_wide(reports.category_trend(_month_grain(t), t.reference))
+    root, key = f"{scratch_root(spark)}/claimscope/reports", f"{source_fingerprint(spark, sf)}|{NO_FILTER}"
+    long = table_sink.reuse("trend_category", reports.category_trend(_month_grain(t), t.reference), root, key)
+    return reshape.pivot_wide(long)
 
 
 def _series_query(measure):

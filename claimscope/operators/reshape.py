@@ -26,14 +26,13 @@ def pivot_wide(long: DataFrame, index: str = "month", columns: str = "category",
 
     Rows with a null index or null column value are dropped first; with ``values``
     omitted, the values present among the remaining rows become columns (none: only the
-    index remains). The long report, one row per index and value, is persisted, so that
-    looking its values up does not run it twice. Values may hold any characters: sums
-    get plain names and are renamed last.
+    index remains); they are looked up by a job of their own, so give a written report
+    (``sinks.tables.reuse``) rather than a plan that is long to run. Nothing is cached.
+    Values may hold any characters: sums get plain names and are renamed last.
     """
     clean = long.where(_quoted(index).isNotNull() & _quoted(columns).isNotNull())
     clean = clean.select(_quoted(index).alias("i"), _quoted(columns).alias("c"), _quoted(value).alias("v"))
     if values is None:
-        clean = clean.persist()
         values = pivot_values(clean, "c")
     sums = [F.sum(F.when(F.col("c") == F.lit(x), F.col("v"))).alias(f"v{k}") for k, x in enumerate(values)]
     wide = clean.groupBy("i").agg(*sums) if sums else clean.select("i").distinct()

@@ -69,9 +69,11 @@ def source_fingerprint(spark: SparkSession, sf_dir: str, names=SOURCE_TABLES) ->
 def derived(spark: SparkSession, home: str, write: Callable[[str], None]) -> str:
     """Folder of tables below ``home`` that ``write(folder)`` makes; written once, then found.
 
-    ``home`` must name the version of what the tables are derived from. Writers that run at the
+    ``home`` must name the version of what the tables are derived from; the library's own
+    version is added, so tables that other code derived are not found. Writers that run at the
     same time each finish; the first to set the pointer wins and all return its folder.
     """
+    home = f"{home}/{storage.library_version()}"
     folder = storage.read_pointer(spark, f"{home}/_current")
     if folder is None:
         folder = f"{home}/build-{uuid.uuid4().hex[:12]}"

@@ -111,6 +111,18 @@ def test_first_pointer_wins(spark, tmp_path):
     assert [p for p in os.listdir(home) if p.startswith("_")] == []
 
 
+def test_derived_tables_of_other_code_are_not_found(spark, tmp_path, monkeypatch):
+    home, made = str(tmp_path / "derived"), []
+
+    def write(folder):
+        made.append(folder)
+        spark.range(3).write.parquet(folder)
+
+    assert warehouse.derived(spark, home, write) == warehouse.derived(spark, home, write) == made[0]
+    monkeypatch.setattr(storage, "library_version", lambda: "another version")
+    assert warehouse.derived(spark, home, write) == made[1] != made[0]
+
+
 def test_open_runs_no_spark_job(spark, t):
     group = "open-test-tables"
     spark.sparkContext.setJobGroup(group, "open")

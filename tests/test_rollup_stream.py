@@ -128,6 +128,8 @@ def test_state_is_dropped_with_its_month(spark, tmp_path):
     q = s.land([line(k, f"2020-{k:02d}", f"p{k}") for k in range(1, 7)]).run()
     kept = {op["operatorName"]: op["numRowsTotal"] for op in q.recentProgress[-1]["stateOperators"]}
     assert set(kept.values()) <= {1, 2}  # months five and six at most, of six
+    assert all(any("rocksdb" in m for m in op["customMetrics"]) for op in q.recentProgress[-1]["stateOperators"])
+    assert spark.conf.get(rollup.STATE_STORE) != rollup.ROCKSDB  # other streams keep theirs
 
 
 @pytest.mark.parametrize("name", ["monthly"])
