@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import sys
 import uuid
+from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,6 +53,18 @@ def hadoop_uri(spark: SparkSession, path: str, make: bool = False) -> str:
     return uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file://") else uri
 
 
+def per_worker(key: tuple, make: Callable[[], Any]) -> Any:
+    """What ``make`` returns, made once in each Python worker and kept from task to task.
+
+    For readers of vocabularies and bounded caches only: a result must not depend on what an
+    earlier task left in them. Workers are processes of one application, so the keys are its own.
+    """
+    held = sys.__dict__.setdefault("_claimscope_llm", {})  # functions are sent by value: module state would not last
+    if key not in held:
+        held[key] = make()
+    return held[key]
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

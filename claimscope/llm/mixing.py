@@ -45,45 +45,17 @@ class Classifier:
     models: list[quality.Additive]
 
 
-class Lexicon:
-    """How many words of a text are telling ones, looked up by the text's distinct tokens.
-
-    A run of letters never spans white space, so the words inside a token are the token's own.
-    """
-
-    def __init__(self, idf: dict[str, float]):
-        self.vectors = toxicity.Vectors(idf)
-        self.telling: dict[str, int] = {}
-
-    def _found(self, token: str) -> int:
-        if len(self.telling) > toxicity.CACHED_WORDS:
-            self.telling.clear()
-        hits = self.vectors.hits
-        n = self.telling[token] = sum(1 for w in toxicity.WORD.findall(token.lower()) if hits(w))
-        return n
-
-    def count(self, tokens: Counter) -> int:
-        known, found = self.telling.get, 0
-        for token, n in tokens.items():
-            k = known(token)
-            if k is None:
-                k = self._found(token)
-            if k:
-                found += k * n
-        return found
-
-
-def inputs(texts: list[str | None], lexicons: list[Lexicon], counts: list[Counter]) -> np.ndarray:
+def inputs(texts: list[str | None], lexicons: list[toxicity.Vectors], counts: list[Counter]) -> np.ndarray:
     """Text features, and for each label how often its telling terms occur."""
     x = [textstats.matrix(texts, counts)]
     for lex in lexicons:
-        found = np.array([lex.count(c) for c in counts], dtype=float)
+        found = np.array([len(lex.hits(t)) for t in texts], dtype=float)
         size = np.array([len(t or "") for t in texts])
         x.append(np.column_stack([np.log1p(found), found / (1.0 + size / 6.0)]))
     return np.concatenate(x, axis=1)
 
 
-def judged(texts: list[str | None], lexicons: list[Lexicon]) -> tuple[np.ndarray, np.ndarray]:
+def judged(texts: list[str | None], lexicons: list[toxicity.Vectors]) -> tuple[np.ndarray, np.ndarray]:
     """(words, inputs) of each text; few word tables are held at a time."""
     tokens, x = [np.zeros(0, dtype=np.int64)], [np.zeros((0, len(textstats.NAMES) + 2 * len(lexicons)))]
     for k in range(0, len(texts), TABLES):
@@ -112,7 +84,7 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, names: tuple[str, ...] =
     lexicons = [toxicity.vocabulary(rows.select("text", last.alias("label")))[0]]
 
     def computed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lex = [Lexicon(x) for x in lexicons]
+        lex = [toxicity.Vectors(x) for x in lexicons]
         for pdf in batches:
             _, x = judged(pdf["text"].tolist(), lex)
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "domain": pdf["domain"], "x": list(x)})
@@ -127,7 +99,7 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, names: tuple[str, ...] =
     return Classifier(domains, lexicons, models)
 
 
-def posterior_batch(c: Classifier, texts: list[str | None], lex: list[Lexicon]) -> tuple[np.ndarray, np.ndarray]:
+def posterior_batch(c: Classifier, texts: list[str | None], lex: list[toxicity.Vectors]) -> tuple[np.ndarray, np.ndarray]:
     """(tokens, posteriors) of each text. Tokens are counted as words between white space."""
     tokens, x = judged(texts, lex)
     p = np.column_stack([m.score(x) for m in c.models])
@@ -140,7 +112,7 @@ def with_posteriors(docs: DataFrame, c: Classifier, name: str) -> DataFrame:
 
     @F.pandas_udf("tokens long, " + ", ".join(f"{n} double" for n in names))
     def told(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        lex = [Lexicon(x) for x in c.lexicons]
+        lex = [toxicity.Vectors(x) for x in c.lexicons]
         for texts in batches:
             tokens, p = posterior_batch(c, texts.tolist(), lex)
             out = pd.DataFrame(p, columns=names)

@@ -180,9 +180,11 @@ def one_edit(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def upper_trees(words: DataFrame) -> dict[int, list]:
-    """One upper tree per word length, cut from at most SAMPLE words in hash order."""
+    """One upper tree per word length, cut from about SAMPLE words at most, those of least hash."""
     sizes = {r["size"]: r["n"] for r in words.groupBy(F.char_length("word").alias("size")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    picked = [r[0] for r in words.select("word").orderBy(F.xxhash64("word"), "word").limit(SAMPLE).collect()]
+    share = min(1.0, SAMPLE / max(sum(sizes.values()), 1))
+    # A cut through the hashes needs no sort, which would bring every task's candidates to the driver.
+    picked = [r[0] for r in words.select("word").where(F.pmod(F.xxhash64("word"), F.lit(1 << 32)) < int(share * (1 << 32))).collect()]
     by_size: dict[int, list[str]] = {size: [] for size in sizes}
     for word in picked:
         by_size[len(word)].append(word)

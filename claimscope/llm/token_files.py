@@ -13,14 +13,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from claimscope.llm.bpe import words_of
+from claimscope.llm.common import per_worker
 
 END_ID = 0
-CACHED_PARTS = 450_000
+#: Words that a worker remembers in each of two generations, and letters that it encodes at a time.
+CACHED_PARTS, LETTERS = 200_000, 1_000_000
 MARKS = ".,;:!?"
 #: ORC settings of the written files; the stripe is the unit of parallel reads.
 ORC = {
@@ -134,11 +137,13 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int =
     """
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, offset = PartEncoder(vocabulary), 0
+        encoder, offset = per_worker(("parts", vocabulary), lambda: PartEncoder(vocabulary)), 0
         end = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
-            for k in range(0, batch.num_rows, 500):
-                rows = batch.slice(k, 500)
+            size = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64)) // LETTERS
+            edges = [*np.flatnonzero(np.diff(size, prepend=-1)).tolist(), batch.num_rows]
+            for k, end_row in zip(edges, edges[1:]):
+                rows = batch.slice(k, end_row - k)
                 coded = encoder.encode(rows.column(1).to_pylist())
                 first = 0
                 while first < len(coded):

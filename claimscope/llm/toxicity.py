@@ -1,15 +1,16 @@
 """Operator 7: toxicity by the nearest labelled examples under TF-IDF cosine.
 
-Terms are words and word beginnings (crude stems). Terms that go along with the label in
-a chi-square test on the sample form the vocabulary; a text is its L2-normed vector of
-``(1 + ln tf) * idf`` over it. Distinct example vectors lie in blocks, and for each term
+Terms are words and word beginnings (crude stems). A term weighs its idf times
+``1 - MIN_CHI2 / chi2`` of its association with the label in the sample, so what barely goes
+along with the label weighs little and what does not weighs nothing; a text is its L2-normed
+vector of ``(1 + ln tf) * weight``. Distinct example vectors lie in blocks, and for each term
 and block the index holds the largest weight. A text's blocks are visited from the
 largest upper bound down until no block can reach the k-th best cosine, so the
 neighbours are exact. Votes are weighted by distance and calibrated on sample rows that
 are not in the index; the neighbours themselves are returned as evidence.
 
-Sample and vocabulary have documented bounds (``SAMPLE``, ``TERMS``); every document is
-scored on its whole text.
+The sample has a documented bound (``SAMPLE``), which bounds the terms as well; every
+document is scored on its whole text.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -26,13 +28,17 @@ from pyspark.sql import functions as F
 
 from claimscope.llm.common import labelled_sample, sample_rows, staged
 
-SAMPLE, TERMS = 20_000, 5_000
+SAMPLE = 20_000
 THRESHOLD = 0.7
-MIN_ROWS, MIN_CHI2 = 8, 10.8
+#: A term of fewer sample rows says nothing yet, however they are labelled; in large samples,
+#: where more terms are tried, the rows grow with the square root of the sample.
+MIN_ROWS, ROWS_PER_ROOT, MIN_CHI2 = 8, 0.156, 10.8
 NEIGHBOURS, BLOCK, NEAR = 15, 64, 0.05
-STEMS = (5, 6, 7, 8)
+STEMS, HEAD = (5, 6, 7, 8), 5
 WORD = re.compile(r"[^\W\d_]+")
-CACHED_WORDS = 300_000
+CACHED_WORDS, CACHED_VECTORS = 100_000, 20_000
+#: Queries that the index answers at a time.
+QUERIES = 512
 
 
 def terms_of(word: str) -> list[str]:
@@ -57,67 +63,113 @@ class Vectors:
     def __init__(self, idf: dict[str, float]):
         self.number = {t: i for i, t in enumerate(idf)}
         self.idf = np.array(list(idf.values()), dtype=float)
-        self.known: dict[str, list[int]] = {}
-
-    def hits(self, word: str) -> list[int]:
-        """Numbers of the known terms of a word."""
-        found = self.known.get(word)
-        if found is None:
-            if len(self.known) > CACHED_WORDS:
-                self.known.clear()
-            found = self.known[word] = [self.number[t] for t in terms_of(word) if t in self.number]
+        # Most words share no beginning with any term; only those that do are looked up and remembered.
+        self.heads = {t[:HEAD] for t in idf}
+        self.known: dict[str, tuple[int, ...]] = {}
+
+    def _learn(self, word: str) -> tuple[int, ...]:
+        if len(self.known) > CACHED_WORDS:
+            self.known.clear()
+        found = self.known[word] = tuple(self.number[t] for t in terms_of(word) if t in self.number)
         return found
 
+    def hits(self, text: str | None) -> list[tuple[int, ...]]:
+        """For each word of the text that has known terms, in order, their numbers."""
+        heads, known, out = self.heads, self.known, []
+        for w in WORD.findall(text.lower()) if text else ():
+            if w[:HEAD] in heads:
+                found = known.get(w)
+                if found is None:
+                    found = self._learn(w)
+                if found:
+                    out.append(found)
+        return out
+
     def of(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """(ascending term numbers, weights) with norm 1; empty if no term is known."""
-        tf: dict[int, int] = {}
-        for w, n in word_counts(text).items():
-            for t in self.hits(w):
-                tf[t] = tf.get(t, 0) + n
+        tf = Counter(chain.from_iterable(self.hits(text)))
         t = np.array(sorted(tf), dtype=np.int64)
         w = (1.0 + np.log([tf[i] for i in t])) * self.idf[t] if len(t) else np.zeros(0)
         return t, w / np.sqrt((w**2).sum()) if len(t) else w
 
 
 class BlockMaxIndex:
-    """Exact top-k cosine over example vectors, skipping blocks by their upper bounds."""
+    """Exact top-k cosine over example vectors, skipping blocks by their upper bounds.
+
+    A block keeps the postings of its own terms as a small matrix (terms x examples), and the
+    index the largest weight of each term in each block. Queries are answered many at a time:
+    the bounds of all blocks are one product, the two blocks of largest bound give each query
+    a cosine that its k-th best cannot be below, and only blocks that can reach it are scored.
+    """
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], terms: int):
         # Examples with like leading terms lie together, so that block bounds are tight.
-        self.order = sorted(range(len(vectors)), key=lambda i: (vectors[i][0][np.argmax(vectors[i][1])], i))
-        by: dict[int, list[tuple[int, float]]] = {}
-        for place, i in enumerate(self.order):
-            for t, w in zip(vectors[i][0].tolist(), vectors[i][1].tolist()):
-                by.setdefault(t, []).append((place, w))
-        self.blocks = -(-len(vectors) // BLOCK)
-        self.post: dict[int, dict[int, tuple[np.ndarray, np.ndarray]]] = {}
-        self.top: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for t, entries in by.items():
-            place, w = np.array([e[0] for e in entries]), np.array([e[1] for e in entries])
-            block = place // BLOCK
-            lists = {int(b): (place[block == b] - b * BLOCK, w[block == b]) for b in np.unique(block)}
-            self.post[t] = lists
-            self.top[t] = (np.array(list(lists)), np.array([x[1].max() for x in lists.values()]))
+        leading = [tuple(t[np.argsort(-w, kind="stable")[:4]].tolist()) for t, w in vectors]
+        self.order = sorted(range(len(vectors)), key=lambda i: (leading[i], i))
+        self.terms, self.size = terms, len(vectors)
+        self.blocks: list[tuple[np.ndarray, np.ndarray]] = []
+        self.top = np.zeros((terms, -(-len(vectors) // BLOCK)))
+        for b in range(self.top.shape[1]):
+            some = [vectors[i] for i in self.order[b * BLOCK : (b + 1) * BLOCK]]
+            own = np.unique(np.concatenate([t for t, _ in some]))
+            post = np.zeros((len(own), len(some)))
+            for k, (t, w) in enumerate(some):
+                post[np.searchsorted(own, t), k] = w
+            self.blocks.append((own, post))
+            self.top[own, b] = post.max(axis=1)
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(example numbers, cosines) of the k nearest with a positive cosine, ties by place."""
-        bound = np.zeros(self.blocks)
-        query = [(t, w) for t, w in zip(terms.tolist(), weights.tolist()) if t in self.post]
-        for t, w in query:
-            b, top = self.top[t]
-            bound[b] += w * top
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or len(best) == k and bound[b] < best[-1][0] - 1e-9:
-                break
-            cos = np.zeros(BLOCK)
-            for t, w in query:
-                if (entry := self.post[t].get(b)) is not None:
-                    cos[entry[0]] += w * entry[1]
-            hits = np.flatnonzero(cos > 0)
+        return next(self.nearest_many([(terms, weights)], k))
+
+    def nearest_many(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """:meth:`nearest` of each query."""
+        for at in range(0, len(queries), QUERIES):
+            yield from self._nearest(queries[at : at + QUERIES], k)
+
+    def _nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        dense = np.zeros((len(queries), self.terms))
+        for i, (t, w) in enumerate(queries):
+            inside = t < self.terms
+            dense[i, t[inside]] = w[inside]
+        bound = dense @ self.top
+        done = bound <= 0
+        least = np.zeros(len(queries))
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def visit(b: int, rows: np.ndarray) -> np.ndarray:
+            own, post = self.blocks[b]
+            done[rows, b] = True
             # Rounding must not order equal cosines, so they are compared to twelve places.
-            best = sorted(best + [(round(c, 12), b * BLOCK + h) for c, h in zip(cos[hits].tolist(), hits.tolist())], key=lambda x: (-x[0], x[1]))[:k]
-        return np.array([self.order[p] for _, p in best], dtype=np.int64), np.array([c for c, _ in best])
+            return np.round(dense[np.ix_(rows, own)] @ post, 12)
+
+        def keep(b: int, rows: np.ndarray, cos: np.ndarray) -> None:
+            i, j = np.nonzero((cos >= least[rows, None]) & (cos > 0))
+            found.append((rows[i], b * BLOCK + j, cos[i, j]))
+
+        first = np.argsort(-bound, axis=1, kind="stable")[:, :2]
+        seen = np.zeros((len(queries), first.shape[1] * BLOCK))
+        opened = []
+        for b in np.unique(first):
+            rows = np.flatnonzero((first == b).any(axis=1) & ~done[:, b])
+            cos = visit(b, rows)
+            side = (first[rows] == b).argmax(axis=1) * BLOCK
+            seen[rows[:, None], side[:, None] + np.arange(cos.shape[1])] = cos
+            opened.append((b, rows, cos))
+        if seen.shape[1] >= k:
+            least = np.partition(seen, seen.shape[1] - k, axis=1)[:, seen.shape[1] - k]
+        for b, rows, cos in opened:
+            keep(b, rows, cos)
+        for b in range(len(self.blocks)):
+            rows = np.flatnonzero(~done[:, b] & (bound[:, b] >= least - 1e-9))
+            if len(rows):
+                keep(b, rows, visit(b, rows))
+        who, place, cos = (np.concatenate([x[c] for x in found] or [np.zeros(0, dtype=np.int64)]) for c in range(3))
+        order = np.lexsort((place, -cos, who))
+        edges = np.searchsorted(who[order], np.arange(len(queries) + 1))
+        for low, high in zip(edges[:-1], edges[1:]):
+            best = order[low : min(high, low + k)]
+            yield np.array([self.order[p] for p in place[best]], dtype=np.int64), cos[best]
 
 
 @dataclass
@@ -136,13 +188,14 @@ class Model:
     def index(self) -> BlockMaxIndex:
         return BlockMaxIndex(self.vectors, len(self.idf))
 
-    def vote(self, index: BlockMaxIndex, t: np.ndarray, w: np.ndarray, k: int = NEIGHBOURS):
-        """(share of the weighted votes for the label or None, neighbours, cosines)."""
-        who, cos = index.nearest(t, w, k)
-        if not len(who):
-            return None, who, cos
-        weight = (1.0 + np.log(self.rows[who])) / (1.0 - np.minimum(cos, 1.0) + NEAR)
-        return float((weight * self.share[who]).sum() / weight.sum()), who, cos
+    def votes(self, index: BlockMaxIndex, vectors: list[tuple[np.ndarray, np.ndarray]], k: int = NEIGHBOURS):
+        """For each vector: share of the weighted votes for the label or None, neighbours, cosines."""
+        for who, cos in index.nearest_many(vectors, k):
+            if not len(who):
+                yield None, who, cos
+                continue
+            weight = (1.0 + np.log(self.rows[who])) / (1.0 - np.minimum(cos, 1.0) + NEAR)
+            yield float((weight * self.share[who]).sum() / weight.sum()), who, cos
 
     def calibrated(self, vote: float | None) -> float:
         if vote is None:
@@ -169,11 +222,10 @@ def fit_platt(z: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, fl
     return float(beta[0]), float(beta[1])
 
 
-def vocabulary(rows: DataFrame, terms: int = TERMS) -> tuple[dict[str, float], float]:
-    """(idf of the terms that go along with the label, share of the label) over rows (text, label).
+def vocabulary(rows: DataFrame) -> tuple[dict[str, float], float]:
+    """(weight of the terms that go along with the label, share of the label) over rows (text, label).
 
-    Document frequencies come from a distributed aggregate; at most ``terms`` terms, those
-    with the largest chi-square, are kept.
+    Document frequencies come from a distributed aggregate.
     """
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -186,16 +238,18 @@ def vocabulary(rows: DataFrame, terms: int = TERMS) -> tuple[dict[str, float], f
     df = known.select("label", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n"), F.sum("label").alias("pos"))
     over = F.col("pos") - F.col("n") * share
     chi2 = over * over / (F.col("n") * share * (1 - share) * (1.0 - F.col("n") / (n + 1.0)))
-    chosen = df.where((F.col("n") >= MIN_ROWS) & (over > 0)).withColumn("chi2", chi2).where(F.col("chi2") >= MIN_CHI2)
-    chosen = chosen.orderBy(F.desc("chi2"), "term").limit(terms).toPandas().sort_values("term")
-    return dict(zip(chosen["term"], np.log(1.0 + n / chosen["n"]))), share
+    rows_needed = max(MIN_ROWS, ROWS_PER_ROOT * float(np.sqrt(n)))
+    chosen = df.where((F.col("n") >= rows_needed) & (over > 0)).withColumn("chi2", chi2).where(F.col("chi2") > MIN_CHI2)
+    chosen = chosen.toPandas().sort_values("term")
+    weight = np.log(1.0 + n / chosen["n"]) * (1.0 - MIN_CHI2 / chosen["chi2"])
+    return dict(zip(chosen["term"], weight)), share
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, sample: int = SAMPLE, terms: int = TERMS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, sample: int = SAMPLE) -> Model:
     """Learn from at most ``sample`` labelled ids that ``allowed`` (on labels) selects, by hash order."""
     picked = labelled_sample(labels, label, allowed, sample)
     rows = staged(sample_rows(docs, picked), "sample")
-    idf, share = vocabulary(rows, terms)
+    idf, share = vocabulary(rows)
 
     def vectored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         vectors = Vectors(idf)
@@ -231,8 +285,9 @@ def build(idf: dict[str, float], sample: pd.DataFrame, share: float) -> Model:
 
     part = model(sample[~aside & ~none])
     index = part.index()
-    votes = [(part.vote(index, np.asarray(t), np.asarray(w))[0], y) for t, w, y in zip(*(sample[aside & ~none][c] for c in ("t", "w", "label")))]
-    votes = [(spread(v), y) for v, y in votes if v is not None]
+    left = sample[aside & ~none]
+    asked = [(np.asarray(t, dtype=np.int64), np.asarray(w, dtype=float)) for t, w in zip(left["t"], left["w"])]
+    votes = [(spread(v), y) for (v, _, _), y in zip(part.votes(index, asked), left["label"]) if v is not None]
     whole = model(sample[~none])
     if votes:
         whole.slope, whole.shift = fit_platt(np.array([v for v, _ in votes]), np.array([y for _, y in votes], dtype=float))
@@ -256,19 +311,16 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, evidence:
         vectors, index = Vectors(model.idf), model.index()
         known: dict[tuple, tuple] = {}
         for pdf in batches:
-            out, proof = [], []
-            for text in pdf["text"]:
-                t, w = vectors.of(text)
-                key = (t.tobytes(), w.tobytes())
-                if key not in known:
-                    if len(known) > 50_000:
-                        known.clear()
-                    vote, who, cos = model.vote(index, t, w)
-                    near = [{"doc_id": int(model.example[i]), "cosine": float(c), "share": float(model.share[i])} for i, c in zip(who[:evidence], cos)]
-                    known[key] = (model.calibrated(vote), near)
-                s, near = known[key]
-                out.append(s), proof.append(near)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "score": out, "evidence": proof})
+            if len(known) > CACHED_VECTORS:
+                known.clear()
+            found = [vectors.of(text) for text in pdf["text"]]
+            keys = [(t.tobytes(), w.tobytes()) for t, w in found]
+            fresh = {key: v for key, v in zip(keys, found) if key not in known}
+            for key, (vote, who, cos) in zip(fresh, model.votes(index, list(fresh.values()))):
+                near = [{"doc_id": int(model.example[i]), "cosine": float(c), "share": float(model.share[i])} for i, c in zip(who[:evidence], cos)]
+                known[key] = (model.calibrated(vote), near)
+            out, proof = zip(*(known[key] for key in keys)) if keys else ((), ())
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "score": out, "evidence": list(proof)})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = rows.mapInPandas(scored, f"doc_id long, score double, evidence {EVIDENCE}")
