@@ -26,6 +26,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from claimscope.llm.common import one_thread_per_task
+
 TURN_START, ROLE_END, TURN_END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
 LOSS_ROLE = "assistant"
 TURN = re.compile(r"<\|im_start\|>(.*?)<\|im_sep\|>(.*?)<\|im_end\|>\n", re.DOTALL)
@@ -50,6 +52,7 @@ def encoder(vocabulary: str):
     """The library's tokenizer with the template's control strings as tokens of their own."""
     from tokenizers import AddedToken, Tokenizer
 
+    one_thread_per_task()
     lib = Tokenizer.from_file(vocabulary)
     lib.add_special_tokens([AddedToken(t, normalized=False) for t in (TURN_START, ROLE_END, TURN_END)])
     return lib

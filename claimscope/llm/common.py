@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import sys
 import uuid
 from collections.abc import Callable
@@ -65,6 +66,11 @@ def per_worker(key: tuple, make: Callable[[], Any]) -> Any:
     return held[key]
 
 
+def one_thread_per_task() -> None:
+    """Keep the tokenizers library to the task's own core: its threads hold memory of their own."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from claimscope.llm.bpe import words_of
-from claimscope.llm.common import per_worker
+from claimscope.llm.common import one_thread_per_task, per_worker
 
 END_ID = 0
 #: Words that a worker remembers in each of two generations, and letters that it encodes at a time.
@@ -48,6 +48,7 @@ class PartEncoder:
     def __init__(self, vocabulary: str):
         from tokenizers import Tokenizer
 
+        one_thread_per_task()
         self.lib = Tokenizer.from_file(vocabulary)
         self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
         size = self.lib.get_vocab_size(with_added_tokens=True)
