@@ -66,6 +66,10 @@ def source_fingerprint(spark: SparkSession, sf_dir: str, names=SOURCE_TABLES) ->
     return hashlib.sha1(raw.encode()).hexdigest()[:16]
 
 
+def _current_build(spark: SparkSession, pointer: str) -> str | None:
+    return storage.read_pointer(spark, pointer)
+
+
 def derived(spark: SparkSession, home: str, write: Callable[[str], None]) -> str:
     """Folder of tables below ``home`` that ``write(folder)`` makes; written once, then found.
 
@@ -74,7 +78,7 @@ def derived(spark: SparkSession, home: str, write: Callable[[str], None]) -> str
     same time each finish; the first to set the pointer wins and all return its folder.
     """
     home = f"{home}/{storage.library_version()}"
-    folder = storage.read_pointer(spark, f"{home}/_current")
+    folder = _current_build(spark, f"{home}/_current")
     if folder is None:
         folder = f"{home}/build-{uuid.uuid4().hex[:12]}"
         write(folder)
@@ -131,7 +135,7 @@ def open_test_tables(spark: SparkSession, sf_dir: str, materialize: bool = True)
     if key in _opened:
         return _opened[key]
     home = f"{scratch_root(spark)}/claimscope/warehouse/{version}"
-    folder = storage.read_pointer(spark, f"{home}/_current") or build(spark, sf_dir, home)
+    folder = _current_build(spark, f"{home}/_current") or build(spark, sf_dir, home)
     tables = loaders.Tables.load(
         spark, f"{folder}/claims", f"{folder}/code_reference", f"{folder}/provider_registry",
         validate=False, summary=f"{folder}/provider_summary",
