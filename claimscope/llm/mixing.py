@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimscope.llm import quality, textstats, toxicity
-from claimscope.llm.common import sample_rows, staged
+from claimscope.llm.common import arrow_rows, sample_rows, staged
 
 SAMPLE = 20_000
 LABELS = ("quality", "toxic")
@@ -34,8 +34,8 @@ LABELS = ("quality", "toxic")
 TARGETS = {"1,0": 0.85, "0,0": 0.10, "1,1": 0.04, "0,1": 0.01}
 BUDGET = 1.2
 STEPS, TOLERANCE = 30, 1e-3
-#: Word tables that a worker holds at a time.
-TABLES = 256
+#: Word tables that a worker holds at a time, and texts in one Arrow batch.
+TABLES, TEXTS = 256, 1_000
 
 
 @dataclass
@@ -222,7 +222,8 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGET
     if not c.domains:
         plain = rows.select("doc_id", F.lit(0).cast("long").alias("tokens"))
         return plain.withColumns({"rate": F.lit(1.0), "copies": F.lit(1)}), c, Mix([], np.zeros(0), np.zeros(0), [])
-    told = staged(with_posteriors(rows, c, "told").select("at", "doc_id", "told.*"), "posteriors")
+    with arrow_rows(docs.sparkSession, TEXTS):
+        told = staged(with_posteriors(rows, c, "told").select("at", "doc_id", "told.*"), "posteriors")
     mix = fit_rates(told, c.domains, targets, budget)
     names = [f"p{i}" for i in range(len(c.domains))]
     out = told.withColumn("rate", rated([F.col(n) for n in names], mix.pulls))
@@ -241,7 +242,8 @@ def resampled(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TA
     told = "__mix"
     while told in docs.columns:
         told += "_"
-    rows = staged(with_posteriors(docs, c, told), "mixed-docs")
+    with arrow_rows(docs.sparkSession, TEXTS):
+        rows = staged(with_posteriors(docs, c, told), "mixed-docs")
     mix = fit_rates(rows.select(f"{told}.*"), c.domains, targets, budget)
     p = [rows[told][f"p{i}"] for i in range(len(c.domains))]
     often = copies(rated(p, mix.pulls), F.xxhash64("doc_id", "text"))

@@ -19,11 +19,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from claimscope.llm.bpe import words_of
-from claimscope.llm.common import one_thread_per_task, per_worker
+from claimscope.llm.common import arrow_rows, one_thread_per_task, per_worker
 
 END_ID = 0
 #: Words that a worker remembers in each of two generations, and letters that it encodes at a time.
-CACHED_PARTS, LETTERS = 200_000, 1_000_000
+CACHED_PARTS, LETTERS = 150_000, 1_000_000
+#: Texts in one Arrow batch.
+TEXTS = 500
 MARKS = ".,;:!?"
 #: ORC settings of the written files; the stripe is the unit of parallel reads.
 ORC = {
@@ -166,7 +168,8 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int =
     order = ("doc_id", F.xxhash64("text"))
     out = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     out = out.mapInArrow(encoded, "doc_id long, n_tokens long, offset long, ids array<int>")
-    out.write.options(**ORC).orc(path)
+    with arrow_rows(docs.sparkSession, TEXTS):
+        out.write.options(**ORC).orc(path)
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
