@@ -375,12 +375,12 @@ _BODY = {
     "kpi_overview": (
         "SELECT COUNT(*) AS states, CAST(COALESCE(SUM(total_providers), 0) AS BIGINT) AS providers, "
         "CAST(COALESCE(SUM(total_claims), 0) AS BIGINT) AS total_claims, "
-        f"CAST(COALESCE(SUM(total_paid), 0) AS DOUBLE) AS total_paid FROM ({OVERVIEW_ALL}) o"
+        f"CAST(COALESCE(SUM(CAST(total_paid AS DECIMAL(38, 2))), 0) AS DOUBLE) AS total_paid FROM ({OVERVIEW_ALL}) o"
     ),
     "kpi_services": (
         "SELECT COUNT(*) AS service_categories, CAST(COALESCE(SUM(providers), 0) AS BIGINT) AS providers, "
         "CAST(COALESCE(SUM(total_claims), 0) AS BIGINT) AS total_claims, "
-        f"CAST(COALESCE(SUM(total_paid), 0) AS DOUBLE) AS total_paid FROM ({CATEGORY_ALL}) c"
+        f"CAST(COALESCE(SUM(CAST(total_paid AS DECIMAL(38, 2))), 0) AS DOUBLE) AS total_paid FROM ({CATEGORY_ALL}) c"
     ),
     "kpi_directory": (
         "SELECT COUNT(*) AS providers, CAST(COALESCE(SUM(total_hiv_claims), 0) AS BIGINT) AS total_hiv_claims, "
