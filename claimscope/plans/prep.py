@@ -26,18 +26,20 @@ DEFAULT_KEYWORDS = ("HIV", "antiretroviral", "PrEP", "viral load", "CD4", "oppor
 
 NPI_COLUMNS = ("billing_npi", "servicing_npi")
 
+FACT_ORDER = ("claim_year", "practice_state", "code", "billing_npi")
+
 ROLLUP_KEYS = ("billing_npi", "servicing_npi", "code", "month")
 
 
-def monthly_rollup(lines: DataFrame) -> DataFrame:
-    """Claim lines -> one row per billing x servicing x code x month.
+def monthly_rollup(lines: DataFrame, *also: str) -> DataFrame:
+    """Claim lines -> one row per billing x servicing x code x month (``also``: columns that these decide).
 
     Beneficiaries are distinct within the row only. Spark plans the exact
     distinct count as partial aggregation on (keys, beneficiary) before the
     shuffle, so a provider holding a large share of lines is spread over
     many reducers instead of landing in one task.
     """
-    return lines.groupBy(*ROLLUP_KEYS).agg(
+    return lines.groupBy(*ROLLUP_KEYS, *also).agg(
         F.sum("claims").cast("bigint").alias("total_claims"),
         F.count_distinct("beneficiary_id").alias("total_unique_beneficiaries"),
         F.round(F.sum("paid"), 2).cast(MONEY).alias("total_paid"),
@@ -54,7 +56,19 @@ def enrich_claims(monthly: DataFrame, registry: DataFrame) -> DataFrame:
     return enrich(monthly, registry)
 
 
-def write_claims(enriched: DataFrame, path: str, mode: str = "overwrite") -> None:
+def enriched_rollup(lines: DataFrame, registry: DataFrame) -> DataFrame:
+    """:func:`monthly_rollup`, enriched, from one shuffle of the lines, which is also the layout of the fact.
+
+    The lines get state and year first (both are decided by the rollup's keys) and are dealt by
+    ranges of the fact's order, drawn out by month and servicing NPI. A rollup row's lines have
+    all of these in common, so both steps of the rollup and :func:`write_claims` find them
+    together. A hot provider is cut by code, month and servicing NPI.
+    """
+    dealt = enrich(lines, registry).repartitionByRange(*FACT_ORDER, "month", "servicing_npi")
+    return monthly_rollup(dealt, "practice_state", "claim_year")
+
+
+def write_claims(enriched: DataFrame, path: str, mode: str = "overwrite", dealt: bool = False) -> None:
     """Write the fact partitioned by ``claim_year`` and clustered by state within a year.
 
     Rows are range-partitioned and sorted by (year, state, code, billing NPI): a file
@@ -64,10 +78,11 @@ def write_claims(enriched: DataFrame, path: str, mode: str = "overwrite") -> Non
 
     Providers lie scattered over these ranges, so each row group has a Bloom filter on the
     NPIs: a lookup of providers skips row groups that hold none of them. Filters take the
-    size that the row group's distinct NPIs need.
+    size that the row group's distinct NPIs need. Rows that are ``dealt`` by this order already
+    (:func:`enriched_rollup`) are not shuffled again.
     """
-    order = ("claim_year", "practice_state", "code", "billing_npi")
-    writer = enriched.repartitionByRange(*order).sortWithinPartitions(*order).write.mode(mode).partitionBy("claim_year")
+    rows = enriched if dealt else enriched.repartitionByRange(*FACT_ORDER)
+    writer = rows.sortWithinPartitions(*FACT_ORDER).write.mode(mode).partitionBy("claim_year")
     for npi in NPI_COLUMNS:
         if npi in enriched.columns:
             writer = writer.option(f"parquet.bloom.filter.enabled#{npi}", "true")

@@ -5,7 +5,8 @@ in production. For the test tables that table is derived by Spark (rollup,
 registry join) and written once per source version under the session's
 shared checkpoint folder (``spark.checkpoint.dir``); later queries read it.
 Writing it also cuts the lineage, so a lost executor costs a re-read, not a
-re-run of the joins and the rollup.
+re-run of the joins and the rollup. Each table is written when it is first
+asked for: a query of the code reference does not wait for the fact.
 
 A build is keyed by a fingerprint of the source files (path, size,
 modification time, asked of the file system without a Spark job) and of this
@@ -20,15 +21,19 @@ import hashlib
 import inspect
 import sys
 import uuid
-from collections.abc import Callable
-from functools import lru_cache
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from functools import cached_property, lru_cache
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from claimscope.sources import loaders, schemas, storage, testtables
 
 SOURCE_TABLES = ("nation", "supplier", "customer", "part", "orders", "lineitem")
 
+#: Lines of one rollup task, as shuffled: its hash tables and its sort take some thirty times as much.
+ROLLUP_TASK = "24m"
+
 _opened: dict[tuple[str, str, str], loaders.Tables] = {}
 
 
@@ -93,31 +98,100 @@ def build(spark: SparkSession, sf_dir: str, home: str, month_summary: bool = Fal
     from claimscope.plans import prep
 
     folder = f"{home}/build-{uuid.uuid4().hex[:12]}"
-    registry = testtables.registry(spark, sf_dir)
-    schemas.assert_unique(registry, "npi", "provider_registry")
-    registry.write.mode("overwrite").parquet(f"{folder}/provider_registry")
-
-    reference = testtables.code_reference(spark, sf_dir)
-    schemas.assert_unique(reference, "code", "code_reference")
-    reference.orderBy("category", "code").coalesce(1).write.mode("overwrite").parquet(f"{folder}/code_reference")
-
-    # Enrich against the registry just written: no second derivation.
-    written = loaders.load_registry(spark, f"{folder}/provider_registry", validate=False)
-    enriched = prep.enrich_claims(testtables.claims_monthly(spark, sf_dir), written)
-    prep.write_claims(schemas.conform(enriched, schemas.CLAIMS, "claims"), f"{folder}/claims")
-    # The provider summary is derived from the fact just written (no re-run of the
-    # rollup) and has the same layout.
+    _write_registry(spark, sf_dir, f"{folder}/provider_registry")
+    _write_reference(spark, sf_dir, f"{folder}/code_reference")
+    _write_claims(spark, sf_dir, loaders.load_registry(spark, f"{folder}/provider_registry", validate=False), f"{folder}/claims")
     written_claims = loaders.load_claims(spark, f"{folder}/claims")
     if month_summary:
         monthly = prep.provider_summary(written_claims, by_month=True)
         prep.write_claims(schemas.conform(monthly, schemas.MONTH_SUMMARY, "month_summary"),
                           f"{folder}/provider_month_summary")
         written_claims = loaders.load_summary(spark, f"{folder}/provider_month_summary", by_month=True)
-    yearly = prep.provider_summary(written_claims)
-    prep.write_claims(schemas.conform(yearly, schemas.SUMMARY, "provider_summary"), f"{folder}/provider_summary")
+    _write_summary(written_claims, f"{folder}/provider_summary")
     return storage.set_pointer(spark, f"{home}/_current", folder)
 
 
+def _checked_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    registry = testtables.registry(spark, sf_dir)
+    schemas.assert_unique(registry, "npi", "provider_registry")
+    return registry
+
+
+def _write_registry(spark: SparkSession, sf_dir: str, path: str) -> None:
+    _checked_registry(spark, sf_dir).write.mode("overwrite").parquet(path)
+
+
+def _write_reference(spark: SparkSession, sf_dir: str, path: str) -> None:
+    reference = testtables.code_reference(spark, sf_dir)
+    schemas.assert_unique(reference, "code", "code_reference")
+    reference.orderBy("category", "code").coalesce(1).write.mode("overwrite").parquet(path)
+
+
+@contextmanager
+def _task_size(spark: SparkSession, size: str) -> Iterator[None]:
+    """Let jobs that run inside read so much shuffled data a task."""
+    name = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(name)
+    spark.conf.set(name, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def _write_claims(spark: SparkSession, sf_dir: str, registry: DataFrame, path: str) -> None:
+    """Enriched against the written registry: no second derivation."""
+    from claimscope.plans import prep
+
+    enriched = prep.enriched_rollup(testtables.claim_lines(spark, sf_dir), registry)
+    with _task_size(spark, ROLLUP_TASK):
+        prep.write_claims(schemas.conform(enriched, schemas.CLAIMS, "claims"), path, dealt=True)
+
+
+def _write_summary(claims: DataFrame, path: str) -> None:
+    """Derived from the written fact (no re-run of the rollup), with the same layout."""
+    from claimscope.plans import prep
+
+    prep.write_claims(schemas.conform(prep.provider_summary(claims), schemas.SUMMARY, "provider_summary"), path)
+
+
+class Warehouse(loaders.Tables):
+    """The tables of one source version, each written when it is first asked for."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, home: str):
+        self.__dict__.update(spark=spark, sf_dir=sf_dir, home=home)
+
+    def _folder(self, name: str, write: Callable[[str], None]) -> str:
+        return derived(self.spark, f"{self.home}/{name}", write)
+
+    @cached_property
+    def registry(self) -> DataFrame:
+        folder = self._folder("provider_registry", lambda to: _write_registry(self.spark, self.sf_dir, to))
+        return loaders.load_registry(self.spark, folder, validate=False)
+
+    @cached_property
+    def reference(self) -> DataFrame:
+        def write(to: str) -> None:
+            _checked_registry(self.spark, self.sf_dir)  # a source with a repeated provider opens no table
+            _write_reference(self.spark, self.sf_dir, to)
+
+        return loaders.load_reference(self.spark, self._folder("code_reference", write), validate=False)
+
+    @cached_property
+    def claims(self) -> DataFrame:
+        folder = self._folder("claims", lambda to: _write_claims(self.spark, self.sf_dir, self.registry, to))
+        return loaders.load_claims(self.spark, folder)
+
+    @cached_property
+    def summary(self) -> DataFrame:
+        folder = self._folder("provider_summary", lambda to: _write_summary(self.claims, to))
+        return loaders.load_summary(self.spark, folder)
+
+    def claims_for(self, *columns: str) -> DataFrame:
+        """As of all tables, but the summary is not written to learn its columns."""
+        return self.summary if set(columns) <= set(schemas.SUMMARY.fieldNames()) else self.claims
+
+
 def open_test_tables(spark: SparkSession, sf_dir: str, materialize: bool = True) -> loaders.Tables:
     """Warehouse tables for a test-data folder.
 
@@ -134,11 +208,6 @@ def open_test_tables(spark: SparkSession, sf_dir: str, materialize: bool = True)
     key = (spark.sparkContext.applicationId, sf_dir, version)
     if key in _opened:
         return _opened[key]
-    home = f"{scratch_root(spark)}/claimscope/warehouse/{version}"
-    folder = _current_build(spark, f"{home}/_current") or build(spark, sf_dir, home)
-    tables = loaders.Tables.load(
-        spark, f"{folder}/claims", f"{folder}/code_reference", f"{folder}/provider_registry",
-        validate=False, summary=f"{folder}/provider_summary",
-    )
+    tables = Warehouse(spark, sf_dir, f"{scratch_root(spark)}/claimscope/warehouse/{version}")
     _opened[key] = tables
     return tables

@@ -29,8 +29,6 @@ Layout under the publication root::
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -188,9 +186,5 @@ def load_summary(spark: SparkSession, root: str, base: DataFrame | None = None)
 
 def published_tables(spark: SparkSession, root: str, tables: Tables) -> Tables:
     """``tables`` with all publications applied to the fact and to the provider summary."""
-    return replace(
-        tables,
-        claims=load_published(spark, root, tables.claims),
-        summary=load_summary(spark, root, tables.summary) if tables.summary is not None else None,
-        month_summary=None,
-    )
+    summary = load_summary(spark, root, tables.summary) if tables.summary is not None else None
+    return Tables(load_published(spark, root, tables.claims), tables.reference, tables.registry, summary)
