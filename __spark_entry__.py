@@ -453,11 +453,12 @@ def _q_stream_rollup(spark, sf):
     home = f"{scratch_root(spark)}/claimscope/rollups/{source_fingerprint(spark, sf)}"
     drop_folder(spark, home)  # earlier runs
     run = f"{home}/{uuid.uuid4().hex[:12]}"
-    lines = testtables.landed_lines(spark, sf)
+    testtables.landed_lines(spark, sf).write.parquet(f"{run}/lines")  # joined once, not for every arrival
+    lines = spark.read.schema(rollup.LANDED_LINES).parquet(f"{run}/lines")
     dropped = 0
     for arrival in testtables.arrivals(lines):
         arrival.write.mode("append").parquet(f"{run}/landing")
-        q = rollup.start_rollup(spark, f"{run}/landing", f"{run}/rolled", f"{run}/checkpoint", lateness=2)
+        q = rollup.start_rollup(spark, f"{run}/landing", f"{run}/rolled", f"{run}/checkpoint", lateness=2, count_state=False)
         q.awaitTermination()
         dropped += rollup.dropped_late(q)
     if dropped:

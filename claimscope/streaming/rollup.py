@@ -38,6 +38,8 @@ ROLLED = T.StructType([*schemas.CLAIMS_MONTHLY.fields, T.StructField("lines", T.
 GROUP = ("billing_npi", "servicing_npi", "code")
 
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+#: Keeps a count of the state's rows, for which every write looks its key up first.
+COUNT_STATE = "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows"
 #: Keeps state on local disk with changelogs in the checkpoint, beyond what executor memory holds.
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -69,13 +71,16 @@ def _write(rows: DataFrame, batch_id: int, root: str) -> None:
 
 
 def start_rollup(spark: SparkSession, landing: str, root: str, checkpoint: str, lateness: int = 3,
-                 available_now: bool = True, state_store: str = ROCKSDB) -> StreamingQuery:
-    """Start the stream; ``available_now`` takes in what has landed, then stops.
+                 available_now: bool = True, state_store: str = ROCKSDB, count_state: bool = True) -> StreamingQuery:
+    """Start the stream; ``available_now`` takes in what has landed, then stops. Without
+    ``count_state`` its progress does not tell how many rows the state has, and it runs faster.
 
     State lies in the checkpoint folder, so it must be on shared storage and kept between runs.
     """
-    before = spark.conf.get(STATE_STORE)
-    spark.conf.set(STATE_STORE, state_store)  # read when the query starts
+    settings = {STATE_STORE: state_store, COUNT_STATE: str(count_state).lower()}  # read when the query starts
+    before = {name: spark.conf.get(name, None) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
     try:
         lines = spark.readStream.schema(LANDED_LINES).parquet(landing)
         writer = rollup(lines, lateness).writeStream.outputMode("append").foreachBatch(
@@ -84,7 +89,11 @@ def start_rollup(spark: SparkSession, landing: str, root: str, checkpoint: str,
         writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
         return writer.start()
     finally:
-        spark.conf.set(STATE_STORE, before)
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
 
 
 def dropped_late(query: StreamingQuery) -> int:
