@@ -490,8 +490,13 @@ def _bucketed_directory(view):
 
     def run(spark, sf):
         t, version = _tables(spark, sf), source_fingerprint(spark, sf)
-        folder = derived(spark, f"{scratch_root(spark)}/claimscope/catalog/{version}", lambda to: catalog.write_tables(t, to))
-        tables = catalog.open_tables(spark, folder, folder[-12:])
+        opened = {}
+        for name in catalog.tables_of(view):
+            home = f"{scratch_root(spark)}/claimscope/catalog/{version}/{name}"
+            folder = derived(spark, home, lambda to, name=name: catalog.write_table(t, name, f"{to}/{name}"))
+            key, schema = catalog.TABLES[name]
+            opened[name] = catalog.register(spark, f"claimscope_{name}_{folder[-12:]}", f"{folder}/{name}", key, schema)
+        tables = catalog.Bucketed(**opened)
         return _out(dirs.directory(tables.claims_for(view, t.claims), t.reference, tables.registry, EVERY_STATE, view))
 
     return run

@@ -35,8 +35,8 @@ class Bucketed:
     """Opened tables: the registry by npi, summaries by billing_npi and by servicing_npi."""
 
     registry: DataFrame
-    billing: DataFrame
-    servicing: DataFrame
+    billing: DataFrame | None = None
+    servicing: DataFrame | None = None
 
     def claims_for(self, view: str, fact: DataFrame) -> DataFrame:
         """What the directory view aggregates; pairs of providers need the fact."""
@@ -69,13 +69,27 @@ def write_bucketed(df: DataFrame, path: str, key: str, buckets: int = BUCKETS) -
     spark.sql(f"DROP TABLE {name}")  # external: the files stay
 
 
-def write_tables(t: Tables, folder: str, buckets: int = BUCKETS) -> None:
+def tables_of(view: str) -> tuple[str, ...]:
+    """The tables that a directory view reads."""
+    return ("registry", view) if view in TABLES else ("registry",)
+
+
+def write_table(t: Tables, name: str, folder: str, buckets: int = BUCKETS) -> None:
     from claimscope.plans import prep
 
-    summary = t.summary if t.summary is not None else prep.provider_summary(t.claims)
-    made = {"registry": t.registry, "billing": summary, "servicing": servicing_summary(t.claims)}
-    for name, (key, schema) in TABLES.items():
-        write_bucketed(schemas.conform(made[name], schema, name), f"{folder}/{name}", key, buckets)
+    if name == "registry":
+        made = t.registry
+    elif name == "servicing":
+        made = servicing_summary(t.claims)
+    else:
+        made = t.summary if t.summary is not None else prep.provider_summary(t.claims)
+    key, schema = TABLES[name]
+    write_bucketed(schemas.conform(made, schema, name), folder, key, buckets)
+
+
+def write_tables(t: Tables, folder: str, buckets: int = BUCKETS) -> None:
+    for name in TABLES:
+        write_table(t, name, f"{folder}/{name}", buckets)
 
 
 def register(spark: SparkSession, name: str, path: str, key: str, schema: T.StructType, buckets: int = BUCKETS) -> DataFrame:
