@@ -6,9 +6,9 @@ Billing providers get dense numbers, those of one practice state next to each ot
 several codes or months count once, as COUNT(DISTINCT) over the fact would.
 
 A cell touches the few buckets of its state's providers, so the table grows with cells, not
-with providers times cells, and its bitmaps end at their last set byte. Both aggregation steps
-pre-aggregate before the shuffle; numbering ranks within hashed parts of a state, and only the
-parts' sizes (states x PARTS rows) are added up in one place.
+with providers times cells, and its bitmaps end at their last set byte. A cell's rows of one
+bucket (at most 32,768 providers) meet in one task. Numbering ranks within hashed parts of a state, and only the parts' sizes
+(states x PARTS rows) are added up in one place.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ from claimscope.operators.joins import with_reference
 from claimscope.plans.reports import MEASURES, NO_FILTER, _by_claims, sorted_small
 from claimscope.sources.schemas import MONEY
 
+ORDER = ("claim_year", "practice_state", "code", "month", "bucket")
 CELL = ("code", "practice_state", "month", "claim_year")
 SUMS = ("total_claims", "total_unique_beneficiaries", "total_paid")
 #: Hashed parts of a state's providers that are ranked side by side.
@@ -46,13 +47,14 @@ def provider_numbers(claims: DataFrame) -> DataFrame:
 def provider_cells(claims: DataFrame, numbers: DataFrame) -> DataFrame:
     """CELL, bucket, providers (bitmap), sums: one row per cell and bucket of provider numbers.
 
-    The fact is first summed by provider and cell, so a provider with a third of all rows
-    joins its number once per cell.
+    A bitmap under construction has 4 KB whatever it holds. So a cell's rows meet first, dealt by
+    the order that the cells are written in, and no bitmap is made per cell and task, shuffled
+    and sorted. A provider sets its bit as often as it has rows in the cell.
     """
-    by_provider = claims.groupBy("billing_npi", *CELL).agg(*(F.sum(c).alias(c) for c in SUMS))
-    numbered = by_provider.join(numbers, "billing_npi")
+    numbered = claims.select("billing_npi", *CELL, *SUMS).join(numbers, "billing_npi")
+    dealt = numbered.withColumn("bucket", F.bitmap_bucket_number("number")).repartitionByRange(*ORDER)
     at = F.bitmap_bit_position("number")
-    cells = numbered.groupBy(*CELL, F.bitmap_bucket_number("number").alias("bucket")).agg(
+    cells = dealt.groupBy(*CELL, "bucket").agg(
         F.bitmap_construct_agg(at).alias("bits"), F.max(at).alias("last"),
         *(F.sum(c).alias(c) for c in SUMS[:2]), F.sum("total_paid").cast(MONEY).alias("total_paid"),
     )
@@ -61,10 +63,8 @@ def provider_cells(claims: DataFrame, numbers: DataFrame) -> DataFrame:
 
 
 def write_cells(cells: DataFrame, path: str) -> None:
-    """Partitioned by year and clustered by state and code, like the fact."""
-    order = ("claim_year", "practice_state", "code", "month", "bucket")
-    rows = cells.repartitionByRange(*order).sortWithinPartitions(*order)
-    rows.write.partitionBy("claim_year").option("compression", "zstd").parquet(path)
+    """Partitioned by year and clustered by state and code, like the fact; :func:`provider_cells` dealt the rows so."""
+    cells.sortWithinPartitions(*ORDER).write.partitionBy("claim_year").option("compression", "zstd").parquet(path)
 
 
 def load_cells(spark, path: str) -> DataFrame:
