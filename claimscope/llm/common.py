@@ -67,6 +67,11 @@ def per_worker(key: tuple, make: Callable[[], Any]) -> Any:
     return held[key]
 
 
+def free_worker() -> None:
+    """Let go what earlier tasks of this Python worker kept (:func:`per_worker`): another step's caches only take memory."""
+    sys.__dict__.pop("_claimscope_llm", None)
+
+
 @contextmanager
 def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
     """Let jobs that run inside hand texts to workers so many rows at a time, for less memory on both sides."""

@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from claimscope.llm.common import free_worker
+
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -34,7 +36,7 @@ def words_of(text: str | None) -> list[str]:
 START = "▁"  # fixed value: the vocabulary's mark of a word's first piece
 SMOOTHING = 0.1
 UNDETERMINED = "und"
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 400_000
 BASE = 0x9E3779B97F4A7C15  # multiplier of the rolling hash
 SPREAD = 0xD6E8FEB86659FD93  # multiplier that spreads hashes over the table
 #: Words below this length are scored together.
@@ -94,6 +96,7 @@ def count_pieces(docs: DataFrame, vocabulary: str) -> DataFrame:
     """(lang, piece, n) over the words of all texts with a language."""
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        free_worker()
         pieces, counts = Pieces(vocabulary), {}
         for pdf in batches:
             for lang, texts in pdf.groupby("lang")["text"]:
@@ -253,6 +256,7 @@ def identify(docs: DataFrame, vocabulary: str, model: Model) -> DataFrame:
     handle = docs.sparkSession.sparkContext.broadcast((model.languages, model.logp, model.prior))
 
     def identified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        free_worker()
         known = Model(*handle.value)
         scorer = WordScorer(vocabulary, known)
         for batch in batches:

@@ -15,7 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from claimscope.llm import bpe, chat, language, token_files
+from claimscope.llm import bpe, chat, common, language, token_files
 from claimscope.llm.common import new_folder
 from llm_docs import docs  # noqa: F401
 from pyspark.sql import functions as F
@@ -297,3 +297,13 @@ def test_number_signs_are_no_letters(spark, docs):  # noqa: F811
     model = language.fit(frame, PIECES, F.col("doc_id") > 1)
     got = {r.doc_id: (r.lang_pred, r.score) for r in language.identify(frame, PIECES, model).collect()}
     assert got[1] == ("und", 0.0) and got[4][0] != "und"
+
+
+def test_worker_lets_go_what_another_step_kept():
+    made = []
+    keep = lambda: common.per_worker(("some", "encoder"), lambda: made.append(1) or [0])
+    assert keep() is keep() and len(made) == 1
+    common.free_worker()
+    common.free_worker()  # nothing is kept: no fault
+    assert keep() == [0] and len(made) == 2
+    common.free_worker()
