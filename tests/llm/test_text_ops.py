@@ -61,6 +61,39 @@ def test_small_caches_change_nothing(lib, monkeypatch):
     assert got == want
 
 
+WIDE = PARTS + list("\x00\x0b\x1c\x85×жªʰ٣”…ß") + ["\u2003", "\u2028", "\u202f", "\u205f", "\u1680", "\u200b", " a", " é,", " 12.", "\u0301,"]
+
+
+def test_parts_next_to_any_blank_or_mark(lib, encoder):
+    """Texts encoded together come out as the library encodes each alone."""
+    rng = random.Random(11)
+    for _ in range(150):
+        texts = ["".join(rng.choice(WIDE) for _ in range(rng.choice([0, 1, 2, 5, 30]))) for _ in range(20)]
+        got = [np.frombuffer(b, dtype="<u4").tolist() for b in encoder.encode(texts)]
+        assert got == [lib.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_parts_that_came_again_are_kept_among_many_others(lib):
+    """Words seen once do not push out those that came again; the library does not get these a second time."""
+
+    class Counting:
+        seen = 0
+
+        def encode_batch_fast(self, texts, **options):
+            Counting.seen += sum(map(len, texts))
+            return lib.encode_batch_fast(texts, **options)
+
+    encoder = token_files.PartEncoder(BYTE_BPE)
+    often = " ".join(f"often{i}" for i in range(2_000))
+    encoder.encode([often, often])
+    for k in (1, 2, 3):
+        encoder.encode([" ".join(f"x{i:x}y{k}" for i in range(160_000))])
+    encoder.lib = Counting()
+    got = encoder.encode([often, often + "."])
+    assert Counting.seen < 100
+    assert [np.frombuffer(b, dtype="<u4").tolist() for b in got] == [lib.encode(t, add_special_tokens=False).ids for t in (often, often + ".")]
+
+
 def test_long_piece(lib, counter):
     text = "ab" * 60_000
     assert counter.count(text) == len(lib.encode(text, add_special_tokens=False).ids)
