@@ -69,7 +69,10 @@ def per_worker(key: tuple, make: Callable[[], Any]) -> Any:
 
 def free_worker() -> None:
     """Let go what earlier tasks of this Python worker kept (:func:`per_worker`): another step's caches only take memory."""
+    import pyarrow as pa
+
     sys.__dict__.pop("_claimscope_llm", None)
+    pa.default_memory_pool().release_unused()
 
 
 @contextmanager

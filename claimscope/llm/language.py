@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimscope.llm.common import free_worker
+from claimscope.llm.common import arrow_rows, free_worker, staged
 
 LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -36,7 +36,9 @@ def words_of(text: str | None) -> list[str]:
 START = "▁"  # fixed value: the vocabulary's mark of a word's first piece
 SMOOTHING = 0.1
 UNDETERMINED = "und"
-CACHED_WORDS = 400_000
+CACHED_WORDS = 250_000
+#: Texts in one Arrow batch, and distinct words that are counted before their pieces are.
+TEXTS, HELD_WORDS = 500, 200_000
 BASE = 0x9E3779B97F4A7C15  # multiplier of the rolling hash
 SPREAD = 0xD6E8FEB86659FD93  # multiplier that spreads hashes over the table
 #: Words below this length are scored together.
@@ -97,19 +99,28 @@ def count_pieces(docs: DataFrame, vocabulary: str) -> DataFrame:
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         free_worker()
-        pieces, counts = Pieces(vocabulary), {}
+        pieces, counts, held = Pieces(vocabulary), {}, {}
+
+        def add(lang: str, words: Counter) -> None:
+            total = counts.setdefault(lang, np.zeros(pieces.size))
+            distinct = list(words)
+            for k in range(0, len(distinct), 5000):
+                part = distinct[k : k + 5000]
+                ids = pieces.lib.encode(part, num_threads=1)
+                flat = np.fromiter((i for x in ids for i in x), dtype=np.int64)
+                np.add.at(total, flat, np.repeat([words[w] for w in part], [len(x) for x in ids]))
+
         for pdf in batches:
             for lang, texts in pdf.groupby("lang")["text"]:
-                words = Counter()
+                words = held.setdefault(lang, Counter())
                 for t in texts:
                     words.update(words_of(t))
-                total = counts.setdefault(lang, np.zeros(pieces.size))
-                distinct = list(words)
-                for k in range(0, len(distinct), 5000):
-                    part = distinct[k : k + 5000]
-                    ids = pieces.lib.encode(part, num_threads=1)
-                    flat = np.fromiter((i for x in ids for i in x), dtype=np.int64)
-                    np.add.at(total, flat, np.repeat([words[w] for w in part], [len(x) for x in ids]))
+            if sum(map(len, held.values())) > HELD_WORDS:
+                for lang, words in held.items():
+                    add(lang, words)
+                held = {}
+        for lang, words in held.items():
+            add(lang, words)
         for lang, total in counts.items():
             used = np.flatnonzero(total)
             yield pd.DataFrame({"lang": lang, "piece": used, "n": total[used]})
@@ -130,7 +141,8 @@ def fit(docs: DataFrame, vocabulary: str, allowed: Column, smoothing: float = SM
     train = docs.where(allowed)
     size = Pieces(vocabulary).size
     # At most (languages x vocabulary) rows, whatever the number of documents.
-    counts = count_pieces(train, vocabulary).toPandas()
+    with arrow_rows(docs.sparkSession, TEXTS):
+        counts = count_pieces(train, vocabulary).toPandas()
     languages = sorted(counts["lang"].unique())
     n = np.zeros((size, len(languages)))
     n[counts["piece"].to_numpy(), counts["lang"].map({x: k for k, x in enumerate(languages)}).to_numpy(dtype=int)] = counts["n"]
@@ -250,7 +262,8 @@ def identify(docs: DataFrame, vocabulary: str, model: Model) -> DataFrame:
 
     A null text, and one without a letter, is ``und`` with score 0; so is every text when
     nothing was learned. Equal scores go to the language that comes first. Other columns
-    are ignored; an empty table gives an empty result.
+    are ignored; an empty table gives an empty result. The verdicts are written here, while
+    workers get few texts at a time.
     """
     # Plain arrays: at most (languages x vocabulary) numbers.
     handle = docs.sparkSession.sparkContext.broadcast((model.languages, model.logp, model.prior))
@@ -259,20 +272,19 @@ def identify(docs: DataFrame, vocabulary: str, model: Model) -> DataFrame:
         free_worker()
         known = Model(*handle.value)
         scorer = WordScorer(vocabulary, known)
-        for batch in batches:
-            for k in range(0, len(batch), 2500):
-                pdf = batch.iloc[k : k + 2500]
-                counts = [Counter(words_of(t)) for t in pdf["text"]]
-                pred, score = [UNDETERMINED] * len(pdf), np.zeros(len(pdf))
-                if known.languages:
-                    total = scorer.texts(counts) + known.prior
-                    total -= total.max(axis=1, keepdims=True)
-                    best = total.argmax(axis=1)
-                    post = 1.0 / np.exp(total).sum(axis=1)
-                    for i, c in enumerate(counts):
-                        if c:
-                            pred[i], score[i] = known.languages[best[i]], post[i]
-                yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "text_hash": pdf["text_hash"], "lang_pred": pred, "score": score})
+        for pdf in batches:
+            counts = [Counter(words_of(t)) for t in pdf["text"]]
+            pred, score = [UNDETERMINED] * len(pdf), np.zeros(len(pdf))
+            if known.languages:
+                total = scorer.texts(counts) + known.prior
+                total -= total.max(axis=1, keepdims=True)
+                best = total.argmax(axis=1)
+                post = 1.0 / np.exp(total).sum(axis=1)
+                for i, c in enumerate(counts):
+                    if c:
+                        pred[i], score[i] = known.languages[best[i]], post[i]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "text_hash": pdf["text_hash"], "lang_pred": pred, "score": score})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    return rows.mapInPandas(identified, "doc_id long, text_hash long, lang_pred string, score double")
+    with arrow_rows(docs.sparkSession, TEXTS):
+        return staged(rows.mapInPandas(identified, "doc_id long, text_hash long, lang_pred string, score double"), "languages")

@@ -226,6 +226,25 @@ def test_characters_outside_the_vocabulary_do_not_underflow(spark, docs):
     assert got[1].lang_pred == "en" and got[2].lang_pred == "de" and all(0.5 < r.score <= 1 for r in got.values())
 
 
+def test_language_takes_few_texts_at_a_time(spark, docs, monkeypatch):
+    """The size of the Arrow batches bounds what a worker and its executor hold; results do not depend on it."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, sizes = spark.conf.get(name), []
+    rows = [(i, f"the dog and cat {i} " * 3) for i in range(700)] + [(900 + i, f"der Hund und die Katze {i}") for i in range(700)]
+    model = _model(spark, docs)
+    want = sorted(language.identify(docs(rows), PIECES, model).collect())
+    kept = language.staged
+    monkeypatch.setattr(language, "staged", lambda df, n: sizes.append(int(spark.conf.get(name))) or kept(df, n))
+    monkeypatch.setattr(language, "TEXTS", 7)
+    got = sorted(language.identify(docs(rows).coalesce(1), PIECES, model).collect())
+    assert sizes == [7] and spark.conf.get(name) == before
+    assert [(r.doc_id, r.text_hash, r.lang_pred) for r in got] == [(r.doc_id, r.text_hash, r.lang_pred) for r in want]
+    assert np.allclose([r.score for r in got], [r.score for r in want], rtol=1e-9)
+    monkeypatch.setattr(language, "HELD_WORDS", 3)
+    few = _model(spark, docs)
+    assert few.languages == model.languages and np.array_equal(few.logp, model.logp) and np.array_equal(few.prior, model.prior)
+
+
 def model_allowed():
     from pyspark.sql import functions as F
 
