@@ -87,7 +87,9 @@ def scanned(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, broadcast_b
         # document's row.
         marked = texts.withColumn("ws", F.concat(F.array(F.lit("")), "ws"))
         spread = marked.select("doc_id", "text_hash", "ws", F.posexplode_outer("ws").alias("pos", "word"))
-        mark = keyed.sparkSession.createDataFrame([("", 0, None, None)], keyed.schema)
+        # Made of literals: rows from the driver would start Python workers, which stay beside the others' for a while.
+        values = {"word": F.lit(""), "offset": F.lit(0)}
+        mark = keyed.sparkSession.range(1).select(*(values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in keyed.schema))
         fits = (first >= 1) & (first + length <= F.size("ws"))
         held = F.when(F.col("window_id").isNull(), True).when(fits, same(F.col("ws"))).otherwise(False)
         rows = spread.join(F.broadcast(keyed.unionByName(mark)), "word").where(held).select(

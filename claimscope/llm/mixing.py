@@ -199,14 +199,18 @@ def copies(rate: Column, at: Column) -> Column:
 
 
 def rated(p: list[Column], pulls: list[np.ndarray]) -> Column:
-    """The rate of rows with posteriors ``p``."""
+    """The rate of rows with posteriors ``p``.
+
+    Declared as not deterministic, so that a filter on it is not moved in front of its column:
+    it would be computed twice, by two more Python workers an executor.
+    """
 
     @F.pandas_udf("double")
     def rate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
         for columns in batches:
             yield pd.Series(rates(columns.to_numpy(), pulls)[0])
 
-    return rate(F.struct(*p))
+    return rate.asNondeterministic()(F.struct(*p))
 
 
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, budget: float = BUDGET) -> tuple[DataFrame, Classifier, Mix]:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from claimscope.llm.common import staged
+from claimscope.llm.common import arrow_rows, free_worker, staged
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -37,7 +37,8 @@ BANDS, ROWS = 25, 5
 #: Hub rounds over band buckets before the documents left go to the prefix join.
 HUB_ROUNDS = 2
 WORD = re.compile(r"\w+")
-CACHED_WORDS = 500_000
+#: Texts, or pairs of shingle sets, in one Arrow batch: what a worker and its executor hold at a time.
+TEXTS = 250
 BROADCAST_BYTES = 64 << 20
 
 U = np.uint64
@@ -55,15 +56,12 @@ class Shingler:
     """Weighted shingle sets of texts, as (owner, shingle hash, weight) arrays."""
 
     def __init__(self, size: int = SHINGLE):
-        self.size, self.known = size, {}
+        self.size = size
 
     def _hashes(self, words: list[list[str]]) -> np.ndarray:
-        if len(self.known) > CACHED_WORDS:
-            self.known = {}
-        fresh = list({w for ws in words for w in ws if w not in self.known})
-        if fresh:
-            self.known.update(zip(fresh, pd.util.hash_array(np.array(fresh, dtype=object), categorize=False).tolist()))
-        return np.fromiter((self.known[w] for ws in words for w in ws), dtype=U)
+        """Hashes of all words in a row; each distinct one is hashed once."""
+        flat = [w for ws in words for w in ws]
+        return pd.util.hash_array(np.array(flat, dtype=object), categorize=True) if flat else np.zeros(0, dtype=U)
 
     def sets(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(owner, shingle, weight) sorted by owner and shingle, and each text's content hash (n x 2).
@@ -143,11 +141,12 @@ def content_and_bands(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) ->
     """(doc_id, c1, c2, bands): content hash and band keys; all null for a text without words."""
 
     def signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        free_worker()
         shingler = Shingler()
         salt = mixed(np.arange(1, bands + 1, dtype=U) * GOLDEN)
         for batch in batches:
-            for k in range(0, len(batch), 1000):
-                pdf = batch.iloc[k : k + 1000]
+            for k in range(0, len(batch), TEXTS):
+                pdf = batch.iloc[k : k + TEXTS]
                 owner, shingle, weight, content = shingler.sets(pdf["text"].tolist())
                 sig = signatures(owner, shingle, weight, len(pdf), bands * rows).reshape(len(pdf), bands, rows)
                 key = np.broadcast_to(salt, (len(pdf), bands)).copy()
@@ -177,10 +176,11 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     """
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        free_worker()
         shingler = Shingler()
         for batch in batches:
-            for k in range(0, len(batch), 500):
-                pdf = batch.iloc[k : k + 500]
+            for k in range(0, len(batch), TEXTS):
+                pdf = batch.iloc[k : k + TEXTS]
                 owner, shingle, weight, _ = shingler.sets(pdf["text"].tolist())
                 cuts = np.searchsorted(owner, np.arange(1, len(pdf)))
                 yield pd.DataFrame(
@@ -200,6 +200,7 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """Those (a, b) of ``pairs`` whose exact J_P is at least ``threshold``."""
 
     def similar(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        free_worker()
         for pdf in batches:
             keep = [
                 probability_jaccard(x.view(U), u.astype(float), y.view(U), v.astype(float)) >= threshold - 1e-9
@@ -295,7 +296,8 @@ def linked(members: DataFrame, sets: DataFrame, threshold: float, rounds: int =
             members = staged(members, "members")
         else:
             pairs = prefix_pairs(left, sets, threshold)
-        found = staged(verified(pairs, sets, threshold), "found")
+        with arrow_rows(members.sparkSession, TEXTS):
+            found = staged(verified(pairs, sets, threshold), "found")
         if not found.isEmpty():
             links = found if links is None else links.union(found)
             label = components(links)
@@ -311,7 +313,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     belong to one document and share its class; a row without doc_id takes the class of
     an equal text, or null. Other columns are ignored; an empty table gives no rows.
     """
-    signed = staged(content_and_bands(docs), "signed")
+    with arrow_rows(docs.sparkSession, TEXTS):
+        signed = staged(content_and_bands(docs), "signed")
     named = signed.where(F.col("doc_id").isNotNull() & F.col("c1").isNotNull())
     # One node per content: the least doc_id that has it.
     contents = staged(named.groupBy("c1", "c2").agg(F.min("doc_id").alias("node")), "contents")
@@ -332,7 +335,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(nodes, "node", "left_semi")
     # Repeated rows count once; an id with several texts has a set for each.
     texts = texts.groupBy("node", F.xxhash64("text")).agg(F.any_value("text").alias("text")).select("node", "text")
-    sets = staged(shingle_sets(texts), "sets")
+    with arrow_rows(docs.sparkSession, TEXTS):
+        sets = staged(shingle_sets(texts), "sets")
     label = linked(members, sets, threshold)
     ties = staged(shared.where("a <> b").select("a", "b"), "ties")
     if not ties.isEmpty():

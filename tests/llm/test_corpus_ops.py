@@ -134,6 +134,29 @@ def test_near_copies_edge_cases(docs):
     assert neardup.near_duplicates(docs([])).collect() == []
 
 
+def test_near_copies_take_few_texts_at_a_time(spark, docs, monkeypatch):
+    """Each step with Python workers bounds their Arrow batches; classes do not depend on the bound."""
+    rng = random.Random(15)
+    base = prose(rng, 100)
+    rows = [(i, edited(rng, base, rng.randint(0, 4))) for i in range(30)] + [(100 + i, prose(rng, 40)) for i in range(30)]
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, sizes, kept = spark.conf.get(name), {}, neardup.staged
+    monkeypatch.setattr(neardup, "TEXTS", 7)
+    monkeypatch.setattr(neardup, "staged", lambda df, n: sizes.setdefault(n, set()).add(int(spark.conf.get(name))) or kept(df, n))
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicates(docs(rows).coalesce(1)).collect()}
+    assert got == _brute_classes(rows)
+    assert sizes["signed"] == sizes["sets"] == sizes["found"] == {7} and spark.conf.get(name) == before
+
+
+def test_words_are_hashed_alike_wherever_they_stand():
+    shingler = neardup.Shingler(1)
+    texts = ["été a b a", "b été", "", "a " * 300, None]
+    owner, h, _, content = shingler.sets(texts)
+    alone = {w: neardup.Shingler(1).sets([w])[1][0] for w in ("été", "a", "b")}
+    assert {(int(o), x) for o, x in zip(owner, h)} == {(k, alone[w]) for k, t in enumerate(texts) for w in (t or "").split()}
+    assert not content[[2, 4]].any() and not vars(shingler).keys() - {"size"}  # no words are kept from text to text
+
+
 # ---------------------------------------------------------------- SQL oracles
 
 
@@ -186,6 +209,14 @@ def test_native_operators_run_no_python(spark, docs):
         assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def test_contamination_sends_no_rows_through_python(spark, docs, monkeypatch):
+    frame, bench = docs([(1, "x a b c"), (2, "d")]), spark.createDataFrame([(1, "a b c")], "item_id long, text string")
+    frame, bench = (common.staged(x, "given") for x in (frame, bench))
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda *a, **b: pytest.fail("rows made in the driver"))
+    found = decontaminate.contamination(frame, bench).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_hit) for r in found) == [(1, 4, 3), (2, 1, 0)]
+
+
 # ---------------------------------------------------------------- rules
 
 
@@ -370,3 +401,11 @@ def test_mixing_cases(spark, docs):
     assert {r.rate for r in plain} == {1.0} and len(plain) == 94
     assert mixing.resampled(frame, labels.limit(0)).count() == 94
     assert len(textstats.features("a b")) == len(textstats.NAMES)
+
+
+def test_rates_are_computed_once(spark, docs):
+    """A second evaluation below a filter would keep two more Python workers an executor for the stages after it."""
+    texts = [(i, ("plain words in a line " * 12) if i % 3 else "### $$$ %%% &&& " * 20) for i in range(60)]
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    again = mixing.resampled(docs(texts), labels, {"1,0": 0.9, "0,0": 0.1}, 1.0)
+    assert again._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
