@@ -34,10 +34,11 @@ from claimscope.operators import filters as flt
 from claimscope.operators.filters import ClaimsFilter
 from claimscope.plans import bitmaps, kpis, prep, reports
 from claimscope.plans import directory as dirs
+from claimscope.session import settings
 from claimscope.sinks import csv as csv_sink
 from claimscope.sinks import tables as table_sink
 from claimscope.sinks import text_index
-from claimscope.sources import catalog, schemas, testtables
+from claimscope.sources import catalog, schemas, storage, testtables
 from claimscope.sources.loaders import load_claims
 from claimscope.sources.warehouse import derived, drop_folder, open_test_tables, scratch_root, source_fingerprint
 from claimscope.streaming import publish, rollup
@@ -453,16 +454,21 @@ def _q_stream_rollup(spark, sf):
     home = f"{scratch_root(spark)}/claimscope/rollups/{source_fingerprint(spark, sf)}"
     drop_folder(spark, home)  # earlier runs
     run = f"{home}/{uuid.uuid4().hex[:12]}"
-    testtables.landed_lines(spark, sf).write.parquet(f"{run}/lines")  # joined once, not for every arrival
-    lines = spark.read.schema(rollup.LANDED_LINES).parquet(f"{run}/lines")
-    dropped = 0
-    for arrival in testtables.arrivals(lines):
-        arrival.write.mode("append").parquet(f"{run}/landing")
+    with settings(spark, {rollup.DROP_SHUFFLED: "true", "spark.sql.maxConcurrentOutputFileWriters": "3"}):
+        # Joined and written once, not for every arrival; no sort to tell the arrivals apart.
+        dealt = testtables.in_arrivals(testtables.landed_lines(spark, sf)).write.partitionBy("arrival")
+        dealt.option("compression", "zstd").parquet(f"{run}/lines")
+    dealt_lines = T.StructType([*rollup.LANDED_LINES.fields, T.StructField("arrival", T.IntegerType())])
+    arrivals, dropped = testtables.arrivals(spark.read.schema(dealt_lines).parquet(f"{run}/lines")), 0
+    for k in range(len(arrivals)):  # each is the files of one folder
+        storage.move_files(spark, f"{run}/lines/arrival={k}", f"{run}/landing", f"{k}-")
         q = rollup.start_rollup(spark, f"{run}/landing", f"{run}/rolled", f"{run}/checkpoint", lateness=2, count_state=False)
         q.awaitTermination()
         dropped += rollup.dropped_late(q)
+    drop_folder(spark, f"{run}/checkpoint")  # nothing lands any more
     if dropped:
-        rollup.reconcile(spark, f"{run}/landing", f"{run}/rolled")
+        with settings(spark, {rollup.DROP_SHUFFLED: "true"}):
+            rollup.reconcile(spark, f"{run}/landing", f"{run}/rolled")
     return _out(rollup.load_rollup(spark, f"{run}/landing", f"{run}/rolled"))
 
 

@@ -84,6 +84,17 @@ def exists(spark: SparkSession, path: str) -> bool:
     return bool(system.exists(target))
 
 
+def move_files(spark: SparkSession, folder: str, into: str, prefix: str) -> None:
+    """Move the data files of ``folder`` into ``into`` with ``prefix`` before their names; no folder, no files."""
+    system, source = _path(spark, folder)
+    _, target = _path(spark, into)
+    system.mkdirs(target)
+    for found in system.listStatus(source) if system.exists(source) else []:
+        name = found.getPath().getName()
+        if not name.startswith(("_", ".")) and not system.rename(found.getPath(), _path(spark, f"{into}/{prefix}{name}")[1]):
+            raise OSError(f"cannot move {found.getPath()} into {into}")
+
+
 def drop(spark: SparkSession, path: str) -> None:
     """Delete a file or folder if it is there."""
     system, target = _path(spark, path)

@@ -127,15 +127,21 @@ def code_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def claim_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return schemas.conform(landed_lines(spark, sf_dir), schemas.CLAIM_LINES, "claim_lines")
+    return schemas.conform(_lines(spark, sf_dir, paid_first=True), schemas.CLAIM_LINES, "claim_lines")
 
 
 def landed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Claim lines with the line number that the publisher gives them."""
+    return _lines(spark, sf_dir, paid_first=False)
+
+
+def _lines(spark: SparkSession, sf_dir: str, paid_first: bool) -> DataFrame:
+    """``paid_first``: the amount goes through the joins' shuffles, not price and discount. Where the line
+    id takes the price along anyway, the discount is the smaller one to add."""
+    paid = (F.col("l_extendedprice") * (F.lit(1) - F.col("l_discount"))).cast("decimal(18,4)").alias("paid")
     li = read(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_shipdate",
-        # Ahead of the joins: one number goes through the shuffle, not price and discount.
-        (F.col("l_extendedprice") * (F.lit(1) - F.col("l_discount"))).cast("decimal(18,4)").alias("paid"),
+        paid if paid_first else "l_discount",
     )
     orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     part = read(spark, sf_dir, "part").select("p_partkey", "p_brand")
@@ -154,18 +160,25 @@ def landed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("l_orderkey") % 97 != 0, F.date_format("l_shipdate", "yyyy-MM")).alias("month"),
         F.round(F.col("l_quantity")).cast("bigint").alias("claims"),
         F.col("o_custkey").cast("string").alias("beneficiary_id"),
-        "paid",
+        "paid" if paid_first else paid,
     )
 
 
-def arrivals(lines: DataFrame) -> list[DataFrame]:
-    """All lines in three arrivals, by year. Some lines of an arrival's last month come one
+def in_arrivals(lines: DataFrame) -> DataFrame:
+    """All lines in three arrivals (``arrival``), by year. Some lines of an arrival's last month come one
     arrival late, some of the first year come with the last arrival, some come twice."""
     year, part = F.substring("month", 1, 4), F.pmod(F.xxhash64("line_id"), F.lit(10))
     due = F.when(year <= "1994", 0).when(year <= "1996", 1).otherwise(2)
     at_end = F.col("month").isin("1994-12", "1996-12")
     due = F.when(at_end & (part == 1), due + 1).when((year <= "1993") & (part == 2), 2).otherwise(due)
-    return [lines.where((due == k) | ((part == 3) & (due == k - 1))) for k in range(3)]
+    twice = (part == 3) & (due < 2)
+    return lines.withColumn("arrival", F.explode(F.when(twice, F.array(due, due + 1)).otherwise(F.array(due))))
+
+
+def arrivals(lines: DataFrame) -> list[DataFrame]:
+    """The three arrivals of :func:`in_arrivals`, one by one; lines that have their arrival already keep it."""
+    dealt = lines if "arrival" in lines.columns else in_arrivals(lines)
+    return [dealt.where(F.col("arrival") == k).drop("arrival") for k in range(3)]
 
 
 def claims_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,20 +1,25 @@
 """Monthly rollup of raw claim lines as a stateful stream.
 
-Claim lines land in any order, late and repeated. Three stateful operators, all built in, turn
-them into the rows of ``prep.monthly_rollup``:
+Claim lines land in any order, late and repeated. Two stateful operators, both built in, and a
+sum over what they let go turn them into the rows of ``prep.monthly_rollup``:
 
 1. lines are taken once each (key: line id and claim month);
 2. lines of one beneficiary in one rollup group are added up. The state keyed by (group,
    beneficiary) *is* the group's exact beneficiary set: spread over all state partitions by its
    key, so a provider with a third of all lines has no task of its own, and no set is ever
    gathered in one place;
-3. groups count their beneficiaries and add up their sums, partially before the shuffle.
+3. groups count their beneficiaries and add up their sums, partially before the shuffle. All
+   people of a month leave the state in one micro-batch, so this needs no state of its own.
 
 Event time is the first day of the claim month. The watermark trails the newest month by
 ``lateness`` months; a month that falls behind it is closed: its rows are emitted once, and
 its state is dropped. The sink writes each micro-batch to a folder keyed by its batch id, so a
 replayed batch overwrites itself.
 
+What a run leaves on disk is bounded: the checkpoint keeps the state of the last two
+micro-batches, shuffled lines go with their micro-batch, and a run that stops when all is taken
+in (``available_now``) keeps no second copy of its state on the workers.
+
 Nothing is lost to the watermark: lines that come after their month was closed are dropped by
 the stream (Spark counts them, :func:`dropped_late`), and :func:`reconcile` rolls those months up
 again from the landed lines. Undated lines have no event time and months still open are not
@@ -23,12 +28,14 @@ emitted yet; :func:`load_rollup` rolls both up from the landed lines when it is
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from claimscope.plans import prep
+from claimscope.session import settings
 from claimscope.sources import schemas, storage
 
 #: Claim lines as they land: with the publisher's line number, by which a repeated line is known.
@@ -40,34 +47,58 @@ GROUP = ("billing_npi", "servicing_npi", "code")
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 #: Keeps a count of the state's rows, for which every write looks its key up first.
 COUNT_STATE = "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows"
-#: Keeps state on local disk with changelogs in the checkpoint, beyond what executor memory holds.
+#: How many micro-batches the checkpoint goes back. Two: the last one, and the one it is repeated from.
+KEPT_BATCHES = "spark.sql.streaming.minBatchesToRetain"
+#: Takes old state out of the checkpoint and the workers' copy off their disks at the end of each task.
+UNLOAD_STATE = "spark.sql.streaming.stateStore.unloadOnCommit"
+#: Drops shuffled rows when the job that shuffled them ends, not when the driver happens to collect its garbage.
+DROP_SHUFFLED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+PACK_STATE = "spark.sql.streaming.stateStore.rocksdb.compression"
+#: Keeps state on local disk with a copy in the checkpoint, beyond what executor memory holds.
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def landed(spark: SparkSession, landing: str) -> DataFrame:
-    """All landed lines, each once (a line id stands for one line of one month)."""
-    return spark.read.schema(LANDED_LINES).parquet(landing).dropDuplicates(["line_id", "month"])
+def landed(spark: SparkSession, landing: str, months: Sequence[str] | None = None) -> DataFrame:
+    """All landed lines, or those of some months, each once (a line id stands for one line of one month)."""
+    lines = spark.read.schema(LANDED_LINES).parquet(landing)
+    if months is not None:
+        lines = lines.where(F.col("month").isin(*months))
+    return lines.dropDuplicates(["line_id", "month"])
 
 
-def rollup(lines: DataFrame, lateness: int) -> DataFrame:
-    """Streaming lines -> rows of ROLLED, each emitted when its month is closed."""
-    month_start = F.to_timestamp(F.concat("month", F.lit("-01")), "yyyy-MM-dd")
-    timed = lines.where(F.col("month").isNotNull()).withColumn("month_start", month_start)
-    once = timed.withWatermark("month_start", f"{31 * lateness} days").dropDuplicates(["line_id", "month_start"])
-    people = once.groupBy(*GROUP, "month_start", "beneficiary_id").agg(
+def _add_up(lines: DataFrame, month: str) -> DataFrame:
+    """One row per group, beneficiary and ``month`` (name of the column that tells it)."""
+    return lines.groupBy(*GROUP, month, "beneficiary_id").agg(
         F.sum("claims").alias("claims"), F.sum("paid").alias("paid"), F.count(F.lit(1)).alias("lines")
     )
-    groups = people.groupBy(*GROUP, "month_start").agg(
+
+
+def people(lines: DataFrame, lateness: int) -> DataFrame:
+    """Streaming lines -> what each beneficiary adds to a group (``month_start``), all rows of a month when it is closed."""
+    month_start = F.to_timestamp(F.concat("month", F.lit("-01")), "yyyy-MM-dd")
+    timed = lines.where(F.col("month").isNotNull()).withColumn("month_start", month_start).drop("month")
+    once = timed.withWatermark("month_start", f"{31 * lateness} days").dropDuplicates(["line_id", "month_start"])
+    return _add_up(once, "month_start")
+
+
+def groups(people: DataFrame, month: str) -> DataFrame:
+    """All people of some months -> the sums of ROLLED."""
+    return people.groupBy(*GROUP, month).agg(
         F.sum("claims").cast("bigint").alias("total_claims"),
         F.count("beneficiary_id").alias("total_unique_beneficiaries"),
         F.round(F.sum("paid"), 2).cast(schemas.MONEY).alias("total_paid"),
         F.sum("lines").alias("lines"),
     )
-    return groups.withColumn("month", F.date_format("month_start", "yyyy-MM")).select(*ROLLED.fieldNames())
+
+
+def closed_months(people: DataFrame) -> DataFrame:
+    """The people that one micro-batch lets go -> rows of ROLLED."""
+    rolled = groups(people, "month_start").withColumn("month", F.date_format("month_start", "yyyy-MM"))
+    return rolled.select(*ROLLED.fieldNames())
 
 
 def _write(rows: DataFrame, batch_id: int, root: str) -> None:
-    rows.write.mode("overwrite").parquet(f"{root}/closed/batch={batch_id}")
+    rows.write.mode("overwrite").option("compression", "zstd").parquet(f"{root}/closed/batch={batch_id}")
 
 
 def start_rollup(spark: SparkSession, landing: str, root: str, checkpoint: str, lateness: int = 3,
@@ -77,23 +108,17 @@ def start_rollup(spark: SparkSession, landing: str, root: str, checkpoint: str,
 
     State lies in the checkpoint folder, so it must be on shared storage and kept between runs.
     """
-    settings = {STATE_STORE: state_store, COUNT_STATE: str(count_state).lower()}  # read when the query starts
-    before = {name: spark.conf.get(name, None) for name in settings}
-    for name, value in settings.items():
-        spark.conf.set(name, value)
-    try:
+    read_at_start = {
+        STATE_STORE: state_store, COUNT_STATE: str(count_state).lower(), KEPT_BATCHES: "2", PACK_STATE: "zstd",
+        UNLOAD_STATE: str(available_now).lower(), DROP_SHUFFLED: "true",
+    }
+    with settings(spark, read_at_start):
         lines = spark.readStream.schema(LANDED_LINES).parquet(landing)
-        writer = rollup(lines, lateness).writeStream.outputMode("append").foreachBatch(
-            lambda rows, batch_id: _write(rows, batch_id, root)
+        writer = people(lines, lateness).writeStream.outputMode("append").foreachBatch(
+            lambda rows, batch_id: _write(closed_months(rows), batch_id, root)
         ).option("checkpointLocation", checkpoint)
         writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
         return writer.start()
-    finally:
-        for name, value in before.items():
-            if value is None:
-                spark.conf.unset(name)
-            else:
-                spark.conf.set(name, value)
 
 
 def dropped_late(query: StreamingQuery) -> int:
@@ -122,33 +147,31 @@ def _closed(spark: SparkSession, root: str) -> DataFrame:
 
 def _roll(lines: DataFrame) -> DataFrame:
     """Batch rollup with the number of lines, as two steps like the stream."""
-    keys = [*GROUP, "month"]
-    people = lines.groupBy(*keys, "beneficiary_id").agg(
-        F.sum("claims").alias("claims"), F.sum("paid").alias("paid"), F.count(F.lit(1)).alias("lines")
-    )
-    return people.groupBy(*keys).agg(
-        F.sum("claims").cast("bigint").alias("total_claims"),
-        F.count("beneficiary_id").alias("total_unique_beneficiaries"),
-        F.round(F.sum("paid"), 2).cast(schemas.MONEY).alias("total_paid"),
-        F.sum("lines").alias("lines"),
-    ).select(*ROLLED.fieldNames())
+    return groups(_add_up(lines, "month"), "month").select(*ROLLED.fieldNames())
 
 
 def reconcile(spark: SparkSession, landing: str, root: str) -> list[str]:
     """Roll closed months up again whose landed lines are more than were counted; returns them.
 
-    An audit over all landed lines (two columns are read); call it when :func:`dropped_late`
-    says so. Running it again finds nothing and writes nothing.
+    An audit over all landed lines; call it when :func:`dropped_late` says so. Lines are counted
+    as they landed first (the month is read, nothing is shuffled): a month of no more lines than
+    were counted misses none. Line ids are compared in the other months only. Running it again
+    finds nothing and writes nothing.
     """
-    there = landed(spark, landing).where(F.col("month").isNotNull()).groupBy("month").agg(F.count(F.lit(1)).alias("there"))
-    counted = _closed(spark, root).groupBy("month").agg(F.sum("lines").alias("counted"))
-    short = [r["month"] for r in counted.join(there, "month").where("there <> counted").select("month").collect()]
+    counted = {r["month"]: r["n"] for r in _closed(spark, root).groupBy("month").agg(F.sum("lines").alias("n")).collect()}
+
+    def other(lines: DataFrame) -> list[str]:
+        there = lines.where(F.col("month").isNotNull()).groupBy("month").agg(F.count(F.lit(1)).alias("n")).collect()
+        return [r["month"] for r in there if r["n"] != counted.get(r["month"], r["n"])]
+
+    short = other(spark.read.schema(LANDED_LINES).parquet(landing))
+    if short:
+        short = other(landed(spark, landing, short))
     if short:
         run = 1
         while storage.exists(spark, f"{root}/again/run={run}"):
             run += 1
-        late = landed(spark, landing).where(F.col("month").isin(short))
-        _roll(late).write.parquet(f"{root}/again/run={run}")
+        _roll(landed(spark, landing, short)).write.option("compression", "zstd").parquet(f"{root}/again/run={run}")
     return sorted(short)
 
 

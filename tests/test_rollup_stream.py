@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import glob
+import os
+from collections import Counter
 from decimal import Decimal
 
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from claimscope.plans import prep
 from claimscope.sources import testtables
 from claimscope.streaming import rollup
@@ -141,3 +146,107 @@ def test_test_tables_in_arrivals_equal_batch(spark, tmp_path, name):
     rollup.reconcile(spark, s.landing, s.root)
     want = testtables.claims_monthly(spark, SF001)
     assert s.loaded() == rows(want.select(*s.names()))
+
+
+def test_checkpoint_keeps_two_batches_of_two_operators(spark, tmp_path):
+    s = Stream(spark, tmp_path, lateness=1)
+    for k in range(1, 6):
+        s.land([line(k, f"2020-{k:02d}", f"p{k}"), line(k + 10, f"2020-{k:02d}")]).run()
+    assert len(glob.glob(f"{s.checkpoint}/commits/[0-9]*")) <= 3  # one more may wait for its cleaning
+    assert {os.path.basename(op) for op in glob.glob(f"{s.checkpoint}/state/*")} == {"0", "1"}
+    for partition in glob.glob(f"{s.checkpoint}/state/[01]/[0-9]*"):
+        assert len(glob.glob(f"{partition}/*.zip")) <= 2
+    assert s.loaded() == s.batch() and len(s.batch()) == 5
+
+
+def test_failed_batch_is_repeated(spark, tmp_path, monkeypatch):
+    """A micro-batch that fails after its state was written starts again from the state before it."""
+    s, write, tries = Stream(spark, tmp_path, lateness=1), rollup._write, Counter()
+    s.land([line(k, f"2020-0{k % 3 + 1}", f"p{k % 4}") for k in range(12)]).run()
+
+    def fail_twice(rows, batch_id, root):
+        write(rows, batch_id, root)
+        tries[batch_id] += 1
+        if tries[batch_id] < 3:
+            raise RuntimeError("no room")
+
+    monkeypatch.setattr(rollup, "_write", fail_twice)
+    s.land([line(20, "2020-03", "p9"), line(3, "2020-01", "p3"), line(21, "2020-08"), line(22, "2020-09")])
+    for _ in range(4):
+        with pytest.raises(StreamingQueryException):
+            s.run()
+    s.run()
+    assert list(tries.values()) == [3, 3]  # the batch with lines and the one that closes their months
+    s.land([line(23, "2020-09", "p1"), line(24, "2020-12")])
+    tries.update({k: 3 for k in range(99)})
+    s.run()
+    assert {r["month"] for r in s.emitted().collect()} == {"2020-01", "2020-02", "2020-03", "2020-08", "2020-09"}
+    assert s.loaded() == s.batch()
+
+
+def worker_files(spark):
+    """Shuffled rows and files of state on the disks of the session's workers."""
+    env = spark._jvm.org.apache.spark.SparkEnv.get()
+    shuffled = [f for d in env.blockManager().diskBlockManager().localDirs() for f in glob.glob(f"{d.getPath()}/*/shuffle_*.data")]
+    state = glob.glob(f"{spark._jvm.org.apache.spark.util.Utils.getLocalDir(env.conf())}/StateStore*/**/*.sst", recursive=True)
+    return set(shuffled + state)
+
+
+def test_stream_leaves_nothing_on_worker_disks(spark, tmp_path):
+    s = Stream(spark, tmp_path, lateness=1)
+    s.land([line(1, "2020-01"), line(2, "2020-05"), line(3, "2020-05")])
+    before = worker_files(spark)
+    s.run()
+    assert worker_files(spark) <= before
+    assert s.loaded() == s.batch()
+
+
+def test_hot_month_rolled_from_all_its_partitions(spark, tmp_path):
+    """People of one group lie in all state partitions; the group is still one row, also with nulls in its keys."""
+    s = Stream(spark, tmp_path, lateness=1)
+    s.land([line(k, "2020-01", f"p{k % 50}", servicing=None if k % 2 else "9") for k in range(200)] + [line(500, "2020-04")]).run()
+    closed = {r["servicing_npi"]: (r["total_claims"], r["total_unique_beneficiaries"], r["lines"]) for r in s.emitted().collect()}
+    assert closed == {None: (200, 25, 100), "9": (200, 25, 100)} and s.emitted().count() == 2
+    assert s.loaded() == s.batch()
+
+
+def test_reconcile_compares_ids_of_short_months_only(spark, tmp_path, monkeypatch):
+    asked, landed = [], rollup.landed
+    monkeypatch.setattr(rollup, "landed", lambda spark, landing, months: asked.append(sorted(months)) or landed(spark, landing, months))
+    s = Stream(spark, tmp_path, lateness=1)
+    s.land([line(1, "2020-01"), line(2, "2020-02"), line(3, "2020-03"), line(4, "2020-09"), line(5, None)]).run()
+    assert rollup.reconcile(spark, s.landing, s.root) == [] and asked == []
+    # A line that is late and a line that only came twice.
+    s.land([line(6, "2020-02", "p6"), line(3, "2020-03")]).run()
+    assert rollup.reconcile(spark, s.landing, s.root) == ["2020-02"]
+    assert asked == [["2020-02", "2020-03"], ["2020-02"]]
+    assert s.loaded() == s.batch()
+
+
+def test_query_writes_each_arrival_once(spark, monkeypatch):
+    """Lines are moved where they land; their first folder, old state and shuffled lines are gone at the end."""
+    seen, load = [], rollup.load_rollup
+
+    def look(spark, landing, root):
+        run = os.path.dirname(landing).removeprefix("file:")
+        seen.append((spark.read.schema(rollup.LANDED_LINES).parquet(landing), glob.glob(f"{run}/lines/**/*.parquet", recursive=True), os.path.exists(f"{run}/checkpoint")))
+        return load(spark, landing, root)
+
+    monkeypatch.setattr(rollup, "load_rollup", look)
+    entry.queries()["prep_monthly_rollup_stream"](spark, SF001)
+    [(landed, left, checkpoint)] = seen
+    assert left == [] and not checkpoint
+    names = rollup.LANDED_LINES.fieldNames()
+    arrivals = testtables.arrivals(testtables.landed_lines(spark, SF001).select(*names))
+    assert rows(landed.select(*names)) == rows(arrivals[0].unionByName(arrivals[1]).unionByName(arrivals[2]).select(*names))
+
+
+def test_arrivals_of_odd_lines(spark):
+    """Due by year, late and repeated as told, undated lines last."""
+    odd = [line(i, m) for i in range(60) for m in (None, "1990-05", "1993-12", "1994-12", "1995-01", "1996-12", "1997-02", "2001-01")]
+    lines = spark.createDataFrame(odd, rollup.LANDED_LINES)
+    year, part = F.substring("month", 1, 4), F.pmod(F.xxhash64("line_id"), F.lit(10))
+    due = F.when(year <= "1994", 0).when(year <= "1996", 1).otherwise(2)
+    due = F.when(F.col("month").isin("1994-12", "1996-12") & (part == 1), due + 1).when((year <= "1993") & (part == 2), 2).otherwise(due)
+    for k, got in enumerate(testtables.arrivals(lines)):
+        assert rows(got) == rows(lines.where((due == k) | ((part == 3) & (due == k - 1)))) != []
